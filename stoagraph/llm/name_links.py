@@ -208,6 +208,7 @@ def _parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for name, n in zip(batch["name"], batch["n"], strict=True):
             own = Name(name)
             form = "|".join((" ".join(own.words[:-1]), own.words[-1] if own.words else "", own.suffix, "1" if own.known_last else ""))
+            form = form if own.words else f"={name}"
             rows.append((name, n, form, 100 * own.n_full + len(own.words), keys_of(own)))
         yield pd.DataFrame(rows, columns=["name", "n", "form", "says", "keys"])
 
