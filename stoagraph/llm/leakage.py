@@ -116,11 +116,17 @@ class Items:
         near = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
         hit = self.hashes[near] == h
         seeds: dict[tuple[int, object], list[tuple[int, int]]] = defaultdict(list)
-        for p, key in zip(starts[hit], h[hit], strict=True):
-            for item, q in self.found[int(key)]:
-                if np.array_equal(ids[p : p + self.width], self.ids[item][q : q + self.width]):
-                    seeds[int(np.searchsorted(ends, p, side="right")), item].append((int(p), q))
-        for (k, item), own in seeds.items():
+        owners = np.searchsorted(np.array(ends), starts[hit], side="right")
+        for k, p, key in zip(owners.tolist(), starts[hit].tolist(), h[hit].tolist(), strict=True):
+            for item, q in self.found[key]:
+                seeds[k, item].append((p, q))
+        span = np.arange(self.width)
+        for (k, item), met in seeds.items():
+            at = np.array(met)
+            equal = (ids[at[:, :1] + span] == self.ids[item][at[:, 1:] + span]).all(axis=1)  # equal hashes are not yet equal words
+            own = [x for x, ok in zip(met, equal.tolist(), strict=True) if ok]
+            if not own:
+                continue
             laid = tiles(own, self.width)
             yield k, item, len(laid), sum(n for *_, n in laid), max(n for *_, n in laid), len(self.ids[item])
 
