@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["q_names", "q_terms", "q_format_duplicates", "q_chunks", "q_lookalikes", "q_leakage", "q_packing"]
+MODULES = ["q_names", "q_boilerplate", "q_terms", "q_format_duplicates", "q_chunks", "q_lookalikes", "q_leakage", "q_packing"]
 
 
 def queries() -> dict:
