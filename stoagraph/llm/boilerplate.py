@@ -301,8 +301,10 @@ def decode(score: np.ndarray, run: np.ndarray, section: np.ndarray, blank: np.nd
 
 def training_pages(pages: DataFrame, page_id: str, text: str, sections: str, title: str, sample_pages: int) -> tuple[list[str], list, set[str]]:
     """The ``sample_pages`` pages with the smallest digests of their identifiers, and their titles."""
-    picked = pages.select(F.xxhash64(page_id).alias("h"), F.col(page_id).alias("i"), F.col(text).alias("t"), F.col(sections).alias("s"), F.col(title).alias("title"))
-    rows = picked.filter(F.col("t").isNotNull()).orderBy("h", "i").limit(sample_pages).collect()
+    picked = pages.select(F.xxhash64(page_id).alias("h"), F.col(page_id).alias("i"), F.col(text).alias("t"), F.col(sections).alias("s"), F.col(title).alias("title")).filter(F.length("t") > 0)
+    # digests alone are ranked, so that no texts but those of the sample leave their tasks
+    digests = [r["h"] for r in picked.select("h").distinct().orderBy("h").limit(sample_pages).collect()]
+    rows = sorted(picked.filter(F.col("h") <= digests[-1]).dropDuplicates(["h"]).collect(), key=lambda r: r["h"]) if digests else []
     return [r["t"] for r in rows], [r["s"] for r in rows], {r["title"] for r in rows if r["title"]}
 
 
