@@ -87,7 +87,7 @@ def snippet(text: Column, query: str, before: int = 50, after: int = 200) -> Col
     n = len(query)
     left_all, right_all = F.substring(text, F.lit(1), at - 1), F.substring(text, at + n, F.length(text))
     left = F.when(F.length(left_all) > before, F.concat(F.lit("…"), F.regexp_replace(F.right(left_all, F.lit(before)), r"^[^\s,:]*[\s,:]", ""))).otherwise(left_all)
-    right = F.when(F.length(right_all) > after, F.concat(F.regexp_replace(F.left(right_all, F.lit(after)), r"[\s,:][^\s,:]*$", ""), F.lit("…"))).otherwise(right_all)
+    right = F.when(F.length(right_all) > after, F.concat(F.regexp_replace(F.left(right_all, F.lit(after)), r"[\s,:][^\s,:]*\z", ""), F.lit("…"))).otherwise(right_all)
     return F.when(at > 0, F.concat(left, F.lit("<mark>"), F.substring(text, at, F.lit(n)), F.lit("</mark>"), right))
 
 

@@ -107,7 +107,7 @@ SQL = {
 h AS (SELECT url, unnest(range(greatest(n, 1))) AS pos FROM r), c AS (SELECT url AS base, count(*) AS n FROM h GROUP BY url)
 SELECT base, n, greatest(n - 3, 0) AS n_folded, base AS first FROM c""",
     "l7_snippets": f"""SELECT doc_id, l || '<mark>' || hit || '</mark>' || r AS snippet FROM (SELECT doc_id, hit, CASE WHEN length(a) > 50 THEN '…' || regexp_replace(right(a, 50), '^[^\\s,:]*[\\s,:]', '') ELSE a END AS l,
-  CASE WHEN length(b) > 200 THEN regexp_replace(left(b, 200), '[\\s,:][^\\s,:]*$', '') || '…' ELSE b END AS r FROM (
+  CASE WHEN length(b) > 200 THEN regexp_replace(left(b, 200), '[\\s,:][^\\s,:]*\\z', '') || '…' ELSE b END AS r FROM (
   SELECT doc_id, substr(text, p, {len(WORD)}) AS hit, substr(text, 1, p - 1) AS a, substr(text, p + {len(WORD)}) AS b FROM (SELECT doc_id, text, strpos(lower(text), '{WORD}') AS p FROM documents) WHERE p > 0))""",
     "l8_highlight": "SELECT doc_id, regexp_replace(title, '(and)', '<mark>\\1</mark>', 'gi') AS title FROM documents WHERE title IS NOT NULL",
     "l10_with_query": "SELECT DISTINCT url || CASE WHEN contains(url, '?') THEN '&' ELSE '?' END || 'q=free+will' AS url FROM entries WHERE url IS NOT NULL",
