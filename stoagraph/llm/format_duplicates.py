@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,10 +19,6 @@ def format_key(name: Column) -> Column:
     return F.when(F.size(sides) == 2, F.concat(sides[1], sides[0])).otherwise(F.regexp_replace(kept, ",", ""))
 
 
-def _same(a: str, b: str, keys: list[str]) -> Column:
-    return reduce(lambda x, y: x & y, (F.col(f"{a}.{k}") == F.col(f"{b}.{k}") for k in keys))
-
-
 def salted(rows: DataFrame, keys: list[str], row_id: str, hot_rows: int, salts: int) -> DataFrame:
     """Add ``salt``: 0, or for keys with more than ``hot_rows`` rows one of ``salts`` parts by the row's identifier.
 
@@ -34,8 +28,10 @@ def salted(rows: DataFrame, keys: list[str], row_id: str, hot_rows: int, salts:
     hot = counts.orderBy(F.desc("n"), *keys).limit(HOT_KEYS).select(*keys).collect()
     if not hot:
         return rows.withColumn("salt", F.lit(0))
-    is_hot = reduce(lambda x, y: x | y, (reduce(lambda x, y: x & y, (F.col(k) == F.lit(r[k]) for k in keys)) for r in hot))
-    return rows.withColumn("salt", F.when(is_hot, F.pmod(F.xxhash64(row_id), F.lit(salts))).otherwise(F.lit(0)).cast("int"))
+    # HOT_KEYS rows at most, so this table may be sent to every task
+    table = rows.sparkSession.createDataFrame(hot, rows.select(*keys).schema).withColumn("is_hot", F.lit(True))
+    part = F.when(F.col("is_hot"), F.pmod(F.xxhash64(row_id), F.lit(salts))).otherwise(F.lit(0)).cast("int")
+    return rows.join(F.broadcast(table), keys, "left").withColumn("salt", part).drop("is_hot")
 
 
 def duplicate_groups(rows: DataFrame, row_id: str, keys: list[str], hot_rows: int = 50_000, salts: int = 32) -> tuple[DataFrame, DataFrame]:

@@ -229,17 +229,20 @@ def consistent_texts(rows: DataFrame, row_id: str, text: str, keep_text: bool =
     return picked.mapInPandas(run, schema)
 
 
-def same_look_pairs(forms: DataFrame) -> DataFrame:
+def same_look_pairs(forms: DataFrame, part_rows: int = 2000) -> DataFrame:
     """``(id_a, id_b)``, ``id_a < id_b``: rows of one form whose texts are different strings.
 
     Equal copies are no pair, so a form that all rows share in one spelling gives none. Only forms with several
-    spellings are shuffled again; one row per identifier and text counts.
+    spellings are shuffled again, large ones in parts of about ``part_rows`` rows, each joined with the whole form;
+    one row per identifier and text counts.
     """
     keys = forms.groupBy("form_key", "text_key").agg(F.count(F.lit(1)).alias("n"))
-    several = keys.groupBy("form_key").agg(F.count(F.lit(1)).alias("spellings")).filter(F.col("spellings") > 1).select("form_key")
-    some = forms.select("row_id", "form_key", "text_key").join(several, "form_key", "left_semi").distinct()
-    a, b = some.alias("a"), some.alias("b")
-    on = (F.col("a.form_key") == F.col("b.form_key")) & (F.col("a.text_key") != F.col("b.text_key")) & (F.col("a.row_id") < F.col("b.row_id"))
+    several = keys.groupBy("form_key").agg(F.count(F.lit(1)).alias("spellings"), F.sum("n").alias("n")).filter(F.col("spellings") > 1)
+    parts = several.select("form_key", F.ceil(F.col("n") / part_rows).cast("int").alias("parts"))
+    some = forms.select("row_id", "form_key", "text_key").distinct().join(parts, "form_key")
+    a = some.withColumn("part", F.pmod(F.xxhash64("row_id"), F.col("parts")).cast("int")).alias("a")
+    b = some.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).alias("b")
+    on = (F.col("a.form_key") == F.col("b.form_key")) & (F.col("a.part") == F.col("b.part")) & (F.col("a.text_key") != F.col("b.text_key")) & (F.col("a.row_id") < F.col("b.row_id"))
     return a.join(b, on).select(F.col("a.row_id").alias("id_a"), F.col("b.row_id").alias("id_b"))
 
 

@@ -317,7 +317,11 @@ def linked_names(rows: DataFrame, name: str, k: int = 2) -> DataFrame:
     return parsed.select("name", "n", "form").join(roots, "form").join(entity, "root").select("name", "entity", "n")
 
 
-def name_pairs(linked: DataFrame) -> DataFrame:
-    """Every pair of distinct names of one entity, the lesser first."""
-    a, b = linked.alias("a"), linked.alias("b")
-    return a.join(b, (F.col("a.entity") == F.col("b.entity")) & (F.col("a.name") < F.col("b.name"))).select(F.col("a.name").alias("name_a"), F.col("b.name").alias("name_b"))
+def name_pairs(linked: DataFrame, part_names: int = 2000) -> DataFrame:
+    """Every pair of distinct names of one entity, the lesser first; entities of very many names are joined in parts."""
+    parts = linked.groupBy("entity").agg(F.ceil(F.count(F.lit(1)) / part_names).cast("int").alias("parts"))
+    own = linked.select("entity", "name").join(parts, "entity")
+    a = own.withColumn("part", F.pmod(F.xxhash64("name"), F.col("parts")).cast("int")).alias("a")
+    b = own.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).alias("b")
+    on = (F.col("a.entity") == F.col("b.entity")) & (F.col("a.part") == F.col("b.part")) & (F.col("a.name") < F.col("b.name"))
+    return a.join(b, on).select(F.col("a.name").alias("name_a"), F.col("b.name").alias("name_b"))
