@@ -54,8 +54,8 @@ def typed_date(stated: Column) -> Column:
 
 def chunks(text: Column, size: int = 512, most: int = 20) -> Column:
     """Consecutive pieces of ``size`` characters, at most ``most``; an empty text has none."""
-    n = F.least(F.ceil(F.length(text) / size).cast("int"), F.lit(most))
-    return F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.substring(text, i * size + 1, F.lit(size)))).otherwise(F.array().cast("array<string>"))
+    n = F.least(F.ceil(F.length(text) / size).cast("int"), F.lit(most))  # (least passes over nulls)
+    return F.when(F.length(text) > 0, F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.substring(text, i * size + 1, F.lit(size)))).otherwise(F.array().cast("array<string>"))
 
 
 def collapsed(text: Column) -> Column:
