@@ -131,8 +131,8 @@ def articles(pages: DataFrame, url: str, html: str) -> DataFrame:
         names = [f.split()[0] for f in re.sub(r"<[^ ]*>", "", ARTICLE.replace("\n", " ")).split(", ")]
         for batch in batches:
             rows = [r for u, h in zip(batch["url"], batch["html"], strict=True) if h is not None and (r := extract(u, h)) is not None]
-            out = pd.DataFrame(rows, columns=names)
-            out["links"] = [[{"target": t, "anchor_text": a, "context": c, "section": s} for t, a, c, s in x] for x in out["links"]]
+            out = pd.DataFrame(rows, columns=names, dtype=object)
+            out["links"] = pd.Series([[{"target": t, "anchor_text": a, "context": c, "section": s} for t, a, c, s in x] for x in out["links"]], dtype=object)
             yield out
 
     return pages.select(F.col(url).alias("url"), F.col(html).alias("html")).mapInPandas(run, ARTICLE)

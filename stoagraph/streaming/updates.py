@@ -11,9 +11,14 @@ from pyspark.sql.streaming import StreamingQuery
 from stoagraph.sources.stages import StageStore, upsert
 
 
+def _timed(rows: DataFrame, at: str, late: str) -> DataFrame:
+    """A stream with its watermark (which needs a time with a zone); a batch as it is."""
+    return rows.withColumn(at, F.col(at).cast("timestamp")).withWatermark(at, late) if rows.isStreaming else rows
+
+
 def windowed_counts(rows: DataFrame, at: str, by: str, size: str = "1 hour", slide: str | None = None, late: str = "2 hours") -> DataFrame:
     """``(begin, end, by, n, total)`` per time window; rows later than ``late`` behind the newest are dropped by a stream."""
-    source = rows.withWatermark(at, late) if rows.isStreaming else rows
+    source = _timed(rows, at, late)
     window = F.window(at, size, slide) if slide else F.window(at, size)
     out = source.groupBy(window.alias("w"), F.col(by).alias("by")).agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
     return out.select(F.col("w.start").alias("begin"), F.col("w.end").alias("end"), "by", "n", "total")
@@ -21,7 +26,7 @@ def windowed_counts(rows: DataFrame, at: str, by: str, size: str = "1 hour", sli
 
 def sessions(rows: DataFrame, at: str, by: str, gap: str = "30 minutes", late: str = "2 hours") -> DataFrame:
     """``(by, begin, end, n)``: runs of rows of one key with no gap longer than ``gap``."""
-    source = rows.withWatermark(at, late) if rows.isStreaming else rows
+    source = _timed(rows, at, late)
     out = source.groupBy(F.session_window(at, gap).alias("w"), F.col(by).alias("by")).agg(F.count(F.lit(1)).alias("n"))
     return out.select("by", F.col("w.start").alias("begin"), F.col("w.end").alias("end"), "n")
 
@@ -29,7 +34,7 @@ def sessions(rows: DataFrame, at: str, by: str, gap: str = "30 minutes", late: s
 def first_rows(rows: DataFrame, keys: list[str], at: str, late: str = "1 day") -> DataFrame:
     """Rows whose key is new within the watermark."""
     if rows.isStreaming:
-        return rows.withWatermark(at, late).dropDuplicatesWithinWatermark(keys)
+        return _timed(rows, at, late).dropDuplicatesWithinWatermark(keys)
     return rows.dropDuplicates(keys)
 
 
