@@ -84,6 +84,12 @@ def a8_distances(spark, d):
     return P.distances(_relations_only(edges), nodes.filter(F.col("id") == f"concept:{NETWORK}").select("id"), 4).select("node", "distance")
 
 
+def a9_betweenness(spark, d):
+    """Of the small graph of names that each article's relations make."""
+    pairs = table(spark, d, "relationships").select(F.col("article_id").alias("graph"), F.col("source").alias("a"), F.col("target").alias("b")).dropna().distinct()
+    return S.betweenness(pairs).withColumn("betweenness", F.round("betweenness", 9))
+
+
 def a10_tree(spark, d):
     nodes, edges = _kept(spark, d)
     centre = S.top_degrees(nodes, edges, 1).select("id")
@@ -223,6 +229,13 @@ SELECT c.node, c.distance, min(p.node) AS parent FROM bf c JOIN rn ON rn.y = c.n
 o AS (SELECT DISTINCT article FROM lk1 JOIN gn USING (id) WHERE label <> 'Article' AND {_HAS.format(ONE)}), t AS (SELECT DISTINCT article FROM lk1 JOIN gn USING (id) WHERE label <> 'Article' AND {_HAS.format(TWO)})
 SELECT article, any_value(a.title) AS title, string_agg(DISTINCT gn.name, '; ' ORDER BY gn.name) AS philosophers, count(DISTINCT gn.name) AS n
 FROM lk1 JOIN o USING (article) JOIN t USING (article) JOIN gn ON lk1.id = gn.id AND gn.label = 'Philosopher' JOIN gn a ON a.id = lk1.article AND a.label = 'Article' GROUP BY article ORDER BY article LIMIT 50"""),
+    "q2_debate_camps": _with(f""", m1 AS (SELECT id FROM gn WHERE {_HAS.format(ONE)}), m2 AS (SELECT id FROM gn WHERE {_HAS.format(TWO)}),
+p1 AS (SELECT x AS s, y AS t FROM nb JOIN m1 ON x = m1.id JOIN m2 ON y = m2.id),
+p2 AS (SELECT a.x AS s, a.y AS m, b.y AS t FROM nb a JOIN m1 ON a.x = m1.id JOIN nb b ON a.y = b.x JOIN m2 ON b.y = m2.id WHERE a.x <> b.y AND NOT EXISTS (SELECT 1 FROM p1 WHERE p1.s = a.x AND p1.t = b.y)),
+ap AS (SELECT DISTINCT article FROM (SELECT s AS article FROM p1 UNION ALL SELECT t FROM p1 UNION ALL SELECT s FROM p2 UNION ALL SELECT m FROM p2 UNION ALL SELECT t FROM p2) WHERE article LIKE 'article:%' ORDER BY article LIMIT 20),
+ac AS (SELECT article, title, CASE WHEN contains(lower(title), '{ONE}') THEN 'Pro-{ONE}' WHEN contains(lower(title), '{TWO}') THEN 'Pro-{TWO}' ELSE 'Neutral/Synthetic' END AS camp FROM ap JOIN gn ON gn.id = article)
+SELECT t.camp, coalesce(m.members, '') AS members, t.texts FROM (SELECT camp, string_agg(title, '; ' ORDER BY title) AS texts FROM ac GROUP BY camp) t LEFT JOIN (
+  SELECT camp, string_agg(name, '; ' ORDER BY name) AS members FROM ac JOIN (SELECT DISTINCT node, other FROM bw) e ON e.node = article JOIN gn ON gn.id = e.other AND gn.label = 'Philosopher' GROUP BY camp) m ON t.camp = m.camp"""),
     "q3_concept_network": _with(_TWO.format(seeds=_NET, steps="SELECT * FROM bw") + """ SELECT seed, node, distance, y1 || coalesce('>' || y2, '') AS types FROM tr JOIN gn ON gn.id = tr.node AND label IN ('Concept', 'Article') ORDER BY distance, seed, node, types LIMIT 50"""),
     "q4_influence_chain": _with(_TWO.format(seeds=f"label = 'Philosopher' AND contains(lower(name), '{PERSON.lower()}')", steps=_PEOPLE) + " SELECT seed, node, distance, count(*) AS n_trails FROM tr GROUP BY ALL"),
     "q4_directed": _with(f""", st AS (SELECT DISTINCT src AS x, dst AS y FROM ({_PEOPLE}) WHERE type = 'INFLUENCES'), s AS (SELECT id FROM gn WHERE label = 'Philosopher' AND contains(lower(name), '{PERSON.lower()}')),

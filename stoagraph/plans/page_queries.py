@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from stoagraph.operators import graph_queries as Q
 from stoagraph.operators import layout as Y
 from stoagraph.operators import paths as P
 from stoagraph.operators import stats as S
@@ -21,6 +22,13 @@ def _read(spark, d):
     return H.articles(_pages(spark, d), "url", "html").withColumn("page_id", F.col("url").cast("bigint"))
 
 
+def s1_index_links(spark, d):
+    """Every entry's row written as a contents page of one link, and read again."""
+    esc = F.replace(F.replace(F.coalesce("title", F.lit("")), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+    pages = table(spark, d, "entries").filter("id IS NOT NULL").select(F.concat(F.lit('<ul><li><a href="entries/'), F.col("id"), F.lit('/">'), esc, F.lit('</a></li><li><a href="../contents/">up</a></li></ul>')).alias("html"))
+    return H.index_links(pages, "html").groupBy("id", "title").agg(F.count(F.lit(1)).alias("n"))
+
+
 def s3_entry_index(spark, d):
     return H.entry_index(table(spark, d, "entries"), ["url", "title"])
 
@@ -80,6 +88,13 @@ def p_network_sizes(spark, d):
     return out.select("id", F.round("size_flat", 6).alias("size_flat"), F.round("size_deep", 6).alias("size_deep"))
 
 
+def p_heatmap(spark, d):
+    names = ["consciousness", "causation", "free will", "metaphysics", "justice", "personal identity", "truth", "practical reason"]
+    nodes, edges = _graph(spark, d)
+    own = edges.filter(F.col("src").isin([f"concept:{n}" for n in names]) & F.col("dst").isin([f"concept:{n}" for n in names]))
+    return Y.heatmap(Q.concept_pairs(nodes, own, 10_000), names)
+
+
 def p_radial(spark, d):
     nodes, edges = _kept(spark, d)
     near = P.distances(_relations_only(edges), nodes.filter(F.col("id") == f"concept:{NETWORK}").select("id"), 2)
@@ -103,7 +118,14 @@ _NEAR = f"""nr AS (SELECT node, min(distance) AS distance FROM (SELECT 'concept:
 _LIST = "array_to_string(list_filter(coalesce({0}, []), lambda x: x IS NOT NULL AND trim(x) <> ''), '|')"
 _TITLE = "array_to_string(list_transform(string_split(replace(id, '-', ' '), ' '), lambda w: upper(w[1]) || lower(w[2:])), ' ')"
 
+_NAMES = ["consciousness", "causation", "free will", "metaphysics", "justice", "personal identity", "truth", "practical reason"]
+_IN = ", ".join(f"'{n}'" for n in _NAMES)
+_HEAT = f"""WITH {_E}, cp AS (SELECT a.name AS one, b.name AS two FROM ge JOIN gn a ON src = a.id AND a.label = 'Concept' JOIN gn b ON dst = b.id AND b.label = 'Concept' WHERE a.name <> b.name AND a.name IN ({_IN}) AND b.name IN ({_IN})),
+bo AS (SELECT * FROM cp UNION ALL SELECT two, one FROM cp) SELECT one, {', '.join(f"count(*) FILTER (two = '{n}') AS \"{n}\"" for n in _NAMES)} FROM bo GROUP BY one"""
+
 SQL = {
+    "s1_index_links": "SELECT id, trim(coalesce(title, '')) AS title, count(*) AS n FROM entries WHERE id IS NOT NULL GROUP BY 1, 2",
+    "p_heatmap": _HEAT,
     "s3_entry_index": f"""SELECT id, CASE WHEN trim(coalesce(title, '')) = '' THEN {_TITLE} ELSE title END AS title, url FROM (
   SELECT *, row_number() OVER (PARTITION BY id ORDER BY url NULLS FIRST, title NULLS FIRST) AS k FROM entries WHERE id <> '') WHERE k = 1""",
     "s2_missing_entries": f"""SELECT id, {_TITLE} AS title FROM (SELECT DISTINCT l.target AS id FROM (SELECT unnest(internal_links) AS l FROM article_data)) WHERE id <> '' AND id NOT IN (SELECT id FROM entries WHERE id IS NOT NULL)""",
