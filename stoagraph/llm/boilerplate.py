@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
@@ -26,9 +27,9 @@ SITE_WORDS = set(
     accueil recherche thèmes connexion actualités auteurs index aide mentions légales contact
     inicio buscar ayuda temas autores contacto acceder noticias privacy accessibility terms of use""".split()
 )
-# Beginnings and ends of lines that only page furniture has; they label the training sample.
-FURNITURE = re.compile(
-    r"""^(?:©|copyright\s©|(?:we|this\ssite|this\spage|our\spages|our\ssite)\s(?:use|uses|store|stores)\s.*(?:cookie|device)|cookies\s(?:help|allow|let)\sus|your\sprivacy\smatters
+# Beginnings, parts and ends of lines that only page furniture has; they label the training sample.
+BEGINS = re.compile(
+    r"""(?:©|copyright\s©|(?:we|this\ssite|this\spage|our\spages|our\ssite)\s(?:use|uses|store|stores)\s.*(?:cookie|device)|cookies\s(?:help|allow|let)\sus|your\sprivacy\smatters
     |nous\sutilisons\sdes\scookies|ce\ssite\s(?:utilise|dépose)|wir\sverwenden\scookies|diese\sseite\sverwendet|zur\sverbesserung\sder\sseite|usamos\scookies|este\ssitio
     |skip\sto\s|zum\sinhalt\sspringen|aller\sau\scontenu|saltar\sal\s|back\sto\stop$|nach\soben$|haut\sde\spage|volver\sarriba|log\sin\s\||sign\s(?:in|up)\s|se\sconnecter$|anmelden$
     |how\sto\scite|pour\sciter|zitierweise|zitieren|cómo\scitar|previous:|next:|weiter\szu\s|zurück\szu\s|suivant\s?:|précédent\s?:
@@ -36,14 +37,19 @@ FURNITURE = re.compile(
     |tags:|schlagwörter:|mots-clés|share:|teilen\s|partager\s|font\ssize|listen\sto\sthis|report\san\serror|page\sgenerated|entry\s\d+\sof\s|seite\s\d+\svon|page\s\d+\s(?:sur|of)\s
     |support\sthis\s|enter\syour\se-?mail|recevoir\sla\slettre|newsletter|advertisement$|anzeige$|publicité$|publicidad$|terms\sof\suse|mentions\slégales|impressum\s|aviso\slegal|editorial\sboard,
     |readers\sin\s.*\sorder\s|unless\snoted\sotherwise|your\sinstitution\sdoes|the\sarchive\sis\ssupported|contents?:|sommaire\s?:|inhalt:|contenido:|\[\d+\s\w+\]$|\d+\s(?:kommentare|commentaires|comments|comentarios)$
-    |\d+\sreaders\s)
-    |(?:all\srights\sreserved|alle\srechte\svorbehalten|tous\sdroits\sréservés|reservados\stodos\slos\sderechos)\.?$
-    |(?:\(\d+\svotes?\)|\(\d+\s(?:stimmen|voix|votos)\)|read\son\s»?|lire\sla\ssuite\s?»?|mehr\s…|weiterlesen\s?»?|leer\smás\s?»?|\s…)$
-    |\shas\sbeen\skept\sby\svolunteers""",
+    |\d+\sreaders\s)""",
+    re.IGNORECASE | re.VERBOSE,
+)
+ENDS = re.compile(
+    r"""(?:all\srights\sreserved|alle\srechte\svorbehalten|tous\sdroits\sréservés|reservados\stodos\slos\sderechos)\.?$
+    |(?:\(\d+\svotes?\)|\(\d+\s(?:stimmen|voix|votos)\)|read\son\s»?|lire\sla\ssuite\s?»?|mehr\s…|weiterlesen\s?»?|leer\smás\s?»?|\s…)$""",
     re.IGNORECASE | re.VERBOSE,
 )
 #: No furniture is as long as this; it labels long lines that end without a full stop.
 LONG = 400
+HOLDS = "has been kept by volunteers"
+#: Longer than any of the ends.
+END_CHARS = 60
 _ROW = re.compile(r"\s(?:[·|»>/–›•])\s")
 NAMES = [
     "chars", "words", "sentences", "full_stop", "ellipsis", "closed", "first_kind", "digits", "capitals", "separators", "colon", "sign", "commas", "is_heading",
@@ -68,7 +74,7 @@ def sample_label(line: str, is_heading: bool, known_heading: bool, known_title:
         return float("nan")
     if is_heading:
         return 0.0
-    if FURNITURE.search(line) or known_title and not known_heading:
+    if BEGINS.match(line) or ENDS.search(line[-END_CHARS:]) or HOLDS in line or known_title and not known_heading:
         return 1.0
     if len(line) >= LONG:
         return 0.0
@@ -166,6 +172,13 @@ class Lines:
             after[:-1][same] = v[1:][same]
         return before, after
 
+    @cached_property
+    def token_rows(self) -> np.ndarray:
+        """Distinct pairs of a line and one of its tokens, as ``line * (size of the vocabulary + 1) + token``."""
+        row = np.repeat(np.arange(len(self.token_counts)), self.token_counts)
+        return np.unique(row * (len(self.vocabulary) + 1) + self.codes)
+
+    @cached_property
     def attributes(self) -> tuple[list[list[str]], np.ndarray]:
         """Keys of the first, first two, last and last two tokens and of the last token's ending, as codes into one list."""
         n = len(self.token_starts)
@@ -199,7 +212,7 @@ class Lines:
         f["least_token"] = np.minimum.reduceat(value, at) if n else value
         f["most_token"] = np.maximum.reduceat(value, at) if n else value
         f["unknown"] = 1 - np.add.reduceat(known[self.codes].astype(np.float64), at) / self.token_counts if n else value
-        keys, codes = self.attributes() if n else ([[]] * 5, np.zeros((5, 0), dtype=np.int64))
+        keys, codes = self.attributes if n else ([[]] * 5, np.zeros((5, 0), dtype=np.int64))
         for name, own_keys, own_codes in zip(("first_token", "first_two", "last_token", "last_two", "ending"), keys, codes, strict=True):
             f[name] = np.array([odds.get(k, 0.0) for k in own_keys])[own_codes] if n else value
         f["mean_before"], f["mean_after"] = self.beside(f["mean_token"].astype(np.float32))
@@ -221,10 +234,9 @@ def token_odds(lines: Lines, label: np.ndarray, least: int = 3) -> dict[str, flo
         for i in np.flatnonzero(n >= least):
             odds[keys[i]] = float(np.clip(np.log((pos[i] + 0.3) / (n[i] - pos[i] + 0.3)) - base, -5, 5))
 
-    row = np.repeat(np.arange(len(label)), lines.token_counts)
-    pair = np.unique(row * (len(lines.vocabulary) + 1) + lines.codes)
+    pair = lines.token_rows
     add(lines.vocabulary, pair % (len(lines.vocabulary) + 1), pair // (len(lines.vocabulary) + 1))
-    keys, codes = lines.attributes()
+    keys, codes = lines.attributes
     for own_keys, own_codes in zip(keys, codes, strict=True):
         add(own_keys, own_codes, np.arange(len(label)))
     return odds
