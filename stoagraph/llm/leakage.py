@@ -19,6 +19,8 @@ WORD = re.compile(r"[^\W_]+")
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 #: The items of one pass over the corpus hold at most so many characters; more items are taken in several blocks.
 BLOCK_CHARS = 4_000_000
+#: Documents whose words are held as numbers at one time.
+STEP = 1000
 
 
 def words(text: str) -> list[str]:
@@ -151,8 +153,8 @@ def leaks(documents: DataFrame, doc_id: str, text: str, items: DataFrame, item_i
         def run(batches: Iterator[pd.DataFrame], block: list[tuple] = block) -> Iterator[pd.DataFrame]:
             index = Items(block, width)
             for batch in batches:
-                ids = batch["doc_id"].tolist()
-                rows = [(ids[k], *rest) for k, *rest in index.leaks(batch["text"].tolist())]
+                ids, texts = batch["doc_id"].tolist(), batch["text"].tolist()
+                rows = [(ids[at + k], *rest) for at in range(0, len(ids), STEP) for k, *rest in index.leaks(texts[at : at + STEP])]
                 yield pd.DataFrame(rows, columns=["doc_id", "item_id", "n_tiles", "n_words", "longest", "item_words"])
 
         part = corpus.mapInPandas(run, schema)
