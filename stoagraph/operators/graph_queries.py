@@ -142,6 +142,7 @@ def debate_summary(topic: Column, camps: Column, arguments: Column, periods: Col
     """
     nl = F.lit("\n")
 
+    # The headings and list marks of the text.
     def camp(c: Column) -> Column:
         own = arguments[c["name"]]
         listed = F.array_join(F.transform(F.slice(own, 1, 3), lambda a: F.concat(F.lit("  - "), a, nl)), "")
