@@ -252,7 +252,9 @@ def close_words(words: DataFrame, k: int = 2) -> DataFrame:
     schema = "size int, seg int, part string, w string"
     index = words.mapInPandas(emit(False), schema).withColumnRenamed("w", "word")
     probes = words.mapInPandas(emit(True), schema).withColumnRenamed("w", "other")
-    met = index.join(probes, ["size", "seg", "part"]).filter(F.col("word") != F.col("other")).select(F.least("word", "other").alias("word"), F.greatest("word", "other").alias("other")).distinct()
+    # two edits with transpositions are four without: built-in code drops nearly all candidates before they are made distinct
+    near = F.levenshtein("word", "other", 2 * k) >= 0
+    met = index.join(probes, ["size", "seg", "part"]).filter((F.col("word") != F.col("other")) & near).select(F.least("word", "other").alias("word"), F.greatest("word", "other").alias("other")).distinct()
 
     @F.pandas_udf(T.BooleanType())
     def verified(a: pd.Series, b: pd.Series) -> pd.Series:
