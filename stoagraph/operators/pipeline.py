@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
@@ -11,7 +12,7 @@ from stoagraph.operators import entities as E
 from stoagraph.operators import graph as G
 from stoagraph.operators import graph_queries as Q
 from stoagraph.operators import relations as R
-from stoagraph.sources.stages import StageStore, remaining, upsert
+from stoagraph.sources.stages import StageStore, upsert
 
 
 @dataclass
@@ -32,26 +33,54 @@ def mentions_of(articles: DataFrame) -> DataFrame:
     return E.extract(rows, "id", "full_text", "title", "internal_links", "sections")
 
 
-def relations_of(articles: DataFrame) -> DataFrame:
+def _found_relations(articles: DataFrame) -> DataFrame:
     found = R.from_links(articles, "id", F.col("metadata.title"), F.col("internal_links")).unionByName(R.from_patterns(articles, "id", F.col("full_text")))
-    numbered = found.withColumn("rel_id", F.xxhash64("article_id", "source", "target", "type", "context"))
-    return R.strongest(numbered, ["rel_id"], ["source", "target", "type"])
+    return found.withColumn("rel_id", F.xxhash64("article_id", "source", "target", "type", "context"))
+
+
+def relations_of(articles: DataFrame) -> DataFrame:
+    return R.strongest(_found_relations(articles), ["rel_id"], ["source", "target", "type"])
+
+
+def _versions(articles: DataFrame) -> DataFrame:
+    """Which fetch of an article it is, and a digest of all that is extracted from."""
+    read = F.struct(F.col("metadata.title").alias("title"), "full_text", "internal_links", "sections")
+    return articles.select("id", "fetched_at", "page_id", F.sha2(F.to_json(read), 256).alias("digest"))
+
+
+def _extracted(store: StageStore, stage: str, known: DataFrame, extract: Callable[[DataFrame], DataFrame], resume: bool) -> DataFrame:
+    """The stage's rows of all known articles; with ``resume`` those of unchanged articles are kept, all others are made anew.
+
+    ``<stage>_done`` names the versions that the stage has rows of and is written after them, so a run that dies between
+    the two repeats the step. An article fetched again replaces its rows.
+    """
+    versions = _versions(known)
+    if not resume:
+        store.save(f"{stage}_done", versions.limit(0))
+    old, done = (store.latest(stage), store.latest(f"{stage}_done")) if resume else (None, None)
+    if old is None or done is None:
+        rows = extract(known)
+    else:
+        same = [versions[c].eqNullSafe(done[c]) for c in done.columns]
+        kept = versions.join(done, same, "left_semi").select("id")
+        fresh = known.join(kept, known["id"].eqNullSafe(kept["id"]), "left_anti")
+        rows = old.join(kept, old["article_id"].eqNullSafe(kept["id"]), "left_semi").unionByName(extract(fresh))
+    rows = store.save(stage, rows)
+    store.save(f"{stage}_done", versions)
+    return rows
 
 
 def run(articles: DataFrame, store: StageStore, resume: bool = True) -> tuple[DataFrame, DataFrame]:
     """Articles to mentions and relations to nodes and edges, every stage written before the next reads it.
 
-    With ``resume`` only articles that no earlier run has extracted are read again.
+    With ``resume`` only articles that the stage has not extracted in their last version are read again.
     """
     last = upsert(store.latest("articles") if resume else None, articles, ["id"], ["fetched_at", "page_id"])
     known = store.save("articles", last)
-    done = store.latest("mentions") if resume else None
-    fresh = remaining(known, done.withColumnRenamed("article_id", "id") if done is not None else None, "id")
-    mentions = mentions_of(fresh)
-    mentions = store.save("mentions", mentions if done is None else done.unionByName(mentions))
-    old = store.latest("relations") if resume else None
-    relations = relations_of(fresh)
-    relations = store.save("relations", relations if old is None else R.strongest(old.unionByName(relations), ["rel_id"], ["source", "target", "type"]))
+    mentions = _extracted(store, "mentions", known, mentions_of, resume)
+    # all found ones are kept, for the strongest may go with the old text of its article
+    found = _extracted(store, "found_relations", known, _found_relations, resume)
+    relations = store.save("relations", R.strongest(found, ["rel_id"], ["source", "target", "type"]))
     nodes = G.article_nodes(known).unionByName(G.entity_nodes(mentions), allowMissingColumns=True)
     nodes = store.save("nodes", nodes)
     edges = store.save("edges", G.build_edges(mentions, relations, nodes))

@@ -61,3 +61,46 @@ def test_entry_and_registry(spark):
     queries, sql = entry.queries(), entry.oracle_sql()
     assert set(sql) <= set(queries) and len(queries) > 90
     assert all(callable(q) for q in queries.values())
+
+
+class _Dies(StageStore):
+    """Fails when relations are to be saved."""
+
+    def save(self, stage, df):
+        if "relations" in stage:
+            raise OSError(stage)
+        return super().save(stage, df)
+
+
+def _article(spark, rows):
+    metadata = "struct<title:string,authors:array<string>,pubdate:string,url:string,last_updated:string>"
+    links = "array<struct<target:string,anchor_text:string,context:string,section:string>>"
+    schema = f"page_id bigint, id string, metadata {metadata}, internal_links {links}, sections array<string>, full_text string, word_count int, fetched_at timestamp"
+    return spark.createDataFrame([(p, i, (i, None, None, None, None), [], None, text, 9, at) for p, i, text, at in rows], schema)
+
+
+def _rows(df):
+    return sorted(map(str, df.selectExpr(*sorted(df.columns)).collect()))
+
+
+def test_dead_runs_and_new_texts_lose_nothing(spark, tmp_path):
+    t1, t2 = dt.datetime(2024, 1, 1), dt.datetime(2024, 2, 1)
+    text = "{} influenced {} at length. The ontological argument of realism."
+    first = [(1, "a", text.format("Ada Lovelace", "Alan Turing"), t1), (2, "b", text.format("Ada Lovelace", "Alan Turing"), t1), (3, None, text.format("Mary Astell", "Anne Conway"), t1)]
+    again = [(4, "a", text.format("Mary Shelley", "Alan Turing"), t2)]
+    folder = str(tmp_path / "store")
+    try:
+        pipeline.run(_article(spark, first), _Dies(spark, folder))
+        raise AssertionError("should have died")
+    except OSError:
+        pass
+    store = StageStore(spark, folder)
+    pipeline.run(_article(spark, first), store)
+    for rows in (first, first + again):
+        pipeline.run(_article(spark, rows), store)
+        whole = StageStore(spark, str(tmp_path / f"whole{len(rows)}"))
+        pipeline.run(_article(spark, rows), whole)
+        for stage in ("mentions", "relations", "nodes", "edges"):
+            assert _rows(store.latest(stage)) == _rows(whole.latest(stage)), stage
+    found = {(r["source"], r["target"]) for r in store.latest("relations").collect()}
+    assert found == {("Ada Lovelace", "Alan Turing"), ("Mary Shelley", "Alan Turing"), ("Mary Astell", "Anne Conway")}
