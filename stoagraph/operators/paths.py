@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,8 +31,8 @@ def trails(edges: DataFrame, seeds: DataFrame, depth: int, last: DataFrame | Non
     return rows if last is None else rows.join(last.select(F.col("id").alias("node")).distinct(), "node", "left_semi").select("seed", "node", "distance", "types")
 
 
-def distances(edges: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
-    """``(seed, node, distance, parent)`` of every node within ``depth`` undirected steps: breadth-first layers.
+def distances(edges: DataFrame, seeds: DataFrame, depth: int | None = None) -> DataFrame:
+    """``(seed, node, distance, parent)`` of every node within ``depth`` undirected steps, or of all that can be reached: breadth-first layers.
 
     The parent is the smallest neighbour one step nearer, so the rows with a parent form the tree of each seed; the
     seed itself has distance 0 and no parent. The layers stop as soon as one is empty.
@@ -39,7 +41,7 @@ def distances(edges: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
     step = cut(pairs.select(F.col("a").alias("at"), F.col("b").alias("node")).unionByName(pairs.select(F.col("b").alias("at"), F.col("a").alias("node"))))
     seen = seeds.select(F.col("id").alias("seed"), F.col("id").alias("node"), F.lit(0).alias("distance"), F.lit(None).cast("string").alias("parent")).distinct()
     front = seen
-    for k in range(1, depth + 1):
+    for k in count(1) if depth is None else range(1, depth + 1):
         reached = front.select("seed", F.col("node").alias("at")).join(step, "at").groupBy("seed", "node").agg(F.min("at").alias("parent"))
         front = cut(reached.join(seen.select("seed", "node"), ["seed", "node"], "left_anti").select("seed", "node", F.lit(k).alias("distance"), "parent"))
         if front.isEmpty():

@@ -52,6 +52,13 @@ def a1_trails(spark, d):
     return found.groupBy("seed", "node", "distance").agg(F.count(F.lit(1)).alias("n_trails"))
 
 
+def a1_whole(spark, d):
+    """a1_trails over all edges."""
+    nodes, edges = _kept(spark, d)
+    found = P.trails(edges, Q.matches(nodes.filter("label = 'Concept'"), NETWORK).select("id"), 2)
+    return found.groupBy("seed", "node", "distance").agg(F.count(F.lit(1)).alias("n_trails"))
+
+
 def a2_shortest_paths(spark, d):
     nodes, edges = _kept(spark, d)
     a, b = (nodes.filter(F.col("id") == f"concept:{x}").select("id") for x in (ONE, TWO))
@@ -84,6 +91,12 @@ def a8_distances(spark, d):
     return P.distances(_relations_only(edges), nodes.filter(F.col("id") == f"concept:{NETWORK}").select("id"), 4).select("node", "distance")
 
 
+def a8_whole(spark, d):
+    """a8_distances over all edges, until a layer is empty."""
+    nodes, edges = _kept(spark, d)
+    return P.distances(edges, nodes.filter(F.col("id") == f"concept:{NETWORK}").select("id")).select("node", "distance")
+
+
 def a9_betweenness(spark, d):
     """Of the small graph of names that each article's relations make."""
     pairs = table(spark, d, "relationships").select(F.col("article_id").alias("graph"), F.col("source").alias("a"), F.col("target").alias("b")).dropna().distinct()
@@ -96,6 +109,13 @@ def a10_tree(spark, d):
     return P.distances(_relations_only(edges), centre, 3).filter("distance > 0").select("node", "distance", "parent")
 
 
+def a10_whole(spark, d):
+    """a10_tree over all edges, down to the last leaves."""
+    nodes, edges = _kept(spark, d)
+    centre = S.top_degrees(nodes, edges, 1).select("id")
+    return P.distances(edges, centre).filter("distance > 0").select("node", "distance", "parent")
+
+
 def a12_simple_pairs(spark, d):
     return G.simple_pairs(_graph(spark, d)[1])
 
@@ -130,6 +150,16 @@ def q4_directed(spark, d):
     return Q.influence_chain(*_kept(spark, d), PERSON, "forward", 2, mode="directed")
 
 
+def q4_whole(spark, d):
+    """q4_influence_chain to the operator's own depth of 3."""
+    return Q.influence_chain(*_kept(spark, d), PERSON, "both")
+
+
+def q4_whole_directed(spark, d):
+    """q4_directed to the operator's own depth of 3."""
+    return Q.influence_chain(*_kept(spark, d), PERSON, "forward", mode="directed")
+
+
 def q5_schools(spark, d):
     return Q.largest_schools(*_graph(spark, d))
 

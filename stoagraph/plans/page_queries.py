@@ -88,6 +88,14 @@ def p_network_sizes(spark, d):
     return out.select("id", F.round("size_flat", 6).alias("size_flat"), F.round("size_deep", 6).alias("size_deep"))
 
 
+def p_network_sizes_whole(spark, d):
+    """p_network_sizes over all edges."""
+    nodes, edges = _kept(spark, d)
+    near = P.distances(edges, nodes.filter(F.col("id") == f"concept:{NETWORK}").select("id"), 2)
+    out = Y.network_sizes(S.degree_centrality(nodes, edges), near)
+    return out.select("id", F.round("size_flat", 6).alias("size_flat"), F.round("size_deep", 6).alias("size_deep"))
+
+
 def p_heatmap(spark, d):
     names = ["consciousness", "causation", "free will", "metaphysics", "justice", "personal identity", "truth", "practical reason"]
     nodes, edges = _graph(spark, d)
@@ -101,6 +109,13 @@ def p_radial(spark, d):
     return Y.radial(near.select(F.col("node").alias("id"), "distance")).select("id", (F.round("x", 6) + 0.0).alias("x"), (F.round("y", 6) + 0.0).alias("y"))
 
 
+def p_radial_whole(spark, d):
+    """p_radial over all edges and all layers."""
+    nodes, edges = _kept(spark, d)
+    near = P.distances(edges, nodes.filter(F.col("id") == f"concept:{NETWORK}").select("id"))
+    return Y.radial(near.select(F.col("node").alias("id"), "distance")).select("id", (F.round("x", 6) + 0.0).alias("x"), (F.round("y", 6) + 0.0).alias("y"))
+
+
 def p_timeline(spark, d):
     out = Y.timeline(table(spark, d, "nodes").withColumn("one", F.lit(1.0)), "created_at", "deleted_at", "id", "label", "one")
     return out.groupBy("start", "category").agg(F.count(F.lit(1)).alias("n"), F.max("end").alias("last_end"))

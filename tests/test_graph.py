@@ -180,3 +180,55 @@ def test_summary_and_charts(spark):
 def test_cosine(spark):
     df = spark.createDataFrame([([1.0, 0.0], [0.0, 2.0]), ([3.0, 4.0], [3.0, 4.0]), ([0.0, 0.0], [1.0, 1.0]), (None, [1.0, 1.0])], "a array<float>, b array<float>")
     assert [r[0] for r in df.select(cosine(df.a, df.b)).collect()] == [0.0, 1.0, None, None]
+
+
+def _counted(edges, seed, depth, directed=False):
+    """Trails by enumeration: ``{(node, distance): how many}``; directed ones are paths without repeated nodes."""
+    at_node = defaultdict(list)
+    for e in edges:
+        at_node[e[0]].append((e[1], e))
+        if not directed and e[0] != e[1]:
+            at_node[e[1]].append((e[0], e))
+    out, todo = defaultdict(int), [(seed, (seed,) if directed else ())]
+    for k in range(1, depth + 1):
+        todo = [(o, (*used, o if directed else e)) for at, used in todo for o, e in at_node[at] if (o if directed else e) not in used]
+        for at, _ in todo:
+            out[at, k] += 1
+    return out
+
+
+def test_whole_queries_against_enumeration(spark, sf):
+    import __spark_entry__ as entry
+    from stoagraph.plans.graph_queries import NETWORK, PERSON, _graph
+
+    run = lambda name: entry.queries()[name](spark, sf).collect()
+    nodes, edges = (df.collect() for df in _graph(spark, sf))
+    label, all_edges = {r["id"]: r["label"] for r in nodes}, {(r["src"], r["dst"], r["type"]) for r in edges}
+    assert {"MENTIONS", "RELATED_TO"} <= {e[2] for e in all_edges}
+    near, degree = defaultdict(set), defaultdict(int)
+    for a, b, _ in all_edges:
+        degree[a], degree[b] = degree[a] + 1, degree[b] + 1
+        if a != b:
+            near[a].add(b)
+            near[b].add(a)
+    seed = f"concept:{NETWORK}"
+    far = _bfs(near, seed, len(label))
+    assert {(r["node"], r["distance"]) for r in run("a8_whole")} == set(far.items())
+    seeds = [r["id"] for r in nodes if r["label"] == "Concept" and NETWORK in r["name"].lower()]
+    assert {((r["seed"], r["node"], r["distance"]), r["n_trails"]) for r in run("a1_whole")} == {((s, *k), n) for s in seeds for k, n in _counted(all_edges, s, 2).items()}
+    centre = min(label, key=lambda i: (-degree[i], i))
+    tree = _bfs(near, centre, len(label))
+    assert {(r["node"], r["distance"], r["parent"]) for r in run("a10_whole")} == {(v, k, min(m for m in near[v] if tree.get(m) == k - 1)) for v, k in tree.items() if k}
+    people = {e for e in all_edges if label[e[0]] == label[e[1]] == "Philosopher"}
+    seeds = [r["id"] for r in nodes if r["label"] == "Philosopher" and PERSON.lower() in r["name"].lower()]
+    for name, types, directed in (("q4_whole", ("INFLUENCES", "INFLUENCED_BY"), False), ("q4_whole_directed", ("INFLUENCES",), True)):
+        own = {e for e in people if e[2] in types}
+        want = {((s, *k), n) for s in seeds for k, n in _counted(own, s, 3, directed).items()}
+        assert {((r["seed"], r["node"], r["distance"]), r["n_trails"]) for r in run(name)} == want
+    sizes = {r["id"]: (r["size_flat"], r["size_deep"]) for r in run("p_network_sizes_whole")}
+    assert set(sizes) == {v for v, k in far.items() if k <= 2}
+    for v, (flat, deep) in sizes.items():
+        share = len(near[v]) / (len(label) - 1)
+        assert (flat, deep) == pytest.approx((20 + 30 * share - 5 * far[v], 10 + 20 * share), abs=1e-5)
+    places = {r["id"]: (r["x"], r["y"]) for r in run("p_radial_whole")}
+    assert set(places) == set(far) and all((x * x + y * y) ** 0.5 == pytest.approx(0.5 * far[v], abs=1e-5) for v, (x, y) in places.items())
