@@ -17,6 +17,11 @@ def _small(spark, d):
     return nodes, G.mention_edges(table(spark, d, "entities"), nodes).select("src", "dst", "type", "confidence")
 
 
+def _whole(spark, d):
+    nodes = G.current_nodes(table(spark, d, "nodes"))
+    return nodes, G.build_edges(table(spark, d, "entities"), table(spark, d, "relationships"), nodes)
+
+
 def s12_cypher(spark, d):
     return X.cypher(*_small(spark, d))
 
@@ -29,6 +34,21 @@ def s14_gexf(spark, d):
     return X.gexf(*_small(spark, d)).filter("part = 1")
 
 
+def s12_whole(spark, d):
+    """s12_cypher of mentions and relations, with all columns."""
+    return X.cypher(*_whole(spark, d))
+
+
+def s13_whole(spark, d):
+    """s13_graphml of mentions and relations, with all columns and parts."""
+    return X.graphml(*_whole(spark, d))
+
+
+def s14_whole(spark, d):
+    """s14_gexf of mentions and relations, with all parts."""
+    return X.gexf(*_whole(spark, d))
+
+
 def s18_bibliography(spark, d):
     """The articles' bibliographies written as BibTeX, one text per article, and read again."""
     rows = table(spark, d, "article_data").select("page_id", F.posexplode("bibliography").alias("i", "b"))

@@ -1,5 +1,7 @@
 import json
+import re
 import xml.etree.ElementTree as ET
+from collections import Counter
 from pathlib import Path
 
 import pytest
@@ -113,3 +115,43 @@ def test_fetching(spark):
         return None if url == "none" else "<h1>x</h1>"
 
     assert [tuple(r) for r in M.fetched(df, fetch).collect()] == [("a", "ok", "<h1>x</h1>")]
+
+
+def test_whole_exports_hold_the_graph(spark, sf, tmp_path):
+    import __spark_entry__ as entry
+    from stoagraph.plans.export_queries import _whole
+
+    nodes, edges = (df.collect() for df in _whole(spark, sf))
+    text = lambda v: None if v is None else json.dumps(v, ensure_ascii=False, separators=(",", ":")) if isinstance(v, list) else str(v)
+    want = Counter((r["src"], r["dst"], r["type"]) for r in edges)
+    assert max(want.values()) == 1 and len({r["type"] for r in edges}) > 3 and any(r["context"] for r in edges)
+
+    def file(query):
+        X.write_lines(entry.queries()[query](spark, sf), str(tmp_path / query))
+        return "".join(p.read_text() for p in sorted((tmp_path / query).glob("part-*")))
+
+    space = "{http://graphml.graphdrawing.org/xmlns}"
+    root = ET.fromstring(file("s13_whole").encode())
+    data = lambda e: {d.get("key"): d.text or "" for d in e}
+    got = {n.get("id"): data(n) for n in root.iter(f"{space}node")}
+    assert set(got) == {r["id"] for r in nodes}
+    for r in nodes:
+        fields = {f"n_{c}": v for c in r.asDict() if c not in ("id", "created_at", "deleted_at") and (v := text(r[c])) is not None}
+        assert {k: v for k, v in got[r["id"]].items() if k not in ("n_created_at", "n_deleted_at")} == fields
+        assert all((f"n_{c}" in got[r["id"]]) == (r[c] is not None) for c in ("created_at", "deleted_at"))
+    links = {(e.get("source"), e.get("target"), data(e)["e_type"]): data(e) for e in root.iter(f"{space}edge")}
+    assert set(links) == set(want)
+    for r in edges:
+        own = links[r["src"], r["dst"], r["type"]]
+        assert own.get("e_context") == r["context"] and (float(own["e_confidence"]) if "e_confidence" in own else None) == r["confidence"]
+    space = "{http://gexf.net/1.3}"
+    root = ET.fromstring(file("s14_whole").encode())
+    assert {n.get("id") for n in root.iter(f"{space}node")} == {r["id"] for r in nodes}
+    assert Counter((e.get("source"), e.get("target"), e.get("label")) for e in root.iter(f"{space}edge")) == want
+    rows = entry.queries()["s12_whole"](spark, sf).collect()
+    assert sum(r["part"] == 0 for r in rows) == len(nodes)
+    statement = re.compile(r'MATCH \(a \{id: ("(?:[^"\\]|\\.)*")\}\), \(b \{id: ("(?:[^"\\]|\\.)*")\}\) MERGE \(a\)-\[r:(\w+)\]->\(b\) SET r \+= \{.*\};', re.S)
+    found = [statement.fullmatch(r["value"]).groups() for r in rows if r["part"] == 1]
+    assert Counter((json.loads(a), json.loads(b), t) for a, b, t in found) == want
+    assert sum("context: " in r["value"] for r in rows if r["part"] == 1) >= sum(bool(r["context"]) for r in edges)
+    assert any("created_at: " in r["value"] for r in rows if r["part"] == 0) and any("sections: " in r["value"] for r in rows if r["part"] == 0)
