@@ -7,6 +7,7 @@ settles sections, runs and lines together, so that nothing is kept inside a node
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
 from functools import cached_property
@@ -311,17 +312,30 @@ def decode(score: np.ndarray, run: np.ndarray, section: np.ndarray, blank: np.nd
     return out & ~blank
 
 
-def training_pages(pages: DataFrame, page_id: str, text: str, sections: str, title: str, sample_pages: int) -> tuple[list[str], list, set[str]]:
-    """The ``sample_pages`` pages with the smallest digests of their identifiers, and their titles."""
-    picked = pages.select(F.xxhash64(page_id).alias("h"), F.col(page_id).alias("i"), F.col(text).alias("t"), F.col(sections).alias("s"), F.col(title).alias("title")).filter(F.length("t") > 0)
+def known_titles(pages: DataFrame, title: str, lines: set[str], more: DataFrame | None) -> set[str]:
+    """Those of ``lines`` that are a title of any page or of ``more``; only digests of the lines and of hits are moved."""
+    by = {hashlib.sha256(x.encode("utf-8", "surrogatepass")).hexdigest(): x for x in lines}
+    spark = pages.sparkSession
+    wanted = spark.createDataFrame(pd.DataFrame({"d": list(by)}), "d string")
+    titles = pages.select(F.col(title).alias("title"))
+    if more is not None:
+        titles = titles.unionByName(more.select("title"))
+    hits = titles.select(F.sha2("title", 256).alias("d")).join(F.broadcast(wanted), "d", "left_semi").distinct()
+    return {by[r["d"]] for r in hits.collect()}
+
+
+def training_pages(pages: DataFrame, page_id: str, text: str, sections: str, title: str, sample_pages: int, more_titles: DataFrame | None = None) -> tuple[list[str], list, set[str]]:
+    """The ``sample_pages`` pages with the smallest digests of their identifiers, and those of their lines that are the title of any page."""
+    picked = pages.select(F.xxhash64(page_id).alias("h"), F.col(page_id).alias("i"), F.col(text).alias("t"), F.col(sections).alias("s")).filter(F.length("t") > 0)
     # digests alone are ranked, so that no texts but those of the sample leave their tasks
     digests = [r["h"] for r in picked.select("h").distinct().orderBy("h").limit(sample_pages).collect()]
     rows = sorted(picked.filter(F.col("h") <= digests[-1]).dropDuplicates(["h"]).collect(), key=lambda r: r["h"]) if digests else []
-    return [r["t"] for r in rows], [r["s"] for r in rows], {r["title"] for r in rows if r["title"]}
+    lines = {x for r in rows for x in r["t"].split("\n") if x}
+    return [r["t"] for r in rows], [r["s"] for r in rows], known_titles(pages, title, lines, more_titles) if lines else set()
 
 
-def _judged(pages: DataFrame, page_id: str, text: str, sections: str, title: str, sample_pages: int, whole: bool) -> DataFrame:
-    texts, heads, titles = training_pages(pages, page_id, text, sections, title, sample_pages)
+def _judged(pages: DataFrame, page_id: str, text: str, sections: str, title: str, sample_pages: int, more_titles: DataFrame | None, whole: bool) -> DataFrame:
+    texts, heads, titles = training_pages(pages, page_id, text, sections, title, sample_pages, more_titles)
     schema = f"page_id {dict(pages.dtypes)[page_id]}, " + ("body string, n_lines int, n_own int" if whole else "line_no int, furniture boolean")
     picked = pages.select(F.col(page_id).alias("page_id"), F.col(text).alias("text"), F.col(sections).alias("sections")).filter(F.length("text") > 0)
     if not texts:
@@ -346,16 +360,17 @@ def _judged(pages: DataFrame, page_id: str, text: str, sections: str, title: str
     return picked.mapInPandas(run, schema)
 
 
-def line_roles(pages: DataFrame, page_id: str, text: str, sections: str, title: str, sample_pages: int = 1000) -> DataFrame:
+def line_roles(pages: DataFrame, page_id: str, text: str, sections: str, title: str, sample_pages: int = 1000, more_titles: DataFrame | None = None) -> DataFrame:
     """``(page_id, line_no, furniture)`` for every non-empty line, counted from 1 with empty lines.
 
-    The model is fitted on at most ``sample_pages`` pages; every page is then read whole, in one pass without a shuffle.
+    The model is fitted on at most ``sample_pages`` pages, whose lines are looked up among the titles of all pages and of
+    ``more_titles`` (a column ``title``); every page is then read whole, in one pass without a shuffle.
     Null and empty texts give no rows; null ``sections`` mean no headings are known; without any page there is nothing
     to fit and no row. Pages that repeat are judged alike.
     """
-    return _judged(pages, page_id, text, sections, title, sample_pages, whole=False)
+    return _judged(pages, page_id, text, sections, title, sample_pages, more_titles, whole=False)
 
 
-def main_texts(pages: DataFrame, page_id: str, text: str, sections: str, title: str, sample_pages: int = 1000) -> DataFrame:
+def main_texts(pages: DataFrame, page_id: str, text: str, sections: str, title: str, sample_pages: int = 1000, more_titles: DataFrame | None = None) -> DataFrame:
     """``(page_id, body, n_lines, n_own)``: the page's own lines in order, with its empty lines; see ``line_roles``."""
-    return _judged(pages, page_id, text, sections, title, sample_pages, whole=True)
+    return _judged(pages, page_id, text, sections, title, sample_pages, more_titles, whole=True)

@@ -14,11 +14,11 @@ def _pages(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    return B.line_roles(_pages(spark, d), "page_id", "full_text", "sections", "title").filter("furniture").select("page_id", "line_no")
+    return B.line_roles(_pages(spark, d), "page_id", "full_text", "sections", "title", more_titles=table(spark, d, "entries")).filter("furniture").select("page_id", "line_no")
 
 
 def p2_main(spark: SparkSession, d: str) -> DataFrame:
-    return B.main_texts(_pages(spark, d), "page_id", "full_text", "sections", "title")
+    return B.main_texts(_pages(spark, d), "page_id", "full_text", "sections", "title", more_titles=table(spark, d, "entries"))
 
 
 QUERIES = {"p2_found": p2_found, "p2_main": p2_main}

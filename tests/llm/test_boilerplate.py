@@ -75,3 +75,11 @@ def test_roles_and_main_texts(spark):
 def test_no_pages(spark):
     df = spark.createDataFrame([], "page_id int, full_text string, sections array<string>, title string")
     assert B.line_roles(df, "page_id", "full_text", "sections", "title").count() == 0
+
+
+def test_titles_of_all_pages_label_the_sample(spark):
+    rows = [(i, "\n".join(["Own line.", *(f"Title {k}" for k in range(0, 60, 2)), "Entry only"]), None, f"Title {i}") for i in range(40)]
+    df = spark.createDataFrame(rows, "page_id int, full_text string, sections array<string>, title string")
+    entries = spark.createDataFrame([("Entry only",), ("Elsewhere",), (None,), ("",)], "title string")
+    texts, _, titles = B.training_pages(df, "page_id", "full_text", "sections", "title", 3, entries)
+    assert len(texts) == 3 and titles == {f"Title {k}" for k in range(0, 40, 2)} | {"Entry only"}
