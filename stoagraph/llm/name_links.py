@@ -202,6 +202,46 @@ def keys_of(n: Name, shortest: int = 4) -> list[str]:
     return sorted({last for last, _ in _readings(n) if len(last) >= shortest and last not in _GIVEN and last not in _SHORT})
 
 
+#: Marks of keys that are met exactly, not by close words: of names that say less, of the names they can be found in, of equals.
+LESS, MORE, LIKE = "\x01", "\x02", "\x03"
+
+
+def _stands_for(given: str) -> set[str]:
+    """Full given names that a given name, or a short form with one typo, stands for."""
+    out = set(_SHORT.get(given, ())) | ({given} if given in _GIVEN else set())
+    if len(given) >= 4:
+        for short, full in _SHORT.items():
+            if len(short) >= 4 and osa_within(given, short, 1) <= 1:
+                out |= full
+    return out
+
+
+def exact_keys_of(n: Name, shortest: int = 4) -> list[str]:
+    """Keys by the last names that ``keys_of`` leaves out, each with the first given name.
+
+    An initial meets the names it begins and its like; full given names meet if they stand for the same one or if, as
+    within one typo, they are equal after at most one deletion from each. A lone given name is no last name.
+    """
+    out = set()
+    for last, given in _readings(n):
+        named = last in _GIVEN or last in _SHORT
+        if len(last) >= shortest and not named:
+            continue
+        if not named:
+            out.add(f"{MORE if given else LESS}{last}")
+        elif not given and len(last) >= shortest:
+            out.add(last)  # looked up as a word, against its own misspellings
+        if not given:
+            continue
+        first = given[0]
+        out.add(f"{LESS if len(first) == 1 else MORE}{last} {first[0]}")
+        out.add(f"{LIKE}{last} {first}")
+        if len(first) >= 3:
+            out |= {f"{LIKE}{last} {first[:i]}{first[i + 1 :]}" for i in range(len(first))}
+        out |= {f"{LIKE}{last} ={full}" for full in _stands_for(first)}
+    return sorted(out)
+
+
 def _parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         rows = []
@@ -209,7 +249,7 @@ def _parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             own = Name(name)
             form = "|".join((" ".join(own.words[:-1]), own.words[-1] if own.words else "", own.suffix, "1" if own.known_last else ""))
             form = form if own.words else f"={name}"
-            rows.append((name, n, form, 100 * own.n_full + len(own.words), keys_of(own)))
+            rows.append((name, n, form, 100 * own.n_full + len(own.words), sorted({*keys_of(own), *exact_keys_of(own)})))
         yield pd.DataFrame(rows, columns=["name", "n", "form", "says", "keys"])
 
 
@@ -292,8 +332,12 @@ def linked_names(rows: DataFrame, name: str, k: int = 2) -> DataFrame:
     parsed = cut(distinct.mapInPandas(_parse, "name string, n bigint, form string, says int, keys array<string>"))
     forms = cut(parsed.groupBy("form").agg(F.max_by("name", F.struct("n", "name")).alias("name"), F.sum("n").alias("n"), F.first("says").alias("says"), F.first("keys").alias("keys")))
     keyed = forms.select("form", "name", "n", "says", F.explode("keys").alias("word"))
-    near = close_words(keyed.select("word").distinct(), k)
-    same = keyed.select("word").distinct().withColumn("other", F.col("word"))
+    words = keyed.select("word").distinct()
+    mark = F.substring("word", 1, 1)
+    near = close_words(words.filter(~mark.isin(LESS, MORE, LIKE)), k)
+    less = words.filter(mark == LESS).withColumn("other", F.concat(F.lit(MORE), F.expr("substring(word, 2)")))
+    near = near.unionByName(less)
+    same = words.filter(mark != MORE).withColumn("other", F.col("word"))
     both = cut(near.unionByName(near.select(F.col("other").alias("word"), F.col("word").alias("other"))).unionByName(same))
     a, b = keyed.alias("a"), keyed.alias("b")
     rank_a, rank_b = F.struct("a.says", "a.n", "a.form"), F.struct("b.says", "b.n", "b.form")

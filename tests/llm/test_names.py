@@ -86,3 +86,18 @@ def test_pairs_in_parts_are_the_same(spark):
 def test_empty_table(spark):
     out = N.linked_names(spark.createDataFrame([], "name string"), "name")
     assert out.count() == 0 and N.name_pairs(out).count() == 0
+
+
+def test_short_and_given_last_names_are_linked(spark):
+    groups = [
+        ["William James", "James, William", "W. James", "Bill James", "Wiliam James"],
+        ["John Lee", "Lee, John", "J. Lee", "Jack Lee"],
+        ["Margaret Thomas", "Thomas, Margaret", "Peggy Thomas"],
+        ["Robert Fox", "Fox"],
+        ["Henry", "Hnery"],
+    ]
+    rows = [(n,) for g in groups for n in g] + [("Henry James",), ("Thomas Lee",)]
+    out = {r["name"]: r["entity"] for r in N.linked_names(spark.createDataFrame(rows, "name string"), "name").collect()}
+    for g in groups:
+        assert len({out[n] for n in g}) == 1, {n: out[n] for n in g}
+    assert len({out[n] for n in ("William James", "Henry James", "John Lee", "Thomas Lee", "Margaret Thomas", "Robert Fox", "Henry")}) == 7
