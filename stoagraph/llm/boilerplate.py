@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections import defaultdict
 from collections.abc import Iterator
 from functools import cached_property
 
@@ -16,42 +17,23 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stoagraph.llm.gbt import BoostedTrees
 
-# Words that stand alone or in rows as links to a site's own pages.
-SITE_WORDS = set(
-    """home about help search login log in register browse contents topics archive archives news journals contributors random donate support contact
-    start autoren kontakt hilfe suche neues themen impressum anmelden archiv datenschutz registrieren startseite
-    accueil recherche thèmes connexion actualités auteurs index aide mentions légales contact
-    inicio buscar ayuda temas autores contacto acceder noticias privacy accessibility terms of use""".split()
-)
-# Beginnings, parts and ends of lines that only page furniture has; they label the training sample.
-BEGINS = re.compile(
-    r"""(?:©|copyright\s©|(?:we|this\ssite|this\spage|our\spages|our\ssite)\s(?:use|uses|store|stores)\s.*(?:cookie|device)|cookies\s(?:help|allow|let)\sus|your\sprivacy\smatters
-    |nous\sutilisons\sdes\scookies|ce\ssite\s(?:utilise|dépose)|wir\sverwenden\scookies|diese\sseite\sverwendet|zur\sverbesserung\sder\sseite|usamos\scookies|este\ssitio
-    |skip\sto\s|zum\sinhalt\sspringen|aller\sau\scontenu|saltar\sal\s|back\sto\stop$|nach\soben$|haut\sde\spage|volver\sarriba|log\sin\s\||sign\s(?:in|up)\s|se\sconnecter$|anmelden$
-    |how\sto\scite|pour\sciter|zitierweise|zitieren|cómo\scitar|previous:|next:|weiter\szu\s|zurück\szu\s|suivant\s?:|précédent\s?:
-    |related\sentries|see\salso:|voir\saussi|siehe\sauch|véase|you\smay\salso\slike|most\sread|meistgelesen|les\splus\slus|recently\srevised|zuletzt\sgeändert|mis\sà\sjour|in\sthis\sseries$|mirror\ssites
-    |tags:|schlagwörter:|mots-clés|share:|teilen\s|partager\s|font\ssize|listen\sto\sthis|report\san\serror|page\sgenerated|entry\s\d+\sof\s|seite\s\d+\svon|page\s\d+\s(?:sur|of)\s
-    |support\sthis\s|enter\syour\se-?mail|recevoir\sla\slettre|newsletter|advertisement$|anzeige$|publicité$|publicidad$|terms\sof\suse|mentions\slégales|impressum\s|aviso\slegal|editorial\sboard,
-    |readers\sin\s.*\sorder\s|unless\snoted\sotherwise|your\sinstitution\sdoes|the\sarchive\sis\ssupported|contents?:|sommaire\s?:|inhalt:|contenido:|\[\d+\s\w+\]$|\d+\s(?:kommentare|commentaires|comments|comentarios)$
-    |\d+\sreaders\s)""",
-    re.IGNORECASE | re.VERBOSE,
-)
-ENDS = re.compile(
-    r"""(?:all\srights\sreserved|alle\srechte\svorbehalten|tous\sdroits\sréservés|reservados\stodos\slos\sderechos)\.?$
-    |(?:\(\d+\svotes?\)|\(\d+\s(?:stimmen|voix|votos)\)|read\son\s»?|lire\sla\ssuite\s?»?|mehr\s…|weiterlesen\s?»?|leer\smás\s?»?|\s…)$""",
-    re.IGNORECASE | re.VERBOSE,
-)
-#: No furniture is as long as this; it labels long lines that end without a full stop.
-LONG = 400
-HOLDS = "has been kept by volunteers"
-#: Longer than any of the ends.
-END_CHARS = 60
 _ROW = re.compile(r"\s(?:[·|»>/–›•])\s")
+_STOP = re.compile(r"[.!?][\"”’»)]?$")
+_SENTENCE = re.compile(r"(?<=[.!?])\s+")
+_NUMBER = re.compile(r"[0-9]+")
+_QUOTE = re.compile(r"“[^”]*”|\"[^\"]*\"|«[^»]*»|„[^“]*“")
+_CAPITALS = regex.compile(r"\p{Lu}[\w'’\-]*(?:\s+(?:\p{Ll}{1,3}\s+){0,2}\p{Lu}[\w'’\-]*)*")
+_SMALL = regex.compile(r"\p{Ll}")
+_TAIL = re.compile(r"[^\w.!?\s]$")
+_COUNTED = re.compile(r"^(?:§?\s?\d+[.)]?\s+)")
+#: Own lines this long that recur nowhere are sure marks of where a page's body begins and ends.
+LONG = 200
 NAMES = [
     "chars", "words", "sentences", "full_stop", "ellipsis", "closed", "first_kind", "digits", "capitals", "separators", "colon", "sign", "commas", "is_heading",
     "from_top", "from_end", "depth_share", "section_no", "since_heading", "to_heading", "words_before", "words_after", "stop_before", "stop_after", "section_density",
@@ -60,32 +42,83 @@ NAMES = [
 ]
 
 
-def looks_like_site_row(line: str) -> bool:
-    """Short parts between separators, or nothing but words for a site's own pages."""
-    parts = _ROW.split(line)
-    if len(parts) >= 2 and not re.search(r"[.!?…]$", line) and all(len(p.split()) <= 7 for p in parts):
-        return True
-    tokens = re.findall(r"[^\W\d_]+", line.lower())
-    return 0 < len(tokens) <= 12 and all(t in SITE_WORDS for t in tokens)
-
-
-def sample_label(line: str, is_heading: bool, known_heading: bool, known_title: bool) -> float:
-    """1 for furniture, 0 for an own line, NaN where the fixed wordings and the tables decide nothing."""
-    if not line.strip():
-        return float("nan")
-    if is_heading:
-        return 0.0
-    if BEGINS.match(line) or ENDS.search(line[-END_CHARS:]) or HOLDS in line or known_title and not known_heading:
-        return 1.0
-    if len(line) >= LONG:
-        return 0.0
-    if re.search(r"[.!?][\"”’»)]?$", line) and len(line) >= 30:
-        return 0.0
-    if known_heading:
-        return 0.0
-    if looks_like_site_row(line):
-        return 1.0
-    return float("nan")
+def shape(text: str) -> str:
+    """The text with numbers, quotations and runs of capitalised words replaced by one sign each."""
+    return _CAPITALS.sub("N", _NUMBER.sub("0", _QUOTE.sub("Q", text)))
+
+
+def line_keys(line: str) -> list[tuple[str, str]]:
+    """What is counted of a line over the pages.
+
+    Lines that end a sentence: the first four words' shape. Others: their shape, or the line itself if its shape says
+    nothing, and an ending that is no word.
+    """
+    if _STOP.search(line):
+        return [("begins", " ".join(shape(_SENTENCE.split(line)[0]).split(" ")[:4]))]
+    formed = shape(line)
+    keys = [("line", formed) if _SMALL.search(formed) else ("exact", _NUMBER.sub("0", line))]
+    if _TAIL.search(line):
+        keys.append(("ends", _NUMBER.sub("0", " ".join(line.split(" ")[-2 if line.endswith(")") else -1 :]))))
+    return keys
+
+
+def sample_labels(lines: list[str], heading: np.ndarray, page: np.ndarray, records: list, sections: list, titles: set[str], least: int = 4) -> np.ndarray:
+    """1 for furniture, 0 for an own line, NaN where nothing decides; no wording is known, only what recurs and where.
+
+    What ends no sentence and recurs, by its shape, on pages of ``least`` records is furniture, so is a title of another
+    page and a row of short parts; headings of any page are own. Lines that end a sentence recur among own lines too
+    (mottoes, set phrases): they are furniture if a third of those that begin alike stand outside of the page's body,
+    which reaches from the line before its first to the line after its last sure own line, and own if they stand inside.
+    """
+    n = len(lines)
+    heads = {_COUNTED.sub("", x) for s in sections if s is not None for x in s if x}
+    found: dict[tuple[str, str], set] = defaultdict(set)
+    keys: list[list[tuple[str, str]]] = []
+    for x, at in zip(lines, page.tolist(), strict=True):
+        own = line_keys(x) if x.strip() else []
+        keys.append(own)
+        parts = [("part", _NUMBER.sub("0", p)) for p in set(_ROW.split(x))] if own and own[0][0] != "begins" else []
+        for k in own + parts:
+            found[k].add(records[at])
+    frequent = {k for k, v in found.items() if len(v) >= least}
+    label = np.full(n, np.nan)
+    alike: dict[tuple[str, str], list[int]] = defaultdict(list)
+    for i, (x, own) in enumerate(zip(lines, keys, strict=True)):
+        if not own:
+            continue
+        if heading[i]:
+            label[i] = 0.0
+        elif own[0][0] == "begins":
+            alike[own[0]].append(i)
+            if len(x) >= LONG and own[0] not in frequent:
+                label[i] = 0.0
+        elif _COUNTED.sub("", x) in heads:
+            label[i] = np.nan if x in titles else 0.0
+        else:
+            parts, words = _ROW.split(x), x.split(" ")
+            row = len(parts) >= 2 and all(len(p.split()) <= 7 for p in parts)
+            row = row or len(parts) < 2 <= len(words) and all(("part", w) in frequent for w in words)
+            if x in titles or row or any(k in frequent for k in own):
+                label[i] = 1.0
+            elif len(x) >= LONG:
+                label[i] = 0.0
+    sure = label == 0
+    for _ in range(3):  # lines told apart as own widen the bodies that tell others apart
+        at = np.flatnonzero(sure)
+        first, last = np.full(len(records), n), np.full(len(records), -1)
+        np.minimum.at(first, page[at], at)
+        np.maximum.at(last, page[at], at)
+        inside = (first[page] - 1 <= np.arange(n)) & (np.arange(n) <= last[page] + 1)
+        sure = label == 0
+        for key, where in alike.items():
+            if key in frequent:
+                outside = float((~inside[where]).sum()) / (len(where) + 4)
+                label[where] = 1.0 if outside > 0.5 else 0.0 if outside < 1 / 3 else np.nan
+                sure[where] |= outside < 1 / 4
+            else:
+                own_here = [i for i in where if inside[i]]
+                label[own_here] = 0.0
+    return label
 
 
 class Lines:
@@ -106,8 +139,8 @@ class Lines:
         num = lambda a: a.to_numpy(zero_copy_only=False).astype(np.float32)
         chars = num(pc.utf8_length(joined))
         self.blank = chars == 0
-        short = chars <= 120
-        texts_short = {int(i): joined[int(i)].as_py() for i in np.flatnonzero(short & ~self.blank)}
+        longest = max((len(x) for o in own for x in o), default=0)
+        texts_short = {int(i): joined[int(i)].as_py() for i in np.flatnonzero((chars <= longest) & ~self.blank)}
         heading = np.zeros(n, dtype=np.float32)
         for i, t in texts_short.items():
             heading[i] = t in own[self.page[i]]
@@ -250,17 +283,14 @@ class Model:
         self.odds, self.trees, self.n_lines, self.held_out = odds, trees, n_lines, held_out
 
 
-def fit(texts: list[str], sections: list, titles: set[str], trial: bool = False) -> Model:
-    """Fit on sampled pages; the fixed wordings and the pages' own headings and titles label their lines.
+def fit(texts: list[str], sections: list, titles: set[str], trial: bool = False, records: list | None = None) -> Model:
+    """Fit on sampled pages, whose lines ``sample_labels`` labels; ``records`` tells which pages are fetches of one record.
 
     Odds are taken from the other half of the pages, so that the trees learn what unseen pages look like. ``held_out``
     is the share of labelled lines of every fifth page on which trees fitted without those pages agree (with ``trial``).
     """
     lines = Lines(texts, sections)
-    headings = {x for s in sections if s is not None for x in s if x}
-    strip = re.compile(r"^(?:§?\s?\d+[.)]?\s+)")
-    headings |= {strip.sub("", h) for h in headings}
-    label = np.array([sample_label(t, bool(h), strip.sub("", t) in headings, t in titles) for t, h in zip(lines.lines.to_pylist(), lines.heading, strict=True)])
+    label = sample_labels(lines.lines.to_pylist(), lines.heading, lines.page, records or list(range(len(texts))), sections, titles)
     half = lines.page % 2
     x = np.zeros((len(label), len(NAMES)), dtype=np.float32)
     for k in (0, 1):
@@ -324,23 +354,25 @@ def known_titles(pages: DataFrame, title: str, lines: set[str], more: DataFrame
     return {by[r["d"]] for r in hits.collect()}
 
 
-def training_pages(pages: DataFrame, page_id: str, text: str, sections: str, title: str, sample_pages: int, more_titles: DataFrame | None = None) -> tuple[list[str], list, set[str]]:
-    """The ``sample_pages`` pages with the smallest digests of their identifiers, and those of their lines that are the title of any page."""
-    picked = pages.select(F.xxhash64(page_id).alias("h"), F.col(page_id).alias("i"), F.col(text).alias("t"), F.col(sections).alias("s")).filter(F.length("t") > 0)
+def training_pages(pages: DataFrame, page_id: str, text: str, sections: str, title: str, sample_pages: int, more_titles: DataFrame | None = None, record: str | None = None) -> tuple[list[str], list, set[str], list]:
+    """The ``sample_pages`` pages with the smallest digests of their identifiers, those of their lines that are the title of any page, and their records."""
+    picked = pages.select(
+        F.xxhash64(page_id).alias("h"), F.col(page_id).alias("i"), F.col(text).alias("t"), F.col(sections).alias("s"), F.coalesce(F.col(record or page_id).cast("string"), F.lit("")).alias("r")
+    ).filter(F.length("t") > 0)
     # digests alone are ranked, so that no texts but those of the sample leave their tasks
     digests = [r["h"] for r in picked.select("h").distinct().orderBy("h").limit(sample_pages).collect()]
     rows = sorted(picked.filter(F.col("h") <= digests[-1]).dropDuplicates(["h"]).collect(), key=lambda r: r["h"]) if digests else []
     lines = {x for r in rows for x in r["t"].split("\n") if x}
-    return [r["t"] for r in rows], [r["s"] for r in rows], known_titles(pages, title, lines, more_titles) if lines else set()
+    return [r["t"] for r in rows], [r["s"] for r in rows], known_titles(pages, title, lines, more_titles) if lines else set(), [r["r"] for r in rows]
 
 
-def _judged(pages: DataFrame, page_id: str, text: str, sections: str, title: str, sample_pages: int, more_titles: DataFrame | None, whole: bool) -> DataFrame:
-    texts, heads, titles = training_pages(pages, page_id, text, sections, title, sample_pages, more_titles)
+def _judged(pages: DataFrame, page_id: str, text: str, sections: str, title: str, sample_pages: int, more_titles: DataFrame | None, record: str | None, whole: bool) -> DataFrame:
+    texts, heads, titles, records = training_pages(pages, page_id, text, sections, title, sample_pages, more_titles, record)
     schema = f"page_id {dict(pages.dtypes)[page_id]}, " + ("body string, n_lines int, n_own int" if whole else "line_no int, furniture boolean")
     picked = pages.select(F.col(page_id).alias("page_id"), F.col(text).alias("text"), F.col(sections).alias("sections")).filter(F.length("text") > 0)
     if not texts:
         return pages.sparkSession.createDataFrame([], schema)
-    model = fit(texts, heads, titles)
+    model = fit(texts, heads, titles, records=records)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -360,17 +392,17 @@ def _judged(pages: DataFrame, page_id: str, text: str, sections: str, title: str
     return picked.mapInPandas(run, schema)
 
 
-def line_roles(pages: DataFrame, page_id: str, text: str, sections: str, title: str, sample_pages: int = 1000, more_titles: DataFrame | None = None) -> DataFrame:
+def line_roles(pages: DataFrame, page_id: str, text: str, sections: str, title: str, sample_pages: int = 1000, more_titles: DataFrame | None = None, record: str | None = None) -> DataFrame:
     """``(page_id, line_no, furniture)`` for every non-empty line, counted from 1 with empty lines.
 
     The model is fitted on at most ``sample_pages`` pages, whose lines are looked up among the titles of all pages and of
-    ``more_titles`` (a column ``title``); every page is then read whole, in one pass without a shuffle.
+    ``more_titles`` (a column ``title``), ``record`` naming the column that fetches of one record share; every page is then read whole, in one pass without a shuffle.
     Null and empty texts give no rows; null ``sections`` mean no headings are known; without any page there is nothing
     to fit and no row. Pages that repeat are judged alike.
     """
-    return _judged(pages, page_id, text, sections, title, sample_pages, more_titles, whole=False)
+    return _judged(pages, page_id, text, sections, title, sample_pages, more_titles, record, whole=False)
 
 
-def main_texts(pages: DataFrame, page_id: str, text: str, sections: str, title: str, sample_pages: int = 1000, more_titles: DataFrame | None = None) -> DataFrame:
+def main_texts(pages: DataFrame, page_id: str, text: str, sections: str, title: str, sample_pages: int = 1000, more_titles: DataFrame | None = None, record: str | None = None) -> DataFrame:
     """``(page_id, body, n_lines, n_own)``: the page's own lines in order, with its empty lines; see ``line_roles``."""
-    return _judged(pages, page_id, text, sections, title, sample_pages, more_titles, whole=True)
+    return _judged(pages, page_id, text, sections, title, sample_pages, more_titles, record, whole=True)

@@ -22,11 +22,14 @@ def _pages(n: int) -> tuple[list, list, list]:
         heads = [f"{rng.choice(names)} and {rng.choice(names)}" for _ in range(3)]
         for h in heads:
             rows.append((h, False))
+            if rng.random() < 0.2:
+                rows.append(("Who enters by the cookie leaves by the archive.", False))
             for _ in range(3):
                 rows.append((f"The {rng.choice(names)} thesis restores {rng.choice(names)} rather than {rng.choice(names)}. It is held that no {rng.choice(names)} grounds its own order.", False))
             if rng.random() < 0.5:
                 rows.append((f"“The argument of {rng.choice(names)} is late.” ({rng.integers(1, 99)} votes)", True))
-        rows += [("Home is not a place on a list but a relation between persons.", False), ("", False), (f"© {2000 + i % 20} Some Archive. All rights reserved.", True), ("Back to top", True)]
+        # the same sentence at the end of every page is furniture, a motto somewhere inside the body is not
+        rows += [("Home is not a place on a list but a relation between persons.", True), ("", False), (f"© {2000 + i % 20} Some Archive. All rights reserved.", True), ("Back to top", True)]
         texts.append("\n".join(t for t, _ in rows))
         sections.append(heads)
         roles.append([r for _, r in rows])
@@ -72,6 +75,29 @@ def test_roles_and_main_texts(spark):
     assert main[0] == "\n".join(kept)
 
 
+def test_labels_know_no_wordings():
+    """Furniture in an invented language is found by where and how often it stands; a long heading is a heading."""
+    rng = np.random.default_rng(5)
+    word = lambda: "".join(rng.choice(list("bdfgklmnprstvz")) + rng.choice(list("aeiou")) for _ in range(int(rng.integers(2, 5))))
+    notices = [" ".join(word() for _ in range(9)).capitalize() + "." for _ in range(6)]
+    long_heading = " ".join(word() for _ in range(60)).capitalize()
+    texts, sections, roles = [], [], []
+    for _ in range(150):
+        body = [(" ".join(word() for _ in range(60)).capitalize() + ".", False) for _ in range(6)]
+        top, foot = ([(n, True) for n in rng.choice(part, 2, replace=False)] for part in (notices[:3], notices[3:]))
+        rows = [*top, (long_heading, False), *body, *foot, (f"{word().capitalize()} {int(rng.integers(9))}", True)]
+        texts.append("\n".join(t for t, _ in rows))
+        sections.append([long_heading])
+        roles.append([r for _, r in rows])
+    assert len(long_heading) > 120
+    model = B.fit(texts[:100], sections[:100], set())
+    lines = B.Lines(texts[100:], sections[100:])
+    out = B.decode(model.trees.score(lines.features(model.odds)), lines.run, lines.section, lines.blank, lines.heading)
+    truth = np.array([r for page in roles[100:] for r in page])
+    counted = np.array(["." in t or t == long_heading for page in texts[100:] for t in page.split("\n")])
+    assert (out == truth)[counted].mean() > 0.99
+
+
 def test_no_pages(spark):
     df = spark.createDataFrame([], "page_id int, full_text string, sections array<string>, title string")
     assert B.line_roles(df, "page_id", "full_text", "sections", "title").count() == 0
@@ -81,5 +107,5 @@ def test_titles_of_all_pages_label_the_sample(spark):
     rows = [(i, "\n".join(["Own line.", *(f"Title {k}" for k in range(0, 60, 2)), "Entry only"]), None, f"Title {i}") for i in range(40)]
     df = spark.createDataFrame(rows, "page_id int, full_text string, sections array<string>, title string")
     entries = spark.createDataFrame([("Entry only",), ("Elsewhere",), (None,), ("",)], "title string")
-    texts, _, titles = B.training_pages(df, "page_id", "full_text", "sections", "title", 3, entries)
+    texts, _, titles, _ = B.training_pages(df, "page_id", "full_text", "sections", "title", 3, entries)
     assert len(texts) == 3 and titles == {f"Title {k}" for k in range(0, 40, 2)} | {"Entry only"}
