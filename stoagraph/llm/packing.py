@@ -43,72 +43,51 @@ def split_items(counts: DataFrame, capacity: int) -> DataFrame:
     return one.select("item_id", "piece_no", size.cast("int").alias("n_tokens"))
 
 
-def best_configuration(lengths: np.ndarray, prices: np.ndarray, capacity: int) -> np.ndarray:
-    """The number of items of each length in a container of the greatest total price: unbounded knapsack, by dynamic programming."""
+def best_configuration(lengths: np.ndarray, prices: np.ndarray, capacity: int, most: np.ndarray | None = None) -> np.ndarray:
+    """The number of items of each length in a container of the greatest total price, at most ``most`` of each.
+
+    Bounded knapsack by dynamic programming over the capacity: a length's items are taken in bundles of 1, 2, 4, … and a rest.
+    """
+    limit = capacity // lengths
+    limit = limit if most is None else np.minimum(limit, most)
     best = np.zeros(capacity + 1)
-    choice = np.full(capacity + 1, -1, dtype=np.int64)
-    upto = np.searchsorted(lengths, np.arange(capacity + 1), side="right")
-    for c in range(1, capacity + 1):
-        k = upto[c]
-        best[c] = best[c - 1]
-        if k:
-            gain = best[c - lengths[:k]] + prices[:k]
-            i = int(gain.argmax())
-            if gain[i] > best[c]:
-                best[c], choice[c] = gain[i], i
+    bundles: list[tuple[int, int, np.ndarray]] = []
+    for i in np.flatnonzero(limit > 0).tolist():
+        rest, size = int(limit[i]), 1
+        while rest:
+            size = min(size, rest)
+            w = int(lengths[i]) * size
+            worth = best[: capacity + 1 - w] + prices[i] * size
+            better = worth > best[w:]
+            np.copyto(best[w:], worth, where=better)
+            bundles.append((i, size, better))
+            rest, size = rest - size, 2 * size
     config = np.zeros(len(lengths), dtype=np.int64)
     c = capacity
-    while c > 0:
-        if choice[c] < 0:
-            c -= 1
-        else:
-            config[choice[c]] += 1
-            c -= int(lengths[choice[c]])
+    for i, size, better in reversed(bundles):
+        w = int(lengths[i]) * size
+        if c >= w and better[c - w]:
+            config[i] += size
+            c -= w
     return config
 
 
-def configuration_program(lengths: np.ndarray, counts: np.ndarray, capacity: int, rounds: int = 160, rate: float = 4.0) -> tuple[list[tuple[np.ndarray, float]], float]:
-    """Fractional configurations that cover the histogram, and a lower bound for the number of containers.
-
-    Multiplicative weights: the price of a length starts at its share of the capacity and falls with the share of its
-    items that is covered; each round adds an equal step of the configuration with the greatest price. Any prices,
-    divided by the price of the best configuration, are a solution of the dual and so give a bound.
-    """
-    share = lengths / capacity
-    step = max(1.0, float((share * counts).sum()) / rounds)
-    covered = np.zeros(len(lengths))
-    bound, chosen = float((share * counts).sum()), []
-    for _ in range(rounds):
-        if (covered >= counts).all():
-            break
-        prices = share * np.exp(-rate * np.minimum(covered / counts, 2.0))
-        config = best_configuration(lengths, prices, capacity)
-        bound = max(bound, float((prices * counts).sum() / (prices * config).sum()))
-        chosen.append((config, step))
-        covered += config * step
-    return chosen, bound
-
-
-def rounded(lengths: np.ndarray, counts: np.ndarray, capacity: int, chosen: list[tuple[np.ndarray, float]]) -> list[tuple[np.ndarray, int]]:
-    """Whole numbers of containers per configuration, holding every item exactly once.
+def priced_containers(lengths: np.ndarray, counts: np.ndarray, capacity: int, worth: np.ndarray, rate: float) -> list[tuple[np.ndarray, int]]:
+    """One run of multiplicative weights: whole numbers of configurations that hold every item exactly once.
 
-    A configuration is taken as often as its fraction says and its lengths still last; what is left is filled up
-    greedily, longest first, each pattern as often as it can be repeated.
+    The price of a length is its ``worth`` times a weight that falls with the share of its items already covered,
+    measured against the share of the whole; so lengths that lag behind are drawn in and the rest stays as mixed as
+    the whole. Each round takes the configuration of the greatest price among what is left, as often as the rest of
+    its scarcest length allows, rounded down to whole containers; what the rounding leaves goes back to the rest.
+    Every round ends a length or nearly so, thus the number of rounds depends on the lengths, not on the items.
     """
     left = counts.astype(np.int64).copy()
+    volume = float((lengths * counts).sum())
     out: list[tuple[np.ndarray, int]] = []
-    for config, x in chosen:
-        used = config > 0
-        times = min(int(math.floor(x + 1e-9)), int((left[used] // config[used]).min())) if used.any() else 0
-        if times:
-            left -= config * times
-            out.append((config, times))
     while left.any():
-        config, room = np.zeros(len(lengths), dtype=np.int64), capacity
-        for i in np.flatnonzero(left)[::-1]:
-            if lengths[i] <= room:
-                config[i] = min(int(left[i]), room // int(lengths[i]))
-                room -= int(config[i] * lengths[i])
+        covered = 1 - left / counts
+        ahead = covered - float((lengths * (counts - left)).sum()) / volume
+        config = best_configuration(lengths, worth * np.exp(-rate * ahead), capacity, left)
         used = config > 0
         times = int((left[used] // config[used]).min())
         left -= config * times
@@ -116,6 +95,40 @@ def rounded(lengths: np.ndarray, counts: np.ndarray, capacity: int, chosen: list
     return out
 
 
+def configuration_program(lengths: np.ndarray, counts: np.ndarray, capacity: int, error: float = 0.001, rate: float = 0.25, patience: int = 8) -> tuple[list[tuple[np.ndarray, int]], float]:
+    """Configurations with their whole numbers of containers, and a lower bound for the number of containers.
+
+    Any prices, divided by the price of the best configuration, solve the dual of the configuration program and so give
+    a bound; the last prices and their average are tried. The first prices are the lengths themselves. While the containers exceed the
+    bound by more than the share ``error`` (and by a whole container), the prices of lengths that lie in ill-filled
+    containers rise multiplicatively, by smaller and smaller steps, and the run is repeated, until ``patience`` runs on
+    end better neither side.
+    """
+    share = lengths / capacity
+    weight, mean = np.zeros(len(lengths)), np.zeros(len(lengths))
+    bound, best, fewest, run, stale = 0.0, [], 0, 0, 0
+    while stale < patience:
+        run += 1
+        worth = share * np.exp(weight)
+        worth = worth / float((worth * counts).sum())
+        mean += worth
+        dual = max(float((y * counts).sum() / (y * best_configuration(lengths, y, capacity, counts)).sum()) for y in (worth, mean))
+        packed = priced_containers(lengths, counts, capacity, worth, 2 * rate)
+        n = sum(t for _, t in packed)
+        stale = 0 if not best or n < fewest or dual > bound + 0.5 else stale + 1
+        bound = max(bound, dual)
+        if not best or n < fewest:
+            best, fewest = packed, n
+        if fewest <= math.ceil(bound - 1e-9) or fewest <= bound * (1 + error):
+            break
+        waste = np.zeros(len(lengths))
+        for config, times in packed:
+            waste += config * times * (1 - float((config * lengths).sum()) / capacity)
+        waste = waste / counts
+        weight += rate / math.sqrt(run) * (waste - waste.mean()) / (waste.max() + 1e-12)
+    return best, bound
+
+
 def seat_plan(lengths: np.ndarray, packed: list[tuple[np.ndarray, int]]) -> pd.DataFrame:
     """Rows ``(n_tokens, first_rank, per, first_container)``: where the items of one length go, by their rank in it."""
     taken = np.zeros(len(lengths), dtype=np.int64)
@@ -139,7 +152,7 @@ def ranked(items: DataFrame, total: int, per_bucket: int = 200_000) -> DataFrame
     return parts.withColumn("own", F.row_number().over(own) - 1).join(offsets, ["n_tokens", "bucket"]).select("item_id", "piece_no", "n_tokens", (F.col("offset") + F.col("own")).alias("rank"))
 
 
-def pack(counts: DataFrame, capacity: int = 2048, rounds: int = 160) -> tuple[DataFrame, float]:
+def pack(counts: DataFrame, capacity: int = 2048, error: float = 0.001) -> tuple[DataFrame, float]:
     """``(item_id, piece_no, n_tokens, container_id)`` for every item, and a lower bound for the number of containers.
 
     Only the histogram of lengths (``capacity`` rows at most) goes to the driver and only the plan for it comes back.
@@ -150,8 +163,8 @@ def pack(counts: DataFrame, capacity: int = 2048, rounds: int = 160) -> tuple[Da
     items = cut(split_items(counts, capacity))
     hist = sorted((r["n_tokens"], r["n"]) for r in items.groupBy("n_tokens").agg(F.count(F.lit(1)).alias("n")).collect())
     lengths, n = np.array([a for a, _ in hist], dtype=np.int64), np.array([b for _, b in hist], dtype=np.int64)
-    chosen, bound = configuration_program(lengths, n, capacity, rounds) if hist else ([], 0.0)
-    plan = seat_plan(lengths, rounded(lengths, n, capacity, chosen))
+    packed, bound = configuration_program(lengths, n, capacity, error) if hist else ([], 0.0)
+    plan = seat_plan(lengths, packed)
 
     def seat(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         by = {k: (g["first_rank"].to_numpy(), g["per"].to_numpy(), g["first_container"].to_numpy()) for k, g in plan.groupby("n_tokens")}
