@@ -51,7 +51,7 @@ def mention_edges(mentions: DataFrame, nodes: DataFrame) -> DataFrame:
     pairs = mentions.select(node_id(F.lit("Article"), F.col("article_id")).alias("src"), node_id(label_of(F.col("category")), F.col("name")).alias("dst"), "category").dropna().distinct()
     kind = F.when(F.col("category") == "philosophers", "MENTIONS").otherwise("DISCUSSES")
     ids = nodes.select("id").distinct()
-    kept = pairs.join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi").join(ids.withColumnRenamed("id", "src"), "src", "left_semi")
+    kept = lookup_join(pairs.join(ids.withColumnRenamed("id", "src"), "src", "left_semi"), "dst", ids.withColumnRenamed("id", "dst"))
     return kept.select("src", "dst", kind.alias("type"), F.lit(None).cast("double").alias("confidence"), F.lit(None).cast("string").alias("context"))
 
 
@@ -66,16 +66,19 @@ def name_lookup(nodes: DataFrame, priority: list[str] = PRIORITY) -> DataFrame:
 def relation_edges(relations: DataFrame, nodes: DataFrame, order: str = "rel_id") -> DataFrame:
     """Edges between the nodes that a relation's ends name; a relation with an unknown end gives none.
 
-    Per source, target and type the most confident relation counts, the first by ``order`` of equal ones. Without type
+    Per source, target and type the most confident relation counts, the first by ``order`` of equal ones, told apart by
+    the names before the ends are looked up and by the nodes after that (two names may mean one node). Without type
     an edge is RELATED_TO, without confidence 0.5; contexts are cut to 500 characters.
     """
     lookup = name_lookup(nodes)
     ends = relations.select(
         F.col("source"), F.col("target"), F.coalesce("type", F.lit("RELATED_TO")).alias("type"), F.coalesce("confidence", F.lit(0.5)).alias("confidence"), F.substring("context", 1, 500).alias("context"), F.col(order).alias("o"),
     )
-    one = lookup_join(ends, "source", lookup.select(F.col("key").alias("source"), F.col("id").alias("src")))
+    first = F.max_by(F.struct("confidence", "context", "o"), F.struct("confidence", -F.col("o"))).alias("b")
+    named = ends.filter(F.col("source").isNotNull() & F.col("target").isNotNull()).groupBy("source", "target", "type").agg(first).select("source", "target", "type", "b.*")
+    one = lookup_join(named, "source", lookup.select(F.col("key").alias("source"), F.col("id").alias("src")))
     both = lookup_join(one, "target", lookup.select(F.col("key").alias("target"), F.col("id").alias("dst")))
-    best = both.groupBy("src", "dst", "type").agg(F.max_by(F.struct("confidence", "context"), F.struct("confidence", -F.col("o"))).alias("b"))
+    best = both.groupBy("src", "dst", "type").agg(first)
     return best.select("src", "dst", "type", "b.confidence", "b.context")
 
 

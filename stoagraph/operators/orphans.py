@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: At most so many keys are salted; any other key holds less than this fraction of all references.
-HOT_KEYS = 1000
+from stoagraph.operators.skew import PART_ROWS, hot_parts, lookup_join
 
 
 def reference_ends(rows: DataFrame, row_id: str, sides: dict[str, str], at: str) -> DataFrame:
@@ -28,25 +27,21 @@ def lifetimes(parents: DataFrame, key: str, begin: str, end: str) -> DataFrame:
     )
 
 
-def hot_keys(keys: DataFrame, hot_rows: int) -> list[str]:
-    """The keys with more than ``hot_rows`` rows, HOT_KEYS at most: exact counts, pre-aggregated before the shuffle."""
-    counts = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > hot_rows)
-    return [r["key"] for r in counts.orderBy(F.desc("n"), "key").limit(HOT_KEYS).collect()]
-
-
-def orphan_keys(ends: DataFrame, lives: DataFrame, hot_rows: int = 50_000, salts: int = 32) -> DataFrame:
+def orphan_keys(ends: DataFrame, lives: DataFrame, hot_rows: int = PART_ROWS) -> DataFrame:
     """Distinct ``(key, at)`` for which no lifetime holds ``begin <= at < end`` (end null: still alive).
 
-    The distinct foreign keys are left-anti-joined with the lifetimes on the key; keys with more than ``hot_rows``
-    references are spread over ``salts`` parts, their few lifetimes being repeated for each part.
+    The distinct foreign keys are left-anti-joined with the lifetimes on the key. A key with more than ``hot_rows``
+    references is spread over as many parts as that takes, its few lifetimes being repeated for each part.
     """
     keys = ends.filter(F.col("at").isNotNull()).select("key", "at").distinct()
-    hot = hot_keys(ends.select("key"), hot_rows)
-    is_hot = F.col("key").isin(hot) if hot else F.lit(False)
-    left = keys.withColumn("salt", F.when(is_hot, F.pmod(F.xxhash64("at"), F.lit(salts))).otherwise(F.lit(0)).cast("int"))
-    spread = F.when(is_hot, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
-    right = lives.withColumn("salt", F.explode(spread)).alias("l")
-    left = left.alias("k")
+    hot = hot_parts(ends, ["key"], hot_rows)
+    if hot is None:
+        left, right = keys.withColumn("salt", F.lit(0)), lives.withColumn("salt", F.lit(0))
+    else:
+        parts = F.coalesce("_parts", F.lit(1))
+        left = keys.join(F.broadcast(hot), "key", "left").withColumn("salt", F.pmod(F.xxhash64("at"), parts).cast("int"))
+        right = lives.join(F.broadcast(hot), "key", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), parts - 1)))
+    left, right = left.alias("k"), right.alias("l")
     alive = (
         (F.col("k.key") == F.col("l.key"))
         & (F.col("k.salt") == F.col("l.salt"))
@@ -56,25 +51,27 @@ def orphan_keys(ends: DataFrame, lives: DataFrame, hot_rows: int = 50_000, salts
     return left.join(right, alive, "left_anti").select("key", "at")
 
 
-def orphans(ends: DataFrame, lives: DataFrame, hot_rows: int = 50_000, salts: int = 32) -> DataFrame:
+def orphans(ends: DataFrame, lives: DataFrame, hot_rows: int = PART_ROWS) -> DataFrame:
     """The ends ``(row_id, side, key, at)`` that refer to nothing; an end without a time exists for no lifetime.
 
     Empty tables give no rows; with no lifetimes every end is an orphan; repeated rows count once.
     """
-    missing = orphan_keys(ends, lives, hot_rows, salts)
+    missing = orphan_keys(ends, lives, hot_rows)
     timed = ends.join(missing, ["key", "at"], "left_semi").select("row_id", "side", "key", "at")
     return timed.unionByName(ends.filter(F.col("at").isNull()).select("row_id", "side", "key", "at")).dropDuplicates(["row_id", "side"])
 
 
-def orphan_report(ends: DataFrame, found: DataFrame, lives: DataFrame) -> DataFrame:
-    """Per side and month: references, orphans, and how many were never there, came later, or were gone already."""
+def orphan_report(ends: DataFrame, found: DataFrame, lives: DataFrame, hot_rows: int = PART_ROWS) -> DataFrame:
+    """Per side and month: references, orphans, and how many were never there, came later, or were gone already.
+
+    Orphans are counted per side, key and time before they meet the first lifetime of their key, hot keys in parts.
+    """
     period = F.date_format(F.date_trunc("month", F.col("at")), "yyyy-MM").alias("period")
     all_ends = ends.dropDuplicates(["row_id", "side"]).groupBy("side", period).agg(F.count(F.lit(1)).alias("n_refs"))
     first = lives.groupBy("key").agg(F.min("begin").alias("first_begin"))
+    counted = found.groupBy("side", "key", "at").agg(F.count(F.lit(1)).alias("n"))
     kinds = (
-        found.groupBy("side", "key", "at")
-        .agg(F.count(F.lit(1)).alias("n"))
-        .join(first, "key", "left")
+        lookup_join(counted, "key", first, "left", hot_rows)
         .groupBy("side", period)
         .agg(
             F.sum("n").alias("n_orphans"),

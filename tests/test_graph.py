@@ -10,7 +10,7 @@ from stoagraph.operators import graph_queries as Q
 from stoagraph.operators import layout as Y
 from stoagraph.operators import paths as P
 from stoagraph.operators import stats as S
-from stoagraph.operators.skew import lookup_join
+from stoagraph.operators.skew import hot_parts, lookup_join, salted_join
 
 
 @pytest.fixture(scope="module")
@@ -133,6 +133,16 @@ def test_lookup_join_with_hot_and_null_keys(spark):
         assert sorted(map(str, lookup_join(rows, "key", lookup, how, hot_rows=50).collect())) == want
 
 
+def test_salted_join_equals_plain_join(spark):
+    left = spark.createDataFrame([(i, "hot" if i % 2 else f"k{i % 7}" if i % 3 else None, i % 2) for i in range(200)], "i int, key string, b int")
+    right = spark.createDataFrame([(i, "hot" if i % 3 else f"k{i % 5}" if i % 4 else None, i % 2) for i in range(90)], "j int, key string, b int")
+    want = sorted(map(str, left.join(right, ["key", "b"]).collect()))
+    for part_rows, counted in ((7, "both"), (7, "right"), (7, "left"), (10**6, "both")):
+        assert sorted(map(str, salted_join(left, right, ["key", "b"], part_rows, counted).collect())) == want
+    parts = {tuple(r) for r in hot_parts(left, ["key"], 30).collect()}
+    assert parts == {("hot", 4)}
+
+
 def test_resolution_and_edges(spark):
     nodes = spark.createDataFrame([("article:a", "Article", None, "Mind"), ("concept:Mind", "Concept", "Mind", None), ("school:s", "School", "s", None), ("argument:x", "Argument", "x", None)], "id string, label string, name string, title string")
     rel = [(1, "Mind", "s", None, None, "c" * 900), (2, "Mind", "s", None, 0.4, "d"), (3, "Mind", "x", "T", 0.5, ""), (4, None, "s", "T", 0.5, ""), (5, "s", "nobody", "T", 0.5, "")]

@@ -31,9 +31,12 @@ def test_against_brute_force_with_and_without_hot_keys(spark):
 
     want = {(i, side) for i, s, t, at in refs for side, key in (("source", s), ("target", t)) if key not in (None, "") and not alive(key, at)}
     for hot_rows in (20, 10**6):
-        rows = O.orphans(ends, own, hot_rows, 7).collect()
+        rows = O.orphans(ends, own, hot_rows).collect()
         got = {(r["row_id"], r["side"]) for r in rows}
         assert got == want and len(rows) == len(want)
+    found = O.orphans(ends, own)
+    one, many = (sorted(map(str, O.orphan_report(ends, found, own, hot_rows).collect())) for hot_rows in (10**6, 5))
+    assert one == many and len(one) > 2
 
 
 def test_edges_of_a_lifetime_and_report(spark):
