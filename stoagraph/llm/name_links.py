@@ -5,26 +5,34 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from stoagraph.operators.skew import lookup_join, salted_join
 from stoagraph.session import cut
 
-# Given names and the short, pet and abbreviated forms that stand for them.
-SHORT_FORMS = {
-    "agnes": "aggie nessie", "alexander": "alex al sandy alec xander alexr", "ambrose": "brose", "andrew": "andy drew andr andw", "anthony": "tony ant anth",
-    "barbara": "babs barb barbie bab", "baruch": "", "benjamin": "ben benny benj benjn", "cecilia": "cissy celia cecily cec", "charles": "charlie chuck chas carl charley chs",
-    "damaris": "", "daniel": "dan danny danl", "david": "dave davy davie dav", "dorothy": "dot dolly dottie dora dor doro", "edward": "ed eddie ted ned teddy edw edwd",
-    "eleanor": "ellie nell nelly nora ella elea", "elizabeth": "liz betty beth lizzie eliza lisa bess libby betsy eliz elizth", "émile": "", "francis": "frank fran frankie fras fran franc",
-    "frederick": "fred freddy freddie fredk fritz", "gertrude": "trudy gert gertie gertr trudie", "gottfried": "gottfr friedel götz", "heinrich": "heinz heiner heinr", "henry": "harry hank hal hen hy",
-    "ignacio": "nacho ign", "james": "jim jimmy jamie jas", "johannes": "hans joh johs johan", "john": "jack johnny jno jon", "joseph": "joe joey jos josh", "jürgen": "jurg jurgi",
-    "katherine": "kate kathy katie kitty kath kit kay katy", "konrad": "konni kurt konr conny", "lawrence": "larry laurie lawr lars laur", "leonor": "leo nora leon", "margaret": "maggie meg peggy peg margie greta marg mags marge margt daisy",
-    "matilda": "tilda tilly mattie maud mathilda", "michael": "mike mick mickey mikey mich michl", "nicholas": "nick nicky nic nich nichs klaus", "ottilie": "otti tilly ottie", "philip": "phil pip phill",
-    "rebecca": "becky becca beck reb", "richard": "rick dick rich richie ricky rd richd", "robert": "bob rob bobby robbie robt bert", "samuel": "sam sammy saml", "simone": "sim simmy",
-    "susanna": "sue susie suzy susan sanna", "thomas": "tom tommy thos th", "ursula": "ursel uschi urs ulla", "vera": "", "wilhelmina": "mina minna willa wilma billie wilh", "william": "bill will billy willy wm liam willm", "yusuf": "", "zeno": "",
+# Given names with short and pet forms that no rule makes of them; a general table, to be replaced by one's own.
+NICKNAMES = {
+    "abigail": "gail nabby", "agnes": "aggie nessie nancy", "albert": "bert", "alexander": "sandy alec sasha xander lex", "alfred": "fred", "alice": "lisa elsie", "amelia": "millie", "andrew": "drew andy",
+    "ann": "nan nancy annie", "anthony": "tony", "antonio": "toni tonio", "archibald": "archie baldie", "arthur": "art", "augustus": "gus", "barbara": "babs bobbie", "bartholomew": "bat tolly",
+    "beatrice": "trixie bea", "bernard": "barney", "bridget": "biddy bride", "caroline": "carrie lina", "cecilia": "cissy sissy celia", "charles": "chuck chaz carl karl charley", "charlotte": "lottie", "christina": "tina kirsten",
+    "christopher": "kit topher", "clarence": "clancy", "cornelius": "neil", "cynthia": "cindy", "deborah": "debby", "dominic": "nick", "dorothy": "dolly dot dottie dodie dora", "edith": "edie", "edmund": "ned ted",
+    "edward": "ted teddy ned", "edwin": "ned", "eleanor": "nell nelly nora ella ellie lenore", "elizabeth": "betty beth betsy bess bessie libby lisa liza lizzie liz lisbeth elsie", "emily": "millie emmy", "ernest": "ernie",
+    "eugene": "gene", "evelyn": "eve", "ferdinand": "nando ferdy", "florence": "flossie flo", "frances": "fanny fran", "francis": "frank frankie fritz", "franz": "fritz", "frederick": "fritz rick", "friedrich": "fritz",
+    "geoffrey": "jeff", "george": "jorge dodie", "gerald": "jerry", "gertrude": "trudy trudie", "gottfried": "friedel götz", "gregory": "grigor", "harold": "hal harry", "heinrich": "heinz heiner hinz", "helen": "nell nelly ellen lena",
+    "henrietta": "hetty etta", "henry": "harry hank hal", "herbert": "bert", "hubert": "bert", "ignacio": "nacho", "isaac": "ike", "isabella": "bella ibby", "jacob": "jake", "james": "jim jimmy jamie jem", "jane": "jenny",
+    "jean": "jeannot", "johannes": "hans hannes", "john": "jack jackie johnny jno ian", "jonathan": "nathan", "joseph": "joe joey beppe sepp", "josé": "pepe", "julia": "jill", "katherine": "kitty kit kate katie kay kathy trina",
+    "konrad": "kurt konni conny", "laurence": "larry lars", "lawrence": "larry lars laurie", "leonard": "lenny", "leonor": "nora", "louis": "lewis lou", "lucas": "luke", "ludwig": "lutz", "magdalena": "lena", "manuel": "manolo",
+    "margaret": "peggy peg meg maggie madge daisy greta gretchen rita maisie mamie", "maria": "mitzi", "martha": "patty matty", "mary": "molly polly mamie minnie may", "matilda": "tilda tilly maud", "michael": "mick micky mickey mike mikey",
+    "mildred": "millie", "nathaniel": "nat nate", "nicholas": "nick nicky klaus claus colin", "oliver": "noll", "ottilie": "tilly", "patricia": "tricia trish patsy", "patrick": "paddy", "penelope": "nell", "peter": "piers pete",
+    "philip": "pip", "rebecca": "becky becca beck", "reginald": "rex", "richard": "dick rick ricky dickie hick", "robert": "bob bobby rob bert rupert", "roger": "hodge", "ronald": "ron", "rosemary": "romy", "rudolf": "rolf", "samuel": "sammy",
+    "sarah": "sally sadie", "sebastian": "bastian", "sigmund": "siggi", "simone": "mona", "sophia": "fifi", "stephen": "steve steven", "susanna": "sukie sanna sue", "theodore": "ted teddy", "theresa": "tess terry", "thomas": "tom tommy",
+    "timothy": "tim", "ulrich": "uli", "ursula": "uschi ulla", "valentine": "val", "victoria": "vicky", "vincent": "vin", "virginia": "ginny", "walter": "wat", "wilhelm": "willem helmut", "wilhelmina": "mina minna willa wilma billie helma",
+    "william": "bill billy liam", "winifred": "freda", "zachary": "zack",
 }
 # What stands before or after a name without being part of it.
 TITLES = set("prof professor dr sir rev reverend mr mrs ms lord lady dame st saint fr father".split())
@@ -38,11 +46,54 @@ def fold(text: str) -> str:
     return "".join(c for c in unicodedata.normalize("NFKD", text.casefold()) if not unicodedata.combining(c))
 
 
-_GIVEN = {fold(k): fold(k) for k in SHORT_FORMS}
+_GIVEN = {fold(k) for k in NICKNAMES}
 _SHORT: dict[str, set[str]] = {}
-for _full, _all in SHORT_FORMS.items():
+for _full, _all in NICKNAMES.items():
     for _s in _all.split():
         _SHORT.setdefault(fold(_s), set()).add(fold(_full))
+_PET_ENDINGS = ("y", "ie", "i", "ey", "e", "s", "sy")
+_OTHER_NAME_ENDINGS = ("a", "e", "ina", "ine", "ette", "elle", "ella", "le", "la", "ia")
+
+
+@lru_cache(100_000)
+def is_short_of(short: str, full: str) -> bool:
+    """Whether one given name is a short form of another: by the table, or as its beginning, its contraction, or a pet form of its beginning.
+
+    Thos. and Wm. are a beginning and the last letters; Jenny and Willy a beginning, perhaps doubled, and a pet ending.
+    A name and what only adds the ending of another name (Simon, Simone) are two names.
+    """
+    if short == full or len(full) < 4:
+        return False
+    if full in _SHORT.get(short, ()):
+        return True
+    if len(short) < 2 or short[0] != full[0]:
+        return False
+    if full.startswith(short):
+        return full[len(short) :] not in _OTHER_NAME_ENDINGS
+    if len(short) <= len(full) - 2 and any(full.startswith(short[:-j]) and full.endswith(short[-j:]) for j in (1, 2) if len(short) > j):
+        return True
+    for end in _PET_ENDINGS:
+        stem = short.removesuffix(end)
+        if stem != short and 3 <= len(stem) <= len(full) - 2 and (full.startswith(stem) or stem[-1] == stem[-2] and full.startswith(stem[:-1])):
+            return True
+    return False
+
+
+@lru_cache(100_000)
+def stands_for(given: str) -> frozenset[str]:
+    """Full given names of the table that a given name, or a short form of the table with one typo, stands for."""
+    out = set(_SHORT.get(given, ())) | ({given} if given in _GIVEN else set())
+    if len(given) >= 4:
+        for short, full in _SHORT.items():
+            if len(short) >= 4 and osa_within(given, short, 1) <= 1:
+                out |= full
+    return frozenset(out)
+
+
+@lru_cache(100_000)
+def full_forms(given: str) -> frozenset[str]:
+    """Names of the table that a given name is a short form of, by the table or by rule."""
+    return frozenset(_SHORT.get(given, ())) | {x for x in _GIVEN if is_short_of(given, x)}
 
 
 def osa_within(a: str, b: str, most: int) -> int:
@@ -75,9 +126,9 @@ def osa_within(a: str, b: str, most: int) -> int:
 class Name:
     """The parts of a name: words in order with initials apart, the words before a comma moved behind, and a suffix."""
 
-    __slots__ = ("words", "suffix", "n_full", "known_last")
+    __slots__ = ("words", "suffix", "n_full", "known_last", "levels")
 
-    def __init__(self, text: str) -> None:
+    def __init__(self, text: str, levels: dict[str, int] | None = None) -> None:
         bare = re.sub(r"\([^)]*\)|\[[^\]]*\]", " ", text)
         bare = re.sub(r"(?<=[^\W\d_])-(?=[^\W\d_])", "", bare)  # a hyphen inside a word
         sides = [s for s in bare.split(",") if s.strip()]
@@ -105,41 +156,52 @@ class Name:
         self.known_last = len(parts) == 2
         self.words = tuple(parts[1] + parts[0]) if self.known_last else tuple(w for p in parts for w in p)
         self.n_full = sum(len(w) > 1 for w in self.words)
+        self.levels = levels or {}
+
+    def given(self, word: str) -> bool:
+        """Whether a word is known as a given name: from the table, or because it stands before many last names."""
+        return word in _GIVEN or word in _SHORT or word in self.levels
+
 
+def given_cost(x: str, y: str, levels_x: dict[str, int] | None = None, levels_y: dict[str, int] | None = None) -> int | None:
+    """What it costs to read one given name for another: equal 0, initial or short form 1, one typo 2; None if it can't be.
 
-def given_cost(x: str, y: str) -> int | None:
-    """What it costs to read one given name for another: equal 0, initial or short form 1, one typo 2; None if it can't be."""
+    Two names of the table are two names, and so are two words that both stand before many last names in the data,
+    unless one of them is so much rarer that it is a frequent typo.
+    """
     if x == y:
         return 0
     if len(x) == 1 or len(y) == 1:
         return 1 if x[0] == y[0] else None
-    if y in _SHORT.get(x, ()) or x in _SHORT.get(y, ()) or _SHORT.get(x, set()) & _SHORT.get(y, set()):
-        return 1
-    if x in _GIVEN and y in _GIVEN:
+    by_table = y in _SHORT.get(x, ()) or x in _SHORT.get(y, ())
+    if x in _GIVEN and y in _GIVEN and not by_table:
         return None
+    if by_table or is_short_of(x, y) or is_short_of(y, x) or full_forms(x) & full_forms(y):
+        return 1
     a, b = sorted((x, y), key=len)
     if len(a) >= 3 and osa_within(a, b, 1) <= 1:
-        return 2
+        p, q = (levels_x or {}).get(x, 0), (levels_y or {}).get(y, 0)
+        return None if p and q and abs(p - q) <= 2 else 2
     for short, full in ((x, y), (y, x)):  # a short form with a typo
-        if len(short) >= 4 and any(full in names and osa_within(short, s, 1) <= 1 for s, names in _SHORT.items() if len(s) >= 4):
+        if len(short) >= 4 and full in stands_for(short):
             return 3
     return None
 
 
-def _sequence_cost(less: tuple[str, ...], more: tuple[str, ...]) -> int | None:
+def _sequence_cost(less: tuple[str, ...], more: tuple[str, ...], levels_x: dict[str, int], levels_y: dict[str, int]) -> int | None:
     """Least cost of reading all of ``less``, in order, among ``more``, the first among both being the same."""
     if not less:
         return 3
     if not more:
         return None
-    first = given_cost(less[0], more[0])
+    first = given_cost(less[0], more[0], levels_x, levels_y)
     if first is None:
         return None
     total, at = first, 1
     for x in less[1:]:
         best = None
         for k in range(at, len(more)):
-            c = given_cost(x, more[k])
+            c = given_cost(x, more[k], levels_x, levels_y)
             if c is not None and (best is None or c < best[0]):
                 best = (c, k)
         if best is None:
@@ -156,11 +218,12 @@ def _readings(n: Name) -> list[tuple[str, tuple[str, ...]]]:
     out = []
     if len(w[-1]) > 1:
         out.append((w[-1], w[:-1]))
-    if not n.known_last and len(w) > 1 and len(w[0]) > 1 and w[0] not in _GIVEN:
+    if not n.known_last and len(w) > 1 and len(w[0]) > 1 and not n.given(w[0]):
         out.append((w[0], w[1:]))
-    if len(w) > 1 and len(w[-2]) > 1 and w[-1] not in _GIVEN and w[-2] not in _GIVEN:
+    # (words behind the first may be parts of a last name even if they are given names elsewhere)
+    if len(w) > 2 and len(w[-2]) > 1 and len(w[-1]) > 1 or len(w) == 2 and len(w[0]) > 1 and len(w[1]) > 1 and not n.given(w[0]) and not n.given(w[1]):
         out.append((w[-2] + w[-1], w[:-2]))
-    if not n.known_last and len(w) > 2 and len(w[0]) > 1 and len(w[1]) > 1 and w[0] not in _GIVEN:
+    if not n.known_last and len(w) > 2 and len(w[0]) > 1 and len(w[1]) > 1 and not n.given(w[0]):
         out.append((w[0] + w[1], w[2:]))
     for last, given in list(out):  # a particle written together with the last name
         for p in ("von", "van", "de"):
@@ -186,7 +249,7 @@ def reading_cost(less: Name, more: Name, edits: int = 2) -> int | None:
                 continue
             if not given_a and last_b != more.words[-1]:  # a bare last name, against a name turned round
                 continue
-            g = _sequence_cost(given_a, given_b)
+            g = _sequence_cost(given_a, given_b, less.levels, more.levels)
             if g is None:
                 continue
             # one string holds few typos: two in the last name leave none for the given name
@@ -197,49 +260,25 @@ def reading_cost(less: Name, more: Name, edits: int = 2) -> int | None:
     return best
 
 
-def keys_of(n: Name, shortest: int = 4) -> list[str]:
-    """The words a name is looked up by: possible last names, given names known as such left out."""
-    return sorted({last for last, _ in _readings(n) if len(last) >= shortest and last not in _GIVEN and last not in _SHORT})
-
-
-#: Marks of keys that are met exactly, not by close words: of names that say less, of the names they can be found in, of equals.
-LESS, MORE, LIKE = "\x01", "\x02", "\x03"
-
-
-def _stands_for(given: str) -> set[str]:
-    """Full given names that a given name, or a short form with one typo, stands for."""
-    out = set(_SHORT.get(given, ())) | ({given} if given in _GIVEN else set())
-    if len(given) >= 4:
-        for short, full in _SHORT.items():
-            if len(short) >= 4 and osa_within(given, short, 1) <= 1:
-                out |= full
-    return out
-
-
-def exact_keys_of(n: Name, shortest: int = 4) -> list[str]:
-    """Keys by the last names that ``keys_of`` leaves out, each with the first given name.
+def given_tags(given: tuple[str, ...]) -> tuple[set[str], set[str], set[str]]:
+    """Tags by which names of one last name meet: as the one that says less, as the one that says more, and the initials it is looked up by.
 
-    An initial meets the names it begins and its like; full given names meet if they stand for the same one or if, as
-    within one typo, they are equal after at most one deletion from each. A lone given name is no last name.
+    No given name asks for all (``*``), an initial for the names it begins; full given names meet if they begin or end
+    alike, are one but for a letter, or stand for one name of the table.
     """
-    out = set()
-    for last, given in _readings(n):
-        named = last in _GIVEN or last in _SHORT
-        if len(last) >= shortest and not named:
-            continue
-        if not named:
-            out.add(f"{MORE if given else LESS}{last}")
-        elif not given and len(last) >= shortest:
-            out.add(last)  # looked up as a word, against its own misspellings
-        if not given:
-            continue
-        first = given[0]
-        out.add(f"{LESS if len(first) == 1 else MORE}{last} {first[0]}")
-        out.add(f"{LIKE}{last} {first}")
-        if len(first) >= 3:
-            out |= {f"{LIKE}{last} {first[:i]}{first[i + 1 :]}" for i in range(len(first))}
-        out |= {f"{LIKE}{last} ={full}" for full in _stands_for(first)}
-    return sorted(out)
+    if not given:
+        return {"*", "**"}, {"**"}, set()
+    first = given[0]
+    if len(first) == 1:
+        return {f"{first}.", f"{first}{first}."}, {"*", f"{first}{first}."}, {first}
+    full = stands_for(first) | full_forms(first)
+    like = {f"<{first[:2]}", *(f"={x}" for x in full)}
+    if len(first) >= 5:
+        like.add(f">{first[-2:]}")
+    if len(first) <= 5:
+        like |= {f"~{first}", *(f"~{first[:i]}{first[i + 1 :]}" for i in range(len(first)))}
+    less = {f"{first[0]}."} if len(first) == 2 else set()
+    return like | less, like | {"*", f"{first[0]}."}, {first[0], *(x[0] for x in full)}
 
 
 def _parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -249,8 +288,38 @@ def _parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             own = Name(name)
             form = "|".join((" ".join(own.words[:-1]), own.words[-1] if own.words else "", own.suffix, "1" if own.known_last else ""))
             form = form if own.words else f"={name}"
-            rows.append((name, n, form, 100 * own.n_full + len(own.words), sorted({*keys_of(own), *exact_keys_of(own)})))
-        yield pd.DataFrame(rows, columns=["name", "n", "form", "says", "keys"])
+            rows.append((name, n, form, 100 * own.n_full + len(own.words), list(own.words)))
+        yield pd.DataFrame(rows, columns=["name", "n", "form", "says", "words"])
+
+
+def given_levels(forms: DataFrame, least: int = 5) -> DataFrame:
+    """``(word, level)`` of words known as given names from the data: they stand first before ``least`` last words or more, and
+    more than twice as often as they stand last behind others. The level is the logarithm of the number of last words.
+    """
+    ends = forms.filter(F.size("words") > 1).select(F.col("words")[0].alias("first"), F.element_at("words", -1).alias("last"))
+    ends = ends.filter((F.length("first") > 1) & (F.length("last") > 1)).distinct()
+    roles = ends.select(F.explode(F.array(F.struct(F.col("first").alias("word"), F.lit(1).alias("f")), F.struct(F.col("last").alias("word"), F.lit(0).alias("f")))).alias("r"))
+    counts = roles.groupBy("r.word").agg(F.sum("r.f").alias("first"), F.sum(1 - F.col("r.f")).alias("last"))
+    return counts.filter((F.col("first") >= least) & (F.col("first") > 2 * F.col("last"))).select("word", F.floor(F.log2("first")).cast("int").alias("level"))
+
+
+def with_levels(forms: DataFrame, levels: DataFrame) -> DataFrame:
+    """Add ``levels``, a map of those words of a form that are known as given names."""
+    words = forms.select("form", F.explode(F.array_distinct("words")).alias("word"))
+    known = lookup_join(words, "word", levels).groupBy("form").agg(F.map_from_entries(F.collect_list(F.struct("word", "level"))).alias("levels"))
+    return forms.join(known, "form", "left")
+
+
+def _tagged(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The last names of every form with the tags of their given names, and the initials to look the last names up by."""
+    for batch in batches:
+        rows = []
+        for form, name, levels in zip(batch["form"], batch["name"], batch["levels"], strict=True):
+            own = Name(name, dict(levels) if levels is not None else None)
+            for last, given in set(_readings(own)):
+                less, more, initials = given_tags(given)
+                rows.append((form, last, sorted(less), sorted(more), sorted(initials)))
+        yield pd.DataFrame(rows, columns=["form", "word", "less", "more", "initials"])
 
 
 def segments(word: str, k: int) -> list[tuple[int, int]]:
@@ -264,93 +333,130 @@ def segments(word: str, k: int) -> list[tuple[int, int]]:
     return out
 
 
-def close_words(words: DataFrame, k: int = 2) -> DataFrame:
+def most_edits(length: int, k: int) -> int:
+    """Edits allowed between words the shorter of which has ``length`` letters: ``k`` from eight on, one from three on."""
+    return k if length >= 8 else min(k, 1) if length >= 3 else 0
+
+
+def segment_keys(word: str, k: int) -> set[tuple[int, int, str]]:
+    """Index keys ``(length, number, characters)`` of a word: its segments, and those it has with two letters across a border exchanged.
+
+    An edit spoils one segment, but a transposition across a border spoils two; with the letters exchanged back it
+    spoils none, so that one of k+1 segments is whole for every word within k edits, transpositions counted as one.
+    """
+    own = most_edits(len(word), k)
+    cuts = segments(word, own)
+    keys = set()
+    for border in [None, *(at for at, n in cuts[1:] if at and n)]:
+        w = word if border is None else word[: border - 1] + word[border] + word[border - 1] + word[border + 1 :]
+        keys.update((len(w), i, w[at : at + n]) for i, (at, n) in enumerate(cuts) if n)
+    return keys
+
+
+def probe_keys(word: str, k: int) -> set[tuple[int, int, str]]:
+    """All keys under which words within ``k`` edits that are no longer can stand in the index: shifted substrings for every length."""
+    keys = set()
+    for size in range(max(1, len(word) - k), len(word) + 1):
+        own = most_edits(size, k)
+        if len(word) - size > own:
+            continue
+        for i, (at, n) in enumerate(segments("x" * size, own)):
+            if n:
+                keys.update((size, i, word[p : p + n]) for p in range(max(0, at - own), min(len(word) - n, at + own) + 1))
+    return keys
+
+
+def close_words(words: DataFrame, k: int = 2, part_rows: int = 5_000) -> DataFrame:
     """``(word, other)``, ``word < other``: words within ``k`` edits (one below eight letters), found by the pigeonhole principle.
 
-    A word is cut into k+1 segments; a word within k insertions, deletions and substitutions holds one of them whole,
-    moved by k places at most. Segments form the inverted index, keyed by length, number and characters; substrings of
+    A word is cut into k+1 segments; a word within k edits holds one of them whole, moved by k places at most (see
+    ``segment_keys`` for transpositions). Segments form the inverted index, keyed by class, length, number and characters; substrings of
     the other words at every shift that the lengths allow are looked up in it; the banded distance verifies.
-    A transposition of neighbours, one edit to the verifier, is two here.
+    ``words`` may have a column ``cls`` (array): then only words that share a class meet, and words with the class ``*``
+    meet all. Keys with more than ``part_rows`` words are joined in parts.
     """
+    has_class = "cls" in words.columns
+    rows = words.select("word", ("cls" if has_class else F.array(F.lit("")).alias("cls")))
 
     def emit(probing: bool):
+        # a word of class * is sought among all and all are sought among those of class *
+        lone, others = ("?*", "*?") if probing else ("*?", "?*")
+
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for batch in batches:
-                rows = set()
-                for w in batch["word"]:
-                    if not probing:
-                        rows.update((len(w), i, w[at : at + n], w) for i, (at, n) in enumerate(segments(w, k)) if n)
-                        continue
-                    for size in range(max(1, len(w) - k), len(w) + 1):  # the indexed word is the shorter one
-                        for i, (at, n) in enumerate(segments("x" * size, k)):
-                            if n:
-                                rows.update((size, i, w[p : p + n], w) for p in range(max(0, at - k), min(len(w) - n, at + k) + 1))
-                yield pd.DataFrame(list(rows), columns=["size", "seg", "part", "w"])
+                out = []
+                for w, own in zip(batch["word"], batch["cls"], strict=True):
+                    keys = probe_keys(w, k) if probing else segment_keys(w, k)
+                    kinds = [c for c in own if c != "*"] + ([others] if has_class else []) + ([lone] if "*" in own else [])
+                    out += [(c, *key, w) for key in keys for c in kinds]
+                yield pd.DataFrame(out, columns=["cls", "size", "seg", "part", "w"])
 
         return run
 
-    schema = "size int, seg int, part string, w string"
-    index = words.mapInPandas(emit(False), schema).withColumnRenamed("w", "word")
-    probes = words.mapInPandas(emit(True), schema).withColumnRenamed("w", "other")
-    # two edits with transpositions are four without: built-in code drops nearly all candidates before they are made distinct
+    schema = "cls string, size int, seg int, part string, w string"
+    index = cut(rows.mapInPandas(emit(False), schema).withColumnRenamed("w", "word"))
+    probes = rows.mapInPandas(emit(True), schema).withColumnRenamed("w", "other")
+    # k edits with transpositions are 2k without: built-in code drops nearly all candidates before they are made distinct
     near = F.levenshtein("word", "other", 2 * k) >= 0
-    met = index.join(probes, ["size", "seg", "part"]).filter((F.col("word") != F.col("other")) & near).select(F.least("word", "other").alias("word"), F.greatest("word", "other").alias("other")).distinct()
+    met = salted_join(probes, index, ["cls", "size", "seg", "part"], part_rows, "right")
+    met = met.filter((F.col("word") != F.col("other")) & near).select(F.least("word", "other").alias("word"), F.greatest("word", "other").alias("other")).distinct()
 
     @F.pandas_udf(T.BooleanType())
     def verified(a: pd.Series, b: pd.Series) -> pd.Series:
-        most = [k if min(len(x), len(y)) >= 8 else min(k, 1) for x, y in zip(a, b, strict=True)]
-        return pd.Series([osa_within(x, y, m) <= m for x, y, m in zip(a, b, most, strict=True)])
+        most = [most_edits(min(len(x), len(y)), k) for x, y in zip(a, b, strict=True)]
+        return pd.Series([osa_within(x, y, m) <= m for x, y, m in zip(a, b, most, strict=True)], dtype=bool)
 
     return met.filter(verified("word", "other"))
 
 
-@F.pandas_udf(T.IntegerType())
-def _cost(a: pd.Series, b: pd.Series) -> pd.Series:
-    memo: dict[str, Name] = {}
-
-    def name(x: str) -> Name:
-        if x not in memo:
-            memo[x] = Name(x)
-        return memo[x]
-
+def _costs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     def either(x: Name, y: Name) -> int | None:
         return min((c for c in (reading_cost(x, y), reading_cost(y, x)) if c is not None), default=None)
 
-    out = [either(name(x), name(y)) for x, y in zip(a, b, strict=True)]
-    return pd.Series(out, dtype="Int32")
+    for batch in batches:
+        memo: dict[str, Name] = {}
+
+        def name(x: str, levels, memo: dict[str, Name] = memo) -> Name:
+            if x not in memo:
+                memo[x] = Name(x, dict(levels) if levels is not None else None)
+            return memo[x]
+
+        cost = [either(name(a, p), name(b, q)) for a, p, b, q in zip(batch["name"], batch["levels"], batch["parent_name"], batch["parent_levels"], strict=True)]
+        yield batch[["form", "parent", "says", "n"]].assign(cost=pd.Series(cost, dtype="Int32", index=batch.index)).dropna(subset=["cost"])
 
 
-def linked_names(rows: DataFrame, name: str, k: int = 2) -> DataFrame:
+def linked_names(rows: DataFrame, name: str, k: int = 2, part_rows: int = 5_000) -> DataFrame:
     """``(name, entity, n)``: every distinct non-blank name with the name that stands for its entity.
 
     Copies are counted first; names whose parts are equal are one form. Every form points to the form it is most
-    cheaply read as, among those that say more (more full words, more words, then more rows), and forms that point to one another
+    cheaply read as, among those that say more (more full words, more words, more rows, then more letters), and forms that point to one another
     in the end are one entity; so a bare or misspelled name follows its best reading only and never joins two people.
-    Null and blank names are left out; names without any letters are each an entity of their own.
+    Forms meet if they share a close last name and a tag of the given name, so candidates grow with the forms, not with
+    the square of the forms of one last name. Null and blank names are left out; names without any letters are each an
+    entity of their own.
     """
     distinct = rows.select(F.col(name).alias("name")).filter(F.col("name").rlike(r"\S")).groupBy("name").agg(F.count(F.lit(1)).alias("n"))
-    parsed = cut(distinct.mapInPandas(_parse, "name string, n bigint, form string, says int, keys array<string>"))
-    forms = cut(parsed.groupBy("form").agg(F.max_by("name", F.struct("n", "name")).alias("name"), F.sum("n").alias("n"), F.first("says").alias("says"), F.first("keys").alias("keys")))
-    keyed = forms.select("form", "name", "n", "says", F.explode("keys").alias("word"))
-    words = keyed.select("word").distinct()
-    mark = F.substring("word", 1, 1)
-    near = close_words(words.filter(~mark.isin(LESS, MORE, LIKE)), k)
-    less = words.filter(mark == LESS).withColumn("other", F.concat(F.lit(MORE), F.expr("substring(word, 2)")))
-    near = near.unionByName(less)
-    same = words.filter(mark != MORE).withColumn("other", F.col("word"))
-    both = cut(near.unionByName(near.select(F.col("other").alias("word"), F.col("word").alias("other"))).unionByName(same))
-    a, b = keyed.alias("a"), keyed.alias("b")
-    rank_a, rank_b = F.struct("a.says", "a.n", "a.form"), F.struct("b.says", "b.n", "b.form")
-    pairs = (
-        a.join(both, F.col("a.word") == both["word"])
-        .join(b, both["other"] == F.col("b.word"))
-        .filter(rank_a < rank_b)
-        .select(F.col("a.form").alias("form"), F.col("a.name").alias("name"), F.col("b.form").alias("parent"), F.col("b.name").alias("parent_name"), F.col("b.says").alias("says"), F.col("b.n").alias("n"))
-        .distinct()
-        .withColumn("cost", _cost("name", "parent_name"))
-        .filter(F.col("cost").isNotNull())
-    )
-    pairs = cut(pairs)
+    parsed = cut(distinct.mapInPandas(_parse, "name string, n bigint, form string, says int, words array<string>"))
+    forms = parsed.groupBy("form").agg(F.max_by("name", F.struct("n", "name")).alias("name"), F.sum("n").alias("n"), F.first("says").alias("says"), F.first("words").alias("words"))
+    forms = cut(with_levels(forms, given_levels(forms)).drop("words"))
+    tagged = cut(forms.select("form", "name", "levels").mapInPandas(_tagged, "form string, word string, less array<string>, more array<string>, initials array<string>"))
+    lone = F.array_contains("less", "*")
+    classes = tagged.withColumn("c", F.explode(F.when(lone, F.array(F.lit("*"))).otherwise(F.col("initials")))).groupBy("word").agg(F.collect_set("c").alias("cls"))
+    near = cut(close_words(classes, k, part_rows))
+    both = near.unionByName(near.select(F.col("other").alias("word"), F.col("word").alias("other")))
+    less = tagged.select("form", "word", F.explode("less").alias("tag"))
+    moved = salted_join(less, both, ["word"], part_rows).select("form", F.col("other").alias("word"), "tag")
+    more = tagged.select(F.col("form").alias("parent"), "word", F.explode("more").alias("tag"))
+    met = salted_join(less.unionByName(moved), more, ["word", "tag"], part_rows, "right").filter(F.col("form") != F.col("parent")).select("form", "parent").distinct()
+    rank = F.struct("says", "n", F.length("form"), "form").alias("rank")
+    own = forms.select("form", rank, "name", "levels", "says", "n")
+    a, b = own.alias("a"), own.alias("b")
+    pairs = met.join(a, met["form"] == F.col("a.form")).join(b, met["parent"] == F.col("b.form")).select(
+        *(F.when(F.col("a.rank") < F.col("b.rank"), F.col(f"{x}.{c}")).otherwise(F.col(f"{y}.{c}")).alias(alias)
+          for x, y, c, alias in (("a", "b", "form", "form"), ("a", "b", "name", "name"), ("a", "b", "levels", "levels"), ("b", "a", "form", "parent"),
+                                 ("b", "a", "name", "parent_name"), ("b", "a", "levels", "parent_levels"), ("b", "a", "says", "says"), ("b", "a", "n", "n")))
+    )
+    pairs = cut(pairs.mapInPandas(_costs, "form string, parent string, says int, n bigint, cost int"))
     best = pairs.groupBy("form").agg(F.min_by("parent", F.struct("cost", -F.col("says"), -F.col("n"), "parent")).alias("parent"), F.min("cost").alias("cost"))
     roots = cut(forms.select("form").join(best.select("form", "parent"), "form", "left").select("form", F.coalesce("parent", "form").alias("root")))
     while True:  # every pass doubles the length of the chains that are followed
