@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: At most so many keys are salted; any other key holds less than this fraction of all rows.
-HOT_KEYS = 1000
+from stoagraph.operators.skew import PART_ROWS, hot_parts
+from stoagraph.session import cut
 
 
 def format_key(name: Column) -> Column:
@@ -19,37 +19,52 @@ def format_key(name: Column) -> Column:
     return F.when(F.size(sides) == 2, F.concat(sides[1], sides[0])).otherwise(F.regexp_replace(kept, ",", ""))
 
 
-def salted(rows: DataFrame, keys: list[str], row_id: str, hot_rows: int, salts: int) -> DataFrame:
-    """Add ``salt``: 0, or for keys with more than ``hot_rows`` rows one of ``salts`` parts by the row's identifier.
+def _clean(rows: DataFrame, row_id: str, keys: list[str], part_rows: int) -> tuple[DataFrame, DataFrame | None]:
+    """The rows ``(row_id, keys, digest)`` without nulls, cleaned and written once, and the parts of digests of hot keys.
 
-    The hot keys are found exactly, by counts that are pre-aggregated before their shuffle, HOT_KEYS at most.
+    A digest has at least the rows of each of its keys, so no hot key is missed; only digests and counts are shuffled.
     """
-    counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > hot_rows)
-    hot = counts.orderBy(F.desc("n"), *keys).limit(HOT_KEYS).select(*keys).collect()
-    if not hot:
-        return rows.withColumn("salt", F.lit(0))
-    # HOT_KEYS rows at most, so this table may be sent to every task
-    table = rows.sparkSession.createDataFrame(hot, rows.select(*keys).schema).withColumn("is_hot", F.lit(True))
-    part = F.when(F.col("is_hot"), F.pmod(F.xxhash64(row_id), F.lit(salts))).otherwise(F.lit(0)).cast("int")
-    return rows.join(F.broadcast(table), keys, "left").withColumn("salt", part).drop("is_hot")
+    clean = cut(rows.select(F.col(row_id).alias("row_id"), *keys).dropna(subset=["row_id", *keys]).withColumn("digest", F.xxhash64(*keys)))
+    return clean, hot_parts(clean, ["digest"], part_rows)
 
 
-def duplicate_groups(rows: DataFrame, row_id: str, keys: list[str], hot_rows: int = 50_000, salts: int = 32) -> tuple[DataFrame, DataFrame]:
-    """The salted rows ``(row_id, keys, salt)`` and their groups ``(keys, representative, n_copies, n_salts)``.
+def _split(clean: DataFrame, hot: DataFrame | None, keys: list[str]) -> tuple[DataFrame, DataFrame | None]:
+    """Rows of cold keys, shuffled once by key, and of hot keys, by key and a salt from the identifier; one row per identifier and key."""
+    if hot is None:
+        return clean.repartition(*keys).dropDuplicates([*keys, "row_id"]), None
+    known = F.broadcast(hot)  # HOT_KEYS rows at most
+    cold = clean.join(known, "digest", "left_anti").repartition(*keys).dropDuplicates([*keys, "row_id"])
+    spread = clean.join(known, "digest").withColumn("salt", F.pmod(F.xxhash64("row_id"), F.col("_parts")).cast("int"))
+    return cold, spread.repartition(*keys, "salt").dropDuplicates([*keys, "salt", "row_id"])
 
-    Rows with a null key belong to no group; one row per identifier and key counts. The representative is the smallest
-    identifier. The first level aggregates by key and salt, the second by key: cold keys have one salt and meet once.
+
+def _hot_groups(hot_rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Two levels: by key and salt, then by key."""
+    first = hot_rows.groupBy(*keys, "salt").agg(F.min("row_id").alias("low"), F.count(F.lit(1)).alias("n"))
+    return first.groupBy(*keys).agg(F.min("low").alias("representative"), F.sum("n").alias("n_copies"))
+
+
+def duplicate_groups(rows: DataFrame, row_id: str, keys: list[str], part_rows: int = PART_ROWS) -> DataFrame:
+    """``(keys, representative, n_copies)`` of every group of rows with equal keys.
+
+    Rows with a null key or identifier belong to no group; one row per identifier and key counts. The representative is
+    the smallest identifier. Keys with more than ``part_rows`` rows are found exactly and aggregated in two levels, by
+    as many salts as their rows need; all others meet in one shuffle.
+    """
+    cold, hot = _split(*_clean(rows, row_id, keys, part_rows), keys)
+    groups = cold.groupBy(*keys).agg(F.min("row_id").alias("representative"), F.count(F.lit(1)).alias("n_copies"))
+    return groups if hot is None else groups.unionByName(_hot_groups(hot, keys))
+
+
+def duplicate_rows(rows: DataFrame, row_id: str, keys: list[str], part_rows: int = PART_ROWS) -> DataFrame:
+    """``(representative, row_id)`` for every further row of a group; groups of one row give none. See ``duplicate_groups``.
+
+    Rows of hot keys are not gathered again: their representatives, HOT_KEYS at most, are sent to them.
     """
-    clean = rows.select(F.col(row_id).alias("row_id"), *keys).dropna(subset=["row_id", *keys]).distinct()
-    parts = salted(clean, keys, "row_id", hot_rows, salts)
-    first = parts.groupBy(*keys, "salt").agg(F.min("row_id").alias("low"), F.count(F.lit(1)).alias("n"))
-    groups = first.groupBy(*keys).agg(F.min("low").alias("representative"), F.sum("n").alias("n_copies"), F.max("salt").alias("last_salt"))
-    return parts, groups
-
-
-def duplicate_rows(rows: DataFrame, row_id: str, keys: list[str], hot_rows: int = 50_000, salts: int = 32) -> DataFrame:
-    """``(representative, row_id)`` for every further row of a group; groups of one row give none."""
-    parts, groups = duplicate_groups(rows, row_id, keys, hot_rows, salts)
-    # the representative of a hot key is repeated for each of its salts, so that its rows are joined in as many tasks
-    spread = groups.filter(F.col("n_copies") > 1).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("last_salt"))))
-    return parts.join(spread, [*keys, "salt"]).filter(F.col("row_id") != F.col("representative")).select("representative", "row_id")
+    cold, hot = _split(*_clean(rows, row_id, keys, part_rows), keys)
+    low = F.min("row_id").over(Window.partitionBy(*keys))
+    found = cold.select("row_id", low.alias("representative"))
+    if hot is not None:
+        lowest = _hot_groups(hot, keys).select(*keys, "representative")
+        found = found.unionByName(hot.join(F.broadcast(lowest), keys).select("row_id", "representative"))
+    return found.filter(F.col("row_id") != F.col("representative")).select("representative", "row_id")

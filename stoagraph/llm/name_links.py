@@ -378,7 +378,7 @@ def close_words(words: DataFrame, k: int = 2, part_rows: int = 5_000) -> DataFra
     has_class = "cls" in words.columns
     # one word becomes about a hundred keys, so words are spread before they do
     spread = int(words.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = words.select("word", ("cls" if has_class else F.array(F.lit("")).alias("cls"))).repartition(spread, "word")
+    rows = words.select("word", ("cls" if has_class else F.array(F.lit("")).alias("cls"))).repartition(spread, F.xxhash64("word"))
 
     def emit(probing: bool):
         # a word of class * is sought among all and all are sought among those of class *

@@ -9,6 +9,8 @@ from stoagraph.llm import format_duplicates as D
 from stoagraph.session import table
 
 KEYS = ["article_id", "category", "name_key"]
+#: Rows of one name that one task aggregates; names with more are salted.
+NAME_ROWS = 100
 
 
 def _mentions(spark: SparkSession, d: str) -> DataFrame:
@@ -22,11 +24,16 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_collapsed(spark: SparkSession, d: str) -> DataFrame:
-    _, groups = D.duplicate_groups(_mentions(spark, d), "mention_id", KEYS)
-    return groups.select(*KEYS, F.col("representative").alias("mention_id"), "n_copies")
+    return D.duplicate_groups(_mentions(spark, d), "mention_id", KEYS).select(*KEYS, F.col("representative").alias("mention_id"), "n_copies")
 
 
-QUERIES = {"p6_found": p6_found, "p6_collapsed": p6_collapsed}
+def p6_names(spark: SparkSession, d: str) -> DataFrame:
+    """One row per concept or school of the whole table, whatever its formatting: the keys are few and some of them hot."""
+    groups = D.duplicate_groups(_mentions(spark, d), "mention_id", KEYS[1:], part_rows=NAME_ROWS)
+    return groups.select(*KEYS[1:], F.col("representative").alias("mention_id"), "n_copies")
+
+
+QUERIES = {"p6_found": p6_found, "p6_collapsed": p6_collapsed, "p6_names": p6_names}
 
 _KEYS = """k AS (
   SELECT DISTINCT mention_id, article_id, category,
@@ -41,5 +48,6 @@ g AS (SELECT article_id, category, name_key, min(mention_id) AS mention_id, coun
 SQL = {
     "p6_found": f"""WITH {_KEYS} SELECT g.mention_id AS mention_id_a, n.mention_id AS mention_id_b
 FROM n JOIN g USING (article_id, category, name_key) WHERE n.mention_id <> g.mention_id""",
+    "p6_names": f"WITH {_KEYS.replace(' AND article_id IS NOT NULL', '')} SELECT category, name_key, min(mention_id) AS mention_id, count(DISTINCT mention_id) AS n_copies FROM n GROUP BY 1, 2",
     "p6_collapsed": f"WITH {_KEYS} SELECT article_id, category, name_key, mention_id, n_copies FROM g",
 }

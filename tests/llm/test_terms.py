@@ -57,6 +57,8 @@ def test_duplicates_with_hot_groups(spark):
             groups[a, b].add(i)
     want = {(min(g), i) for g in groups.values() for i in g if i != min(g)}
     for hot_rows in (50, 10**6):
-        got = {tuple(r) for r in D.duplicate_rows(df, "mention_id", ["a", "b"], hot_rows, 8).collect()}
-        assert got == want
+        got = [tuple(r) for r in D.duplicate_rows(df, "mention_id", ["a", "b"], hot_rows).collect()]
+        assert set(got) == want and len(got) == len(want)
+        whole = {(r["a"], r["b"]): (r["representative"], r["n_copies"]) for r in D.duplicate_groups(df, "mention_id", ["a", "b"], hot_rows).collect()}
+        assert whole == {k: (min(g), len(g)) for k, g in groups.items()}
     assert D.duplicate_rows(df.limit(0), "mention_id", ["a", "b"]).count() == 0
