@@ -20,6 +20,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from stoagraph.operators.skew import PART_ROWS, salted_join
+from stoagraph.session import cut
+
 # Letters of other scripts and the Latin letters they look like.
 CYRILLIC = {
     "а": "a", "с": "c", "ԁ": "d", "е": "e", "һ": "h", "і": "i", "ј": "j", "ӏ": "l", "о": "o", "р": "p", "ԛ": "q", "ѕ": "s", "ѵ": "v", "ԝ": "w", "х": "x", "у": "y",
@@ -29,13 +32,26 @@ GREEK = {
     "α": "a", "ϲ": "c", "ϳ": "j", "ο": "o", "ρ": "p", "ν": "v",
     "Α": "A", "Β": "B", "Ϲ": "C", "Ε": "E", "Η": "H", "Ι": "I", "Ϳ": "J", "Κ": "K", "Μ": "M", "Ν": "N", "Ο": "O", "Ρ": "P", "Τ": "T", "Χ": "X", "Υ": "Y", "Ζ": "Z",
 }
+# Letters of further scripts and phonetic letters, each with the Latin letter it looks like.
+ARMENIAN = {"օ": "o", "ս": "u", "հ": "h", "ո": "n", "յ": "j", "զ": "q", "ց": "g", "Տ": "S", "Ս": "U", "Օ": "O", "Լ": "L"}
+CHEROKEE = {
+    "Ꭺ": "A", "Ᏼ": "B", "Ꮯ": "C", "Ꭰ": "D", "Ꭼ": "E", "Ꮐ": "G", "Ꮋ": "H", "Ꭻ": "J", "Ꮶ": "K", "Ꮮ": "L", "Ꮇ": "M", "Ꮲ": "P", "Ꭱ": "R", "Ꮪ": "S", "Ꭲ": "T", "Ꮩ": "V", "Ꮃ": "W", "Ꮓ": "Z",
+}
+LISU = {
+    "ꓮ": "A", "ꓐ": "B", "ꓚ": "C", "ꓓ": "D", "ꓰ": "E", "ꓝ": "F", "ꓖ": "G", "ꓧ": "H", "ꓲ": "I", "ꓙ": "J", "ꓗ": "K", "ꓡ": "L", "ꓟ": "M", "ꓠ": "N", "ꓳ": "O", "ꓑ": "P", "ꓣ": "R", "ꓢ": "S", "ꓔ": "T",
+    "ꓴ": "U", "ꓦ": "V", "ꓪ": "W", "ꓫ": "X", "ꓬ": "Y", "ꓜ": "Z",
+}
+PHONETIC = {"ɑ": "a", "ɡ": "g", "ı": "i", "ɩ": "i", "ᴄ": "c", "ᴏ": "o", "ꜱ": "s", "ᴜ": "u", "ᴠ": "v", "ᴡ": "w", "ᴢ": "z", "ⅼ": "l", "ℓ": "l", "ү": "y", "ʏ": "y", "K": "K"}
 # Code points without any mark of their own on the page.
 INVISIBLE = "­͏؜᠎​‌‍‎‏‪‫‬‭‮⁠⁡⁢⁣⁤⁦⁧⁨⁩﻿"
 #: Compatibility forms that look like their plain form; others (superscripts, circled, squared …) look different.
 SAME_LOOK = ("<wide>", "<narrow>", "<noBreak>", "<compat>")
 #: Where such forms are taken from: Latin, punctuation, ligatures, full and half width; elsewhere (as for symbols made
-#: of Greek letters, or for digraphs) they would join letters that differ.
-COMPATIBLE = [(0xA0, 0xA0), (0x2000, 0x206F), (0x3000, 0x3000), (0xFB00, 0xFB06), (0xFF00, 0xFFEF)]
+#: of Greek letters) they would join letters that differ. Digraph letters, Roman numerals and digits with a stop look
+#: like the letters they are made of.
+COMPATIBLE = [(0xA0, 0xA0), (0x132, 0x133), (0x1C4, 0x1CC), (0x1F1, 0x1F3), (0x2000, 0x206F), (0x2160, 0x217F), (0x2488, 0x249B), (0x3000, 0x3000), (0xFB00, 0xFB06), (0xFF00, 0xFFEF)]
+#: Mathematical letters and digits that differ from plain ones by weight, slant or serifs alone.
+MATHEMATICAL = re.compile(r"MATHEMATICAL (?:BOLD|ITALIC|BOLD ITALIC|SANS-SERIF|SANS-SERIF BOLD|SANS-SERIF ITALIC|SANS-SERIF BOLD ITALIC|MONOSPACE) (?:CAPITAL [A-Z]|SMALL [A-Z]|DIGIT [A-Z]+)$")
 _SPACES = "             　 "
 
 
@@ -85,9 +101,11 @@ def classes() -> dict[str, tuple[str, ...]]:
             u.join(text, chr(cp))
             if len(text) == 2:
                 composed.append((chr(cp), text[0], text[1]))
+        elif kind == "<font>" and MATHEMATICAL.match(unicodedata.name(chr(cp), "")):
+            u.join(text, chr(cp))
         elif kind in SAME_LOOK and any(lo <= cp <= hi for lo, hi in COMPATIBLE) and (len(text) == 1 or text[0] != " "):
             u.join(text, chr(cp))
-    for a, b in [*CYRILLIC.items(), *GREEK.items()]:
+    for a, b in (pair for letters in (CYRILLIC, GREEK, ARMENIAN, CHEROKEE, LISU, PHONETIC) for pair in letters.items()):
         u.join(b, a)
     for ch in _SPACES:
         u.join(" ", ch)
@@ -138,7 +156,13 @@ def replacements(frequency: dict[str, int] | None = None) -> dict[str, str]:
 
 
 class Rewriter:
-    """Rewrites texts by a table of replacements, longest match first, until nothing changes."""
+    """Rewrites texts by a table of replacements, longest match first, until nothing changes.
+
+    Canonically equal texts are made equal first, so marks on one letter may stand in any order that means the same.
+    """
+
+    #: Chains of replacements are as long as the marks on one letter; texts settle in two or three passes.
+    PASSES = 50
 
     def __init__(self, table: dict[str, str]) -> None:
         self.table = table
@@ -153,12 +177,16 @@ class Rewriter:
         self.automaton.make_automaton()
 
     def __call__(self, text: str) -> str:
-        while any(x in text for x in self.ascii) or not text.isascii() and self.touched.search(text):
+        for _ in range(self.PASSES):
+            plain = text.isascii()
+            base = text if plain or unicodedata.is_normalized("NFC", text) else unicodedata.normalize("NFC", text)
+            if not any(x in base for x in self.ascii) and (plain or not self.touched.search(base)):
+                return base
             out, at = [], 0
-            for end, (n, y) in self.automaton.iter_long(text):
-                out += (text[at : end - n + 1], y)
+            for end, (n, y) in self.automaton.iter_long(base):
+                out += (base[at : end - n + 1], y)
                 at = end + 1
-            new = "".join(out) + text[at:]
+            new = "".join(out) + base[at:]
             if new == text:
                 break
             text = new
@@ -229,21 +257,21 @@ def consistent_texts(rows: DataFrame, row_id: str, text: str, keep_text: bool =
     return picked.mapInPandas(run, schema)
 
 
-def same_look_pairs(forms: DataFrame, part_rows: int = 2000) -> DataFrame:
+def same_look_pairs(forms: DataFrame, part_rows: int = PART_ROWS) -> DataFrame:
     """``(id_a, id_b)``, ``id_a < id_b``: rows of one form whose texts are different strings.
 
-    Equal copies are no pair, so a form that all rows share in one spelling gives none. Only forms with several
-    spellings are shuffled again, large ones in parts of about ``part_rows`` rows, each joined with the whole form;
-    one row per identifier and text counts.
+    Distinct spellings of a form are paired first and then expanded to their rows, so a million copies of one spelling
+    beside one other cost a million rows, and a form that all rows share in one spelling gives none. Frequent forms
+    and spellings are joined in parts; one row per identifier and text counts.
     """
-    keys = forms.groupBy("form_key", "text_key").agg(F.count(F.lit(1)).alias("n"))
-    several = keys.groupBy("form_key").agg(F.count(F.lit(1)).alias("spellings"), F.sum("n").alias("n")).filter(F.col("spellings") > 1)
-    parts = several.select("form_key", F.ceil(F.col("n") / part_rows).cast("int").alias("parts"))
-    some = forms.select("row_id", "form_key", "text_key").distinct().join(parts, "form_key")
-    a = some.withColumn("part", F.pmod(F.xxhash64("row_id"), F.col("parts")).cast("int")).alias("a")
-    b = some.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).alias("b")
-    on = (F.col("a.form_key") == F.col("b.form_key")) & (F.col("a.part") == F.col("b.part")) & (F.col("a.text_key") != F.col("b.text_key")) & (F.col("a.row_id") < F.col("b.row_id"))
-    return a.join(b, on).select(F.col("a.row_id").alias("id_a"), F.col("b.row_id").alias("id_b"))
+    spellings = forms.select("form_key", "text_key").distinct()
+    several = spellings.groupBy("form_key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1).select("form_key")
+    some = cut(forms.select("row_id", "form_key", "text_key").join(several, "form_key").distinct())
+    one = some.select("form_key", F.col("text_key").alias("text_a")).distinct()
+    pairs = salted_join(one, one.withColumnRenamed("text_a", "text_b"), ["form_key"], part_rows).filter(F.col("text_a") < F.col("text_b")).select("text_a", "text_b")
+    a, b = (some.select(F.col("text_key").alias(f"text_{x}"), F.col("row_id").alias(f"row_{x}")) for x in "ab")
+    met = salted_join(salted_join(a, pairs, ["text_a"], part_rows, "left"), b, ["text_b"], part_rows, "right")
+    return met.filter(F.col("row_a") != F.col("row_b")).select(F.least("row_a", "row_b").alias("id_a"), F.greatest("row_a", "row_b").alias("id_b")).distinct()
 
 
 if sys.maxunicode != 0x10FFFF:  # pragma: no cover

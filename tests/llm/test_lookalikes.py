@@ -8,7 +8,11 @@ def test_same_looks_and_different_looks():
     same = [("ﬁne", "fine"), ("ｆｉｎｅ　１２", "fine 12"), ("a​b­c", "abc"), ("é", "é"), ("е́", "é"), ("ό", "ó"), ("a b c", "a b c"), ("Ѕіｍоne", "Simone"), ("wait…", "wait..."), ("ấ", "ấ")]
     for a, b in same:
         assert r(a) == r(b), (a, b)
-    different = [("naive", "naïve"), ("A", "a"), ("“a”", '"a"'), ("–", "-"), ("x²", "x2"), ("a b", "ab"), ("a\nb", "a b"), ("ς", "c"), ("ß", "ss"), ("0", "O"), ("①", "1")]
+    same += [("ɑ", "a"), ("ı", "i"), ("օ", "o"), ("𝐀𝒃𝟏", "Ab1"), ("Ⅳ", "IV"), ("ᴏ", "o"), ("ℓ", "l"), ("ꓐ", "B"), ("Ꭺ", "A"), ("ĳ", "ij"), ("K", "K"), ("ү", "у")]
+    same += [("e\u0302\u0323", "\u1ec7"), ("e\u0323\u0302", "\u1ec7"), ("е\u0302\u0323", "\u1ec7")]  # marks in either order, also on a look-alike
+    for a, b in same:
+        assert r(a) == r(b), (a, b)
+    different = [("ℕ", "N"), ("½", "1/2"), ("n", "h"), ("l", "I"), ("naive", "naïve"), ("A", "a"), ("“a”", '"a"'), ("–", "-"), ("x²", "x2"), ("a b", "ab"), ("a\nb", "a b"), ("ς", "c"), ("ß", "ss"), ("0", "O"), ("①", "1")]
     for a, b in different:
         assert r(a) != r(b), (a, b)
 
@@ -45,6 +49,9 @@ def test_pairs_against_all_pairs(spark):
     forms = L.consistent_texts(df.filter("length(text) > 0"), "doc_id", "text", keep_text=False)
     for part_rows in (2000, 2):
         assert {tuple(x) for x in L.same_look_pairs(forms, part_rows).collect()} == want
+    # many copies of one spelling beside one other cost no more than their pairs
+    many = spark.createDataFrame([(i, "fine") for i in range(3000)] + [(9999, "ﬁne")], "doc_id bigint, text string")
+    assert L.same_look_pairs(L.consistent_texts(many, "doc_id", "text", keep_text=False), 500).count() == 3000
     kept = {x["row_id"]: x["form"] for x in L.consistent_texts(df, "doc_id", "text").collect()}
     assert kept[6] == "" and 7 not in kept and kept[1] == kept[0]
 
