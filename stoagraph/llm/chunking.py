@@ -13,15 +13,17 @@ def section_heads(lines: Column, sections: Column) -> Column:
     entries without a line are passed over; null ``sections`` or lines give an empty array.
     """
 
+    # only lines that are an entry at all are gone through again for every entry
+    candidates = F.filter(F.transform(lines, lambda x, i: F.struct(x.alias("line"), (i + 1).alias("at"))), lambda c: F.array_contains(sections, c["line"]))
+
     def step(acc: Column, entry: Column) -> Column:
-        rest = F.slice(lines, acc["last"] + 1, F.greatest(F.size(lines) - acc["last"], F.lit(0)))
-        at = F.coalesce(F.array_position(rest, entry).cast("int"), F.lit(0))
-        no, found = acc["n"] + 1, acc["last"] + at
-        heads = F.when(at > 0, F.concat(acc["heads"], F.array(F.struct(no.alias("no"), found.alias("line"))))).otherwise(acc["heads"])
-        return F.struct(F.when(at > 0, found).otherwise(acc["last"]).alias("last"), no.alias("n"), heads.alias("heads"))
+        found = F.array_min(F.transform(F.filter(acc["todo"], lambda c: (c["at"] > acc["last"]) & (c["line"] == entry)), lambda c: c["at"]))
+        no = acc["n"] + 1
+        heads = F.when(found.isNotNull(), F.concat(acc["heads"], F.array(F.struct(no.alias("no"), found.alias("line"))))).otherwise(acc["heads"])
+        return F.struct(F.coalesce(found, acc["last"]).alias("last"), no.alias("n"), heads.alias("heads"), acc["todo"].alias("todo"))
 
     none = F.array().cast("array<struct<no:int,line:int>>")
-    start = F.struct(F.lit(0).alias("last"), F.lit(0).alias("n"), none.alias("heads"))
+    start = F.struct(F.lit(0).alias("last"), F.lit(0).alias("n"), none.alias("heads"), candidates.alias("todo"))
     return F.coalesce(F.aggregate(sections, start, step)["heads"], none)
 
 
@@ -77,14 +79,17 @@ def cut_pieces(sections: DataFrame, limit: int = 2000, overlap: int = 200) -> Da
     """
     if not 0 <= overlap < limit - 16:
         raise ValueError("the overlap must leave room for a core")
-    cores = sections.withColumn("cores", cut_cores(F.col("section_text"), limit, overlap)).withColumn("n_pieces", F.size("cores"))
-    offsets = F.aggregate(
+    cores = sections.withColumn("cores", cut_cores(F.col("section_text"), limit, overlap)).withColumn("n_pieces", F.size("cores")).drop("section_text")
+    # every core with its offset and the characters before it, carried along: no piece goes back to the whole text
+    ahead = F.aggregate(
         "cores",
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("all")),
-        lambda a, c: F.struct((a["at"] + F.length(c)).alias("at"), F.concat(a["all"], F.array(a["at"])).alias("all")),
+        F.struct(F.lit(0).alias("at"), F.lit("").alias("back"), F.array().cast("array<struct<start:int,back:string>>").alias("all")),
+        lambda a, c: F.struct(
+            (a["at"] + F.length(c)).alias("at"),
+            (F.right(F.concat(a["back"], c), F.lit(overlap)) if overlap else F.lit("")).alias("back"),
+            F.concat(a["all"], F.array(F.struct(a["at"].alias("start"), a["back"].alias("back")))).alias("all"),
+        ),
         lambda a: a["all"],
     )
-    one = cores.withColumn("offsets", offsets).select("page_id", "section_no", "section_text", "n_pieces", F.posexplode(F.arrays_zip("cores", "offsets")).alias("i", "p"))
-    back = F.least(F.col("p.offsets"), F.lit(overlap))
-    piece = F.substring(F.col("section_text"), F.col("p.offsets") - back + 1, F.length("p.cores") + back)
-    return one.select("page_id", "section_no", (F.col("i") + 1).alias("piece_no"), F.col("p.offsets").alias("start"), "n_pieces", piece.alias("piece"))
+    one = cores.withColumn("ahead", ahead).select("page_id", "section_no", "n_pieces", F.posexplode(F.arrays_zip("cores", "ahead")).alias("i", "p"))
+    return one.select("page_id", "section_no", (F.col("i") + 1).alias("piece_no"), F.col("p.ahead.start").alias("start"), "n_pieces", F.concat("p.ahead.back", "p.cores").alias("piece"))
