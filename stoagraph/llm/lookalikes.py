@@ -11,7 +11,7 @@ import re
 import sys
 import unicodedata
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import ahocorasick
@@ -49,7 +49,7 @@ SAME_LOOK = ("<wide>", "<narrow>", "<noBreak>", "<compat>")
 #: Where such forms are taken from: Latin, punctuation, ligatures, full and half width; elsewhere (as for symbols made
 #: of Greek letters) they would join letters that differ. Digraph letters, Roman numerals and digits with a stop look
 #: like the letters they are made of.
-COMPATIBLE = [(0xA0, 0xA0), (0x132, 0x133), (0x1C4, 0x1CC), (0x1F1, 0x1F3), (0x2000, 0x206F), (0x2160, 0x217F), (0x2488, 0x249B), (0x3000, 0x3000), (0xFB00, 0xFB06), (0xFF00, 0xFFEF)]
+COMPATIBLE = [(0xA0, 0xA0), (0x132, 0x133), (0x1C7, 0x1CC), (0x2000, 0x206F), (0x2160, 0x217F), (0x2488, 0x249B), (0x3000, 0x3000), (0xFB00, 0xFB06), (0xFF00, 0xFFEF)]
 #: Mathematical letters and digits that differ from plain ones by weight, slant or serifs alone.
 MATHEMATICAL = re.compile(r"MATHEMATICAL (?:BOLD|ITALIC|BOLD ITALIC|SANS-SERIF|SANS-SERIF BOLD|SANS-SERIF ITALIC|SANS-SERIF BOLD ITALIC|MONOSPACE) (?:CAPITAL [A-Z]|SMALL [A-Z]|DIGIT [A-Z]+)$")
 _SPACES = "             　 "
@@ -155,6 +155,12 @@ def replacements(frequency: dict[str, int] | None = None) -> dict[str, str]:
     return out
 
 
+def _touched(patterns: Iterable[str]) -> re.Pattern:
+    """Finds the last non-ASCII characters of patterns: one bitmap for the basic plane; any character beyond it counts as one of them."""
+    needed = {next(c for c in reversed(x) if not c.isascii()) for x in patterns if not x.isascii()}
+    return re.compile("[" + "".join(re.escape(c) for c in sorted(needed) if c < "\uffff") + "]|[\U00010000-\U0010ffff]")
+
+
 class Rewriter:
     """Rewrites texts by a table of replacements, longest match first, until nothing changes.
 
@@ -167,16 +173,33 @@ class Rewriter:
     def __init__(self, table: dict[str, str]) -> None:
         self.table = table
         self.ascii = [x for x in table if x.isascii()]
+        # no pattern goes beyond a blank unless it holds one, so a text is rewritten word by word and repeated words once
+        self.whole = bool(self.ascii) or any(" " in x for x in table)
+        self.known: dict[str, str] = {}
         # a text without the last non-ASCII character of any pattern holds no pattern
-        needed = {next(c for c in reversed(x) if not c.isascii()) for x in table if not x.isascii()}
-        # (one bitmap for the basic plane; any character beyond it counts as one of them)
-        self.touched = re.compile("[" + "".join(re.escape(c) for c in sorted(needed) if c < "\uffff") + "]|[\U00010000-\U0010ffff]")
+        self.touched = _touched(table)
         self.automaton = ahocorasick.Automaton()
         for x, y in table.items():
             self.automaton.add_word(x, (len(x), y))
         self.automaton.make_automaton()
 
     def __call__(self, text: str) -> str:
+        if self.whole:
+            return self._settled(text)
+        if text.isascii() or not self.touched.search(text) and unicodedata.is_normalized("NFC", text):
+            return text
+        parts = text.split(" ")
+        for i, part in enumerate(parts):
+            if not part.isascii():
+                known = self.known.get(part)
+                if known is None:
+                    if len(self.known) > 50_000:
+                        self.known.clear()
+                    known = self.known[part] = self._settled(part)
+                parts[i] = known
+        return " ".join(parts)
+
+    def _settled(self, text: str) -> str:
         for _ in range(self.PASSES):
             plain = text.isascii()
             base = text if plain or unicodedata.is_normalized("NFC", text) else unicodedata.normalize("NFC", text)
@@ -199,26 +222,46 @@ def plain_rewriter() -> Rewriter:
     return Rewriter(replacements())
 
 
+def _count_ascii(codes: np.ndarray, strings: list[str], into: Counter) -> None:
+    """Count ASCII strings of two and more characters in one array of code points, by their first pairs."""
+    low = codes < 128
+    pairs = np.where(low[:-1] & low[1:], codes[:-1] * 128 + codes[1:], 0)
+    seen = np.bincount(pairs, minlength=1 << 14)
+    for x in strings:
+        pair = ord(x[0]) * 128 + ord(x[1])
+        if len(x) == 2:
+            into[x] += int(seen[pair])
+        elif seen[pair]:
+            at = np.flatnonzero(pairs == pair)
+            at = at[at + len(x) <= len(codes)]
+            for j, c in enumerate(x[2:], 2):
+                at = at[codes[at + j] == ord(c)]
+            into[x] += len(at)
+
+
 def _count_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     known = patterns()
     singles = np.array(sorted(ord(x) for x in known if len(x) == 1), dtype=np.uint32)
     short = [x for x in known if len(x) > 1 and x.isascii()]
+    longer = [x for x in known if len(x) > 1 and not x.isascii()]
+    touched = _touched(longer)
     automaton = ahocorasick.Automaton()
-    for x in known:
-        if len(x) > 1 and not x.isascii():
-            automaton.add_word(x, x)
+    for x in longer:
+        automaton.add_word(x, x)
     automaton.make_automaton()
     total = np.zeros(0x110000, dtype=np.int64)
     strings: Counter = Counter()
     for batch in batches:
         texts = [t for t in batch["text"] if t]
-        odd = "\x00".join(t for t in texts if not t.isascii())
-        whole = "\x00".join(texts)
-        total += np.bincount(np.frombuffer(whole.encode("utf-32-le", "surrogatepass"), dtype=np.uint32), minlength=0x110000)[:0x110000]
-        for x in short:
-            strings[x] += whole.count(x)
-        for _, x in automaton.iter(odd):
-            strings[x] += 1
+        for at in range(0, len(texts), 500):
+            whole = "\x00".join(texts[at : at + 500])
+            codes = np.frombuffer(whole.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+            total += np.bincount(codes, minlength=0x110000)[:0x110000]
+            _count_ascii(codes, short, strings)
+        for word, n in Counter(w for t in texts if not t.isascii() for w in t.split(" ") if not w.isascii()).items():
+            if touched.search(word):
+                for _, x in automaton.iter(word):
+                    strings[x] += n
     rows = [(chr(c), int(total[c])) for c in singles if total[c]] + [(x, n) for x, n in strings.items() if n]
     yield pd.DataFrame(rows, columns=["pattern", "n"])
 
