@@ -307,9 +307,10 @@ def same_look_pairs(forms: DataFrame, part_rows: int = PART_ROWS) -> DataFrame:
     beside one other cost a million rows, and a form that all rows share in one spelling gives none. Frequent forms
     and spellings are joined in parts; one row per identifier and text counts.
     """
+    forms = cut(forms.select("row_id", "form_key", "text_key"))  # digests alone; the texts are rewritten once
     spellings = forms.select("form_key", "text_key").distinct()
     several = spellings.groupBy("form_key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1).select("form_key")
-    some = cut(forms.select("row_id", "form_key", "text_key").join(several, "form_key").distinct())
+    some = cut(forms.join(several, "form_key").distinct())
     one = some.select("form_key", F.col("text_key").alias("text_a")).distinct()
     pairs = salted_join(one, one.withColumnRenamed("text_a", "text_b"), ["form_key"], part_rows).filter(F.col("text_a") < F.col("text_b")).select("text_a", "text_b")
     a, b = (some.select(F.col("text_key").alias(f"text_{x}"), F.col("row_id").alias(f"row_{x}")) for x in "ab")
