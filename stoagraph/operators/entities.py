@@ -2,28 +2,18 @@
 
 from __future__ import annotations
 
+import tomllib
 from collections.abc import Callable
 from functools import reduce
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stoagraph.functions.text import START, W, head, tokens
 
-# Patterns, word lists and thresholds that results depend on.
-PHILOSOPHERS = [
-    r"([A-Z][a-z]+ (?:van |de |von )?[A-Z][a-z]+)\s*\([\d\-–]+\)",
-    r"According to ([A-Z][a-z]+ [A-Z][a-z]+)",
-    r"([A-Z][a-z]+ [A-Z][a-z]+)(?:'s|’s) (?:theory|philosophy|argument|view)",
-    r"([A-Z][a-z]+ [A-Z][a-z]+) (?:argues|argued|claims|claimed|maintains|maintained)",
-]
-CONCEPT_ENDINGS = ["ism", "ology", "ness"]
-CONCEPT_BEGINNINGS = ["meta"]
-CONCEPT_HEADS = ["problem", "paradox", "principle", "theory", "thesis", "argument"]
-SCHOOL_WORDS = ["school", "movement", "tradition", "approach", "philosophy", "ism", "ists", "ians", "ean", "ic philosophy"]
-PERSON_WORDS = ["philosopher", "century", "bc", "ad"]
-TITLE_WORDS = ["ism", "philosophy", "theory"]
-STOP_NAMES = ["the", "a", "an", "this", "that", "these", "those"]
+#: Patterns and word lists that results depend on; the operators take them as parameters.
+RULES = tomllib.loads((Path(__file__).parent / "entity_rules.toml").read_text(encoding="utf-8"))
 CATEGORIES = ["philosophers", "concepts", "schools", "arguments", "works", "problems"]
 
 
@@ -35,14 +25,14 @@ def _found(articles: DataFrame, article_id: str, category: str, names: Column) -
     return articles.select(F.col(article_id).alias("article_id"), F.lit(category).alias("category"), F.explode(names).alias("name"))
 
 
-def philosophers(articles: DataFrame, article_id: str, text: Column, patterns: list[str] = PHILOSOPHERS, ignore_case: bool = False, most_words: int = 4) -> DataFrame:
+def philosophers(articles: DataFrame, article_id: str, text: Column, patterns: list[str] = RULES["persons"], ignore_case: bool = False, most_words: int = 4) -> DataFrame:
     """Names in the context patterns, one row per match; names of more than ``most_words`` words are dropped."""
     flag = "(?i)" if ignore_case else ""
     hits = F.concat(*(F.regexp_extract_all(text, F.lit(flag + p), F.lit(1)) for p in patterns))
     return _found(articles, article_id, "philosophers", F.filter(hits, lambda n: F.size(F.split(n, r"\s+")) <= most_words))
 
 
-def concepts(articles: DataFrame, article_id: str, text: Column, endings: list[str] = CONCEPT_ENDINGS, beginnings: list[str] = CONCEPT_BEGINNINGS, heads: list[str] = CONCEPT_HEADS, shortest: int = 5, longest: int = 29) -> DataFrame:
+def concepts(articles: DataFrame, article_id: str, text: Column, endings: list[str] = RULES["concept_endings"], beginnings: list[str] = RULES["concept_beginnings"], heads: list[str] = RULES["concept_heads"], shortest: int = 5, longest: int = 29) -> DataFrame:
     """Words by ending or beginning, and the word between "the" and a head word, in lower case and within the lengths."""
     lower = F.lower(text)
     plain = F.filter(tokens(lower), lambda w: any_of(w, endings, "endswith") | any_of(w, beginnings, "startswith"))
@@ -61,7 +51,7 @@ def problems(articles: DataFrame, article_id: str, text: Column) -> DataFrame:
     return _found(articles, article_id, "problems", F.regexp_extract_all(text, F.lit(rf"[Tt]he (?:problem|paradox) of ({W}+(?:\s+{W}+){{0,3}})"), F.lit(1)))
 
 
-def title_concepts(articles: DataFrame, article_id: str, title: Column, parts: list[str] = TITLE_WORDS) -> DataFrame:
+def title_concepts(articles: DataFrame, article_id: str, title: Column, parts: list[str] = RULES["title_words"]) -> DataFrame:
     """The title, in lower case, where it holds one of the parts."""
     lower = F.lower(title)
     return _found(articles, article_id, "concepts", F.when(any_of(lower, parts), F.array(lower)).otherwise(F.array().cast("array<string>")))
@@ -80,12 +70,12 @@ def section_arguments(articles: DataFrame, article_id: str, sections: Column) ->
     return _found(articles, article_id, "arguments", F.filter(sections, lambda s: F.lower(s).contains("argument")))
 
 
-def annotated_entities(spans: DataFrame) -> DataFrame:
-    """Entities from a recogniser's spans ``(article_id, kind, name)``: persons of philosophy, schools, works."""
+def annotated_entities(spans: DataFrame, persons: list[str] = RULES["person_words"], schools: list[str] = RULES["school_words"]) -> DataFrame:
+    """Entities from a recogniser's spans ``(article_id, kind, name)``: thinkers, schools, works."""
     lower = F.lower("name")
     category = (
-        F.when((F.col("kind") == "PERSON") & any_of(lower, PERSON_WORDS), "philosophers")
-        .when((F.col("kind") == "ORG") & any_of(lower, SCHOOL_WORDS), "schools")
+        F.when((F.col("kind") == "PERSON") & any_of(lower, persons), "philosophers")
+        .when((F.col("kind") == "ORG") & any_of(lower, schools), "schools")
         .when(F.col("kind") == "WORK_OF_ART", "works")
         .when((F.col("kind") == "NOUN_CHUNK") & (F.length("name") > 5) & any_of(lower, ["ism", "ity", "ness"], "endswith"), "concepts")
     )
@@ -139,10 +129,10 @@ def embedded_json(answer: Column, schema: str, brackets: str = "{}") -> Column:
     return F.from_json(F.regexp_extract(answer, rf"(?s)\{a}.*\{b}", 0), schema)
 
 
-def clean(mentions: DataFrame, shortest: int = 3, most: int = 50) -> DataFrame:
+def clean(mentions: DataFrame, shortest: int = 3, most: int = 50, stop: list[str] = RULES["stop_names"]) -> DataFrame:
     """``(article_id, category, name, n)``: short and function words out, the ``most`` most frequent names of each article and category."""
     counted = (
-        mentions.filter((F.length("name") >= shortest) & ~F.lower("name").isin(STOP_NAMES))
+        mentions.filter((F.length("name") >= shortest) & ~F.lower("name").isin(stop))
         .groupBy("article_id", "category", "name")
         .agg(F.count(F.lit(1)).alias("n"))
     )

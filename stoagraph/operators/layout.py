@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from stoagraph.functions.text import ellipsis
 
 # The colours that camps take in turn.
-CAMP_COLOURS = ["#ff6b6b", "#4ecdc4", "#45b7d1"]
+CAMP_COLOURS = ["#ff6b6b", "#4ecdc4", "#45b7d1", "#96ceb4", "#dfe6e9"]
 
 
 def camp_rows(debates: DataFrame) -> DataFrame:
@@ -19,7 +19,7 @@ def camp_rows(debates: DataFrame) -> DataFrame:
 
 
 def debate_nodes(camps: DataFrame, base: int = 0, per_member: int = 10, member_size: int = 5) -> DataFrame:
-    """``(topic, id, type, size, colour)``: camps sized by their members, three colours in turn, and the members."""
+    """``(topic, id, type, size, colour)``: camps sized by their members, five colours in turn, and the members."""
     colour = F.element_at(F.array(*map(F.lit, CAMP_COLOURS)), (F.col("pos") % len(CAMP_COLOURS) + 1).cast("int"))
     own = camps.select("topic", F.col("camp").alias("id"), F.lit("camp").alias("type"), (F.lit(base) + per_member * F.size("members")).alias("size"), colour.alias("colour"))
     people = camps.select("topic", F.explode("members").alias("id"), F.lit("philosopher").alias("type"), F.lit(member_size).alias("size"), F.lit(None).cast("string").alias("colour"))

@@ -75,8 +75,9 @@ def m3_upsert(spark, d):
 
 
 def m4_lacking(spark, d):
-    done = table(spark, d, "entities").groupBy(F.col("article_id").alias("id")).agg(F.count(F.lit(1)).alias("n_entities"))
-    return M.lacking(table(spark, d, "entries").select("id").distinct().join(done, "id", "left"), "n_entities").select("id")
+    """Entries without a text: never fetched, or fetched empty."""
+    texts = table(spark, d, "article_data").filter("full_text IS NOT NULL").groupBy("id").agg(F.count(F.lit(1)).alias("n_texts"))
+    return M.lacking(table(spark, d, "entries").select("id").distinct().join(texts, "id", "left"), "n_texts").select("id")
 
 
 def w1_windows(spark, d):
@@ -116,7 +117,7 @@ FROM (SELECT page_id, unnest(bibliography) AS b, generate_subscripts(bibliograph
     "s19_front_matter": """SELECT doc_id, nullif(trim(replace(coalesce(title, '-'), '"', '')), '') AS title, nullif(trim(coalesce(author, '-')), '') AS author, try_strptime(doc_date, '%m.%d.%Y')::DATE AS date_on FROM documents""",
     "m2_remaining": "SELECT DISTINCT id FROM entries WHERE id NOT IN (SELECT id FROM article_data WHERE id IS NOT NULL)",
     "m3_upsert": "SELECT id, page_id, fetched_at, word_count FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY fetched_at DESC, page_id DESC) AS k FROM article_data) WHERE k = 1",
-    "m4_lacking": "SELECT DISTINCT id FROM entries WHERE id NOT IN (SELECT article_id FROM entities WHERE article_id IS NOT NULL)",
+    "m4_lacking": "SELECT DISTINCT id FROM entries e WHERE NOT EXISTS (SELECT 1 FROM article_data a WHERE a.id = e.id AND full_text IS NOT NULL)",
     "w1_windows": "SELECT time_bucket(INTERVAL '6 hours', ts, TIMESTAMP '1970-01-01') AS begin, event_type AS by, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY 1, 2",
     "w2_sliding": """SELECT begin, CAST(count(*) AS BIGINT) AS n FROM (SELECT time_bucket(INTERVAL '3 hours', ts, TIMESTAMP '1970-01-01') AS begin FROM events
 UNION ALL SELECT time_bucket(INTERVAL '3 hours', ts, TIMESTAMP '1970-01-01') - INTERVAL '3 hours' FROM events) GROUP BY 1""",

@@ -126,23 +126,23 @@ def _counted(select: str) -> str:
     return f"SELECT page_id, name, count(*) AS n FROM ({select}) GROUP BY page_id, name"
 
 
-_PEOPLE = " UNION ALL ".join(f"SELECT page_id, unnest({_all(p)}) AS name FROM article_data" for p in E.PHILOSOPHERS)
+_PEOPLE = " UNION ALL ".join(f"SELECT page_id, unnest({_all(p)}) AS name FROM article_data" for p in E.RULES["persons"])
 _PEOPLE = f"SELECT * FROM ({_PEOPLE}) WHERE len(regexp_split_to_array(name, '\\s+')) <= 4"
-_HEADED = rf"{T.START}the ({T.W}+) (?:{'|'.join(E.CONCEPT_HEADS)})(?:[^\p{{L}}\p{{N}}_]|$)"
+_HEADED = rf"{T.START}the ({T.W}+) (?:{'|'.join(E.RULES["concept_heads"])})(?:[^\p{{L}}\p{{N}}_]|$)"
 _CONCEPTS = f"""SELECT page_id, name FROM (
   SELECT page_id, name FROM (SELECT page_id, unnest({_all(f'({T.W}+)', 'lower(full_text)')}) AS name FROM article_data)
-  WHERE {" OR ".join(f"name LIKE '%{e}'" for e in E.CONCEPT_ENDINGS)} OR {" OR ".join(f"name LIKE '{b}%'" for b in E.CONCEPT_BEGINNINGS)}
+  WHERE {" OR ".join(f"name LIKE '%{e}'" for e in E.RULES["concept_endings"])} OR {" OR ".join(f"name LIKE '{b}%'" for b in E.RULES["concept_beginnings"])}
   UNION ALL SELECT page_id, unnest({_all(_HEADED, 'lower(full_text)')}) FROM article_data) WHERE length(name) BETWEEN 5 AND 29"""
 _ARGUMENTS = f"SELECT page_id, unnest({_all(rf'[Tt]he ({T.W}+(?:\s+{T.W}+){{0,3}}) argument')}) AS name FROM article_data"
 _PROBLEMS = f"SELECT page_id, unnest({_all(rf'[Tt]he (?:problem|paradox) of ({T.W}+(?:\s+{T.W}+){{0,3}})')}) AS name FROM article_data"
-_TITLES = f"SELECT page_id, lower(metadata.title) AS name FROM article_data WHERE {' OR '.join(f"contains(lower(metadata.title), {_q(w)})" for w in E.TITLE_WORDS)}"
+_TITLES = f"SELECT page_id, lower(metadata.title) AS name FROM article_data WHERE {' OR '.join(f"contains(lower(metadata.title), {_q(w)})" for w in E.RULES["title_words"])}"
 _LINKS = """SELECT page_id, category, CASE WHEN category = 'concepts' THEN lower(a) ELSE a END AS name FROM (
   SELECT page_id, l.anchor_text AS a, CASE WHEN contains(lower(l.anchor_text), 'philosopher') OR contains(lower(l.anchor_text), 'century') THEN 'philosophers'
     WHEN lower(l.anchor_text) LIKE '%ism' THEN 'schools' ELSE 'concepts' END AS category
   FROM (SELECT page_id, unnest(internal_links) AS l FROM article_data)) WHERE a <> ''"""
 _SECTIONS = "SELECT page_id, name FROM (SELECT page_id, unnest(sections) AS name FROM article_data) WHERE contains(lower(name), 'argument')"
 _CLASS = "CASE " + " ".join(f"WHEN {' OR '.join(f'contains(c, {_q(w)})' for w in ws)} THEN '{k}'" for k, ws in R.KEYWORDS.items()) + " END"
-_STOP = ", ".join(_q(w) for w in E.STOP_NAMES)
+_STOP = ", ".join(_q(w) for w in E.RULES["stop_names"])
 _CLEAN = f"""SELECT article_id, category, name, n FROM (
   SELECT *, row_number() OVER (PARTITION BY article_id, category ORDER BY n DESC, name) AS k FROM (
     SELECT article_id, category, name, count(*) AS n FROM src WHERE length(name) >= 3 AND lower(name) NOT IN ({_STOP}) GROUP BY 1, 2, 3)) WHERE k <= 50"""

@@ -11,6 +11,7 @@ from stoagraph.operators import paths as P
 from stoagraph.operators import stats as S
 from stoagraph.session import cut, table
 
+_KEPT: dict[tuple, tuple[DataFrame, DataFrame]] = {}
 ONE, TWO, NETWORK, PERSON = "free will", "justice", "personal identity", "Vera"
 
 
@@ -20,9 +21,18 @@ def _graph(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 
 
 def _kept(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """The graph written once, for queries that read it several times."""
-    nodes, edges = _graph(spark, d)
-    return cut(nodes.select("id", "label", "name", "title")), cut(edges.select("src", "dst", "type"))
+    """The graph written once a session and state of the tables, for queries that read it several times."""
+    fs = spark._jvm.org.apache.hadoop.fs
+    files = []
+    for name in ("nodes", "entities", "relationships"):
+        path = fs.Path(f"{d}/{name}.parquet")
+        files += [(s.getPath().toString(), s.getModificationTime()) for s in path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path)]
+    key = (spark.sparkContext.applicationId, tuple(files))
+    if key not in _KEPT:
+        _KEPT.clear()
+        nodes, edges = _graph(spark, d)
+        _KEPT[key] = cut(nodes.select("id", "label", "name", "title")), cut(edges.select("src", "dst", "type"))
+    return _KEPT[key]
 
 
 def _relations_only(edges: DataFrame) -> DataFrame:
@@ -87,12 +97,7 @@ def a7_degree_centrality(spark, d):
 
 
 def a8_distances(spark, d):
-    nodes, edges = _kept(spark, d)
-    return P.distances(_relations_only(edges), nodes.filter(F.col("id") == f"concept:{NETWORK}").select("id"), 4).select("node", "distance")
-
-
-def a8_whole(spark, d):
-    """a8_distances over all edges, until a layer is empty."""
+    """Over all edges, until a layer is empty."""
     nodes, edges = _kept(spark, d)
     return P.distances(edges, nodes.filter(F.col("id") == f"concept:{NETWORK}").select("id")).select("node", "distance")
 
@@ -104,13 +109,7 @@ def a9_betweenness(spark, d):
 
 
 def a10_tree(spark, d):
-    nodes, edges = _kept(spark, d)
-    centre = S.top_degrees(nodes, edges, 1).select("id")
-    return P.distances(_relations_only(edges), centre, 3).filter("distance > 0").select("node", "distance", "parent")
-
-
-def a10_whole(spark, d):
-    """a10_tree over all edges, down to the last leaves."""
+    """Over all edges, down to the last leaves."""
     nodes, edges = _kept(spark, d)
     centre = S.top_degrees(nodes, edges, 1).select("id")
     return P.distances(edges, centre).filter("distance > 0").select("node", "distance", "parent")
@@ -143,20 +142,10 @@ def q3_concept_network(spark, d):
 
 
 def q4_influence_chain(spark, d):
-    return Q.influence_chain(*_kept(spark, d), PERSON, "both", 2)
-
-
-def q4_directed(spark, d):
-    return Q.influence_chain(*_kept(spark, d), PERSON, "forward", 2, mode="directed")
-
-
-def q4_whole(spark, d):
-    """q4_influence_chain to the operator's own depth of 3."""
     return Q.influence_chain(*_kept(spark, d), PERSON, "both")
 
 
-def q4_whole_directed(spark, d):
-    """q4_directed to the operator's own depth of 3."""
+def q4_directed(spark, d):
     return Q.influence_chain(*_kept(spark, d), PERSON, "forward", mode="directed")
 
 
@@ -211,7 +200,6 @@ bw AS (SELECT src AS node, dst AS other, src, dst, type FROM ge UNION ALL SELECT
 rb AS (SELECT src AS node, dst AS other, src, dst, type FROM ro UNION ALL SELECT dst, src, src, dst, type FROM ro WHERE src <> dst),
 sp AS (SELECT DISTINCT least(src, dst) AS a, greatest(src, dst) AS b FROM ge WHERE src <> dst),
 nb AS (SELECT a AS x, b AS y FROM sp UNION ALL SELECT b, a FROM sp),
-rn AS (SELECT DISTINCT node AS x, other AS y FROM rb WHERE node <> other),
 dg AS (SELECT id, count(*) AS degree FROM (SELECT src AS id FROM ge UNION ALL SELECT dst FROM ge) GROUP BY id)"""
 
 
@@ -223,9 +211,14 @@ _TWO = """, s AS (SELECT id FROM gn WHERE {seeds}), st AS ({steps}),
 t1 AS (SELECT s.id AS seed, st.other AS node, 1 AS distance, st.src AS s1, st.dst AS d1, st.type AS y1, NULL AS y2 FROM s JOIN st ON st.node = s.id),
 t2 AS (SELECT t1.seed, st.other AS node, 2 AS distance, s1, d1, y1, st.type AS y2 FROM t1 JOIN st ON st.node = t1.node WHERE NOT (st.src = s1 AND st.dst = d1 AND st.type = y1)),
 tr AS (SELECT * FROM t1 UNION ALL SELECT * FROM t2)"""
-_BFS = """, s0 AS (SELECT {seed} AS node), l1 AS (SELECT DISTINCT y AS node, 1 AS d FROM rn JOIN s0 ON x = node), l2 AS (SELECT DISTINCT y AS node, 2 AS d FROM rn JOIN l1 ON x = node),
-l3 AS (SELECT DISTINCT y AS node, 3 AS d FROM rn JOIN l2 ON x = node), l4 AS (SELECT DISTINCT y AS node, 4 AS d FROM rn JOIN l3 ON x = node),
-bf AS (SELECT node, min(d) AS distance FROM (SELECT node, 0 AS d FROM s0 UNION ALL SELECT * FROM l1 UNION ALL SELECT * FROM l2 UNION ALL SELECT * FROM l3 UNION ALL SELECT * FROM l4) GROUP BY node)"""
+_DEPTH = 12
+_BFS = ", s0 AS (SELECT {seed} AS node), l0 AS (SELECT node, 0 AS d FROM s0), " + ", ".join(f"l{k} AS (SELECT DISTINCT y AS node, {k} AS d FROM nb JOIN l{k - 1} ON x = node)" for k in range(1, _DEPTH + 1))
+_BFS += ", bf AS (SELECT node, min(d) AS distance FROM (" + " UNION ALL ".join(f"SELECT * FROM l{k}" for k in range(_DEPTH + 1)) + ") GROUP BY node)"
+_THREE = _TWO.replace("SELECT * FROM t1 UNION ALL SELECT * FROM t2", "SELECT seed, node, distance FROM t1 UNION ALL SELECT seed, node, distance FROM t2 UNION ALL SELECT seed, node, distance FROM t3").replace(
+    ", st.type AS y2 FROM t1", ", st.type AS y2, st.src AS s2, st.dst AS d2 FROM t1"
+).replace("tr AS (", """t3 AS (SELECT t2.seed, st.other AS node, 3 AS distance FROM t2 JOIN st ON st.node = t2.node
+  WHERE NOT (st.src = s1 AND st.dst = d1 AND st.type = y1) AND NOT (st.src = s2 AND st.dst = d2 AND st.type = y2)),
+tr AS (""")
 _SCHOOL = """SELECT s.name AS school, p.name AS member, count(*) AS n_edges FROM bw JOIN gn s ON bw.node = s.id AND s.label = 'School' JOIN gn p ON bw.other = p.id AND p.label = 'Philosopher' GROUP BY s.id, s.name, p.name"""
 _PEOPLE = "SELECT node, other, src, dst, type FROM bw JOIN gn a ON bw.src = a.id AND a.label = 'Philosopher' JOIN gn b ON bw.dst = b.id AND b.label = 'Philosopher' WHERE bw.type IN ('INFLUENCES', 'INFLUENCED_BY')"
 _HAS = "(contains(lower(coalesce(name, '')), '{0}') OR contains(lower(coalesce(title, '')), '{0}'))"
@@ -251,7 +244,7 @@ SELECT 'concept:{ONE}' AS source, 'concept:{TWO}' AS target, path, distance FROM
     "a7_degree_centrality": _with("SELECT gn.id, round(coalesce(deg, 0) / ((SELECT count(*) FROM gn) - 1)::DOUBLE, 9) AS centrality FROM gn LEFT JOIN (SELECT x AS id, count(*) AS deg FROM nb GROUP BY x) USING (id)"),
     "a8_distances": _with(_BFS.format(seed=f"'concept:{NETWORK}'") + " SELECT * FROM bf WHERE EXISTS (SELECT 1 FROM gn WHERE id = (SELECT node FROM s0))"),
     "a10_tree": _with(_BFS.format(seed="(SELECT gn.id FROM gn LEFT JOIN dg USING (id) ORDER BY coalesce(degree, 0) DESC, gn.id LIMIT 1)") + """
-SELECT c.node, c.distance, min(p.node) AS parent FROM bf c JOIN rn ON rn.y = c.node JOIN bf p ON p.node = rn.x AND p.distance = c.distance - 1 WHERE c.distance BETWEEN 1 AND 3 GROUP BY 1, 2"""),
+SELECT c.node, c.distance, min(p.node) AS parent FROM bf c JOIN nb ON nb.y = c.node JOIN bf p ON p.node = nb.x AND p.distance = c.distance - 1 WHERE c.distance >= 1 GROUP BY 1, 2"""),
     "a12_simple_pairs": _with("SELECT * FROM sp"),
     "a15_type_counts": _with("SELECT type, count(*) AS n FROM ge GROUP BY type"),
     "a16_periods": "SELECT CAST(date_trunc('quarter', created_at) AS DATE) AS period, count(*) AS n FROM nodes WHERE label = 'Article' GROUP BY 1",
@@ -267,10 +260,10 @@ ac AS (SELECT article, title, CASE WHEN contains(lower(title), '{ONE}') THEN 'Pr
 SELECT t.camp, coalesce(m.members, '') AS members, t.texts FROM (SELECT camp, string_agg(title, '; ' ORDER BY title) AS texts FROM ac GROUP BY camp) t LEFT JOIN (
   SELECT camp, string_agg(name, '; ' ORDER BY name) AS members FROM ac JOIN (SELECT DISTINCT node, other FROM bw) e ON e.node = article JOIN gn ON gn.id = e.other AND gn.label = 'Philosopher' GROUP BY camp) m ON t.camp = m.camp"""),
     "q3_concept_network": _with(_TWO.format(seeds=_NET, steps="SELECT * FROM bw") + """ SELECT seed, node, distance, y1 || coalesce('>' || y2, '') AS types FROM tr JOIN gn ON gn.id = tr.node AND label IN ('Concept', 'Article') ORDER BY distance, seed, node, types LIMIT 50"""),
-    "q4_influence_chain": _with(_TWO.format(seeds=f"label = 'Philosopher' AND contains(lower(name), '{PERSON.lower()}')", steps=_PEOPLE) + " SELECT seed, node, distance, count(*) AS n_trails FROM tr GROUP BY ALL"),
+    "q4_influence_chain": _with(_THREE.format(seeds=f"label = 'Philosopher' AND contains(lower(name), '{PERSON.lower()}')", steps=_PEOPLE) + " SELECT seed, node, distance, count(*) AS n_trails FROM tr GROUP BY ALL"),
     "q4_directed": _with(f""", st AS (SELECT DISTINCT src AS x, dst AS y FROM ({_PEOPLE}) WHERE type = 'INFLUENCES'), s AS (SELECT id FROM gn WHERE label = 'Philosopher' AND contains(lower(name), '{PERSON.lower()}')),
-p1 AS (SELECT id AS seed, y AS node FROM s JOIN st ON x = id WHERE y <> id), p2 AS (SELECT seed, y AS node FROM p1 JOIN st ON x = node WHERE y <> seed AND y <> node)
-SELECT seed, node, 1 AS distance, count(*) AS n_trails FROM p1 GROUP BY ALL UNION ALL SELECT seed, node, 2, count(*) FROM p2 GROUP BY ALL"""),
+p1 AS (SELECT id AS seed, y AS node FROM s JOIN st ON x = id WHERE y <> id), p2 AS (SELECT seed, node AS v1, y AS node FROM p1 JOIN st ON x = node WHERE y <> seed AND y <> node), p3 AS (SELECT seed, y AS node FROM p2 JOIN st ON x = node WHERE y NOT IN (seed, v1, node))
+SELECT seed, node, 1 AS distance, count(*) AS n_trails FROM p1 GROUP BY ALL UNION ALL SELECT seed, node, 2, count(*) FROM p2 GROUP BY ALL UNION ALL SELECT seed, node, 3, count(*) FROM p3 GROUP BY ALL"""),
     "q5_schools": _with(f"SELECT school, string_agg(DISTINCT member, '; ' ORDER BY member) AS members, count(*) AS n FROM ({_SCHOOL}) GROUP BY school ORDER BY n DESC, school LIMIT 50"),
     "q6_school_pairs": _with("SELECT least(src, dst) AS a, greatest(src, dst) AS b, count(*) AS n FROM ge JOIN gn x ON src = x.id AND x.label = 'School' JOIN gn y ON dst = y.id AND y.label = 'School' WHERE src <> dst GROUP BY 1, 2"),
     "q7_school_edges": _with(f"SELECT school, CAST(sum(n_edges) AS BIGINT) AS n FROM ({_SCHOOL}) GROUP BY school"),

@@ -8,7 +8,7 @@ from stoagraph.operators import graph_queries as Q
 from stoagraph.operators import layout as Y
 from stoagraph.operators import paths as P
 from stoagraph.operators import stats as S
-from stoagraph.plans.graph_queries import NETWORK, _E, _graph, _kept, _relations_only
+from stoagraph.plans.graph_queries import _BFS, _E, NETWORK, _graph, _kept
 from stoagraph.sources import html as H
 from stoagraph.session import table
 
@@ -34,8 +34,11 @@ def s3_entry_index(spark, d):
 
 
 def s2_missing_entries(spark, d):
-    links = table(spark, d, "article_data").select(F.explode("internal_links").alias("l")).select(F.col("l.target").alias("id"), F.col("l.anchor_text").alias("title"), F.lit(None).cast("string").alias("url"))
-    return H.missing_entries(table(spark, d, "entries"), H.entry_index(links.withColumn("title", F.lit("")), ["title"])).select("id", "title")
+    """Entries that only a second scan, of all links and rows, names: those whose rows in the first have no title."""
+    first = table(spark, d, "entries").filter(F.col("title").rlike(r"\S"))
+    links = table(spark, d, "article_data").select(F.explode("internal_links").alias("l")).select(F.col("l.target").alias("id"), F.lit(None).cast("string").alias("url"))
+    second = links.unionByName(table(spark, d, "entries").select("id", "url"))
+    return H.missing_entries(first, H.entry_index(second.withColumn("title", F.lit("")), ["url"])).select("id", "title")
 
 
 def x1_titles(spark, d):
@@ -82,14 +85,6 @@ def p_shares(spark, d):
 
 
 def p_network_sizes(spark, d):
-    nodes, edges = _kept(spark, d)
-    near = P.distances(_relations_only(edges), nodes.filter(F.col("id") == f"concept:{NETWORK}").select("id"), 2)
-    out = Y.network_sizes(S.degree_centrality(nodes, edges), near)
-    return out.select("id", F.round("size_flat", 6).alias("size_flat"), F.round("size_deep", 6).alias("size_deep"))
-
-
-def p_network_sizes_whole(spark, d):
-    """p_network_sizes over all edges."""
     nodes, edges = _kept(spark, d)
     near = P.distances(edges, nodes.filter(F.col("id") == f"concept:{NETWORK}").select("id"), 2)
     out = Y.network_sizes(S.degree_centrality(nodes, edges), near)
@@ -104,13 +99,7 @@ def p_heatmap(spark, d):
 
 
 def p_radial(spark, d):
-    nodes, edges = _kept(spark, d)
-    near = P.distances(_relations_only(edges), nodes.filter(F.col("id") == f"concept:{NETWORK}").select("id"), 2)
-    return Y.radial(near.select(F.col("node").alias("id"), "distance")).select("id", (F.round("x", 6) + 0.0).alias("x"), (F.round("y", 6) + 0.0).alias("y"))
-
-
-def p_radial_whole(spark, d):
-    """p_radial over all edges and all layers."""
+    """Over all edges and all layers."""
     nodes, edges = _kept(spark, d)
     near = P.distances(edges, nodes.filter(F.col("id") == f"concept:{NETWORK}").select("id"))
     return Y.radial(near.select(F.col("node").alias("id"), "distance")).select("id", (F.round("x", 6) + 0.0).alias("x"), (F.round("y", 6) + 0.0).alias("y"))
@@ -128,8 +117,8 @@ def p_dashboard(spark, d):
 QUERIES = {k: v for k, v in list(globals().items()) if (k[0] in "sx" and k[1:2].isdigit()) or (k.startswith("p_") and callable(v))}
 
 _CAMPS = "cm AS (SELECT article_id AS topic, substr(name, 1, 1) AS camp, count(DISTINCT name) AS k, row_number() OVER (PARTITION BY article_id ORDER BY substr(name, 1, 1)) - 1 AS pos FROM entities WHERE category = 'philosophers' AND name IS NOT NULL AND article_id IS NOT NULL GROUP BY 1, 2)"
-_NEAR = f"""nr AS (SELECT node, min(distance) AS distance FROM (SELECT 'concept:{NETWORK}' AS node, 0 AS distance UNION ALL SELECT y, 1 FROM rn WHERE x = 'concept:{NETWORK}'
-  UNION ALL SELECT b.y, 2 FROM rn a JOIN rn b ON a.y = b.x WHERE a.x = 'concept:{NETWORK}') GROUP BY node)"""
+_NEAR = f"""nr AS (SELECT node, min(distance) AS distance FROM (SELECT 'concept:{NETWORK}' AS node, 0 AS distance UNION ALL SELECT y, 1 FROM nb WHERE x = 'concept:{NETWORK}'
+  UNION ALL SELECT b.y, 2 FROM nb a JOIN nb b ON a.y = b.x WHERE a.x = 'concept:{NETWORK}') GROUP BY node)"""
 _LIST = "array_to_string(list_filter(coalesce({0}, []), lambda x: x IS NOT NULL AND trim(x) <> ''), '|')"
 _TITLE = "array_to_string(list_transform(string_split(replace(id, '-', ' '), ' '), lambda w: upper(w[1]) || lower(w[2:])), ' ')"
 
@@ -143,7 +132,7 @@ SQL = {
     "p_heatmap": _HEAT,
     "s3_entry_index": f"""SELECT id, CASE WHEN trim(coalesce(title, '')) = '' THEN {_TITLE} ELSE title END AS title, url FROM (
   SELECT *, row_number() OVER (PARTITION BY id ORDER BY url NULLS FIRST, title NULLS FIRST) AS k FROM entries WHERE id <> '') WHERE k = 1""",
-    "s2_missing_entries": f"""SELECT id, {_TITLE} AS title FROM (SELECT DISTINCT l.target AS id FROM (SELECT unnest(internal_links) AS l FROM article_data)) WHERE id <> '' AND id NOT IN (SELECT id FROM entries WHERE id IS NOT NULL)""",
+    "s2_missing_entries": rf"""SELECT id, {_TITLE} AS title FROM (SELECT l.target AS id FROM (SELECT unnest(internal_links) AS l FROM article_data) UNION SELECT id FROM entries) WHERE id <> '' AND id NOT IN (SELECT id FROM entries WHERE id IS NOT NULL AND regexp_matches(title, '\S'))""",
     "x1_titles": "SELECT page_id, coalesce(trim(metadata.title), '') AS title FROM article_data",
     "x2_authors": r"SELECT page_id, coalesce(array_to_string(metadata.authors, '|'), '') AS authors, nullif(regexp_extract(metadata.pubdate, 'First published \w+ \d{1,2}, \d{4}'), '') AS pubdate FROM article_data",
     "x5_links": r"""SELECT page_id, CAST(pos - 1 AS INT) AS pos, l.target AS target, trim(coalesce(l.anchor_text, '')) AS anchor_text,
@@ -152,13 +141,13 @@ FROM (SELECT page_id, unnest(internal_links) AS l, generate_subscripts(internal_
     "x8_sections": "SELECT page_id, array_to_string(list_filter(list_transform(coalesce(sections, []), lambda x: trim(coalesce(x, ''))), lambda x: x <> '' AND NOT starts_with(x, 'Bibliography')), '|') AS sections FROM article_data",
     "x9_bibliography": f"SELECT page_id, {_LIST.format('bibliography')} AS bibliography FROM article_data",
     "p_nodes": f"""WITH {_CAMPS} SELECT topic, type, colour, CAST(sum(size) AS BIGINT) AS size, count(*) AS n FROM (
-  SELECT topic, 'camp' AS type, CASE pos % 3 WHEN 0 THEN '#ff6b6b' WHEN 1 THEN '#4ecdc4' ELSE '#45b7d1' END AS colour, 10 * k AS size FROM cm
+  SELECT topic, 'camp' AS type, CASE pos % 5 WHEN 0 THEN '#ff6b6b' WHEN 1 THEN '#4ecdc4' WHEN 2 THEN '#45b7d1' WHEN 3 THEN '#96ceb4' ELSE '#dfe6e9' END AS colour, 10 * k AS size FROM cm
   UNION ALL SELECT DISTINCT ON (article_id, name) article_id, 'philosopher', NULL, 5 FROM entities WHERE category = 'philosophers' AND name IS NOT NULL AND article_id IS NOT NULL) GROUP BY 1, 2, 3""",
     "p_edges": "SELECT DISTINCT article_id AS topic, name AS source, substr(name, 1, 1) AS target, 'belongs_to' AS type FROM entities WHERE category = 'philosophers' AND name IS NOT NULL AND article_id IS NOT NULL",
     "p_shares": f"WITH {_CAMPS} SELECT topic, camp, k AS n, round(k / sum(k) OVER (PARTITION BY topic), 6) AS share FROM cm",
     "p_network_sizes": f"""WITH {_E}, {_NEAR}, dc AS (SELECT gn.id, coalesce(deg, 0) / ((SELECT count(*) FROM gn) - 1)::DOUBLE AS c FROM gn LEFT JOIN (SELECT x AS id, count(*) AS deg FROM nb GROUP BY x) USING (id))
 SELECT id, round(20 + 30 * c - 5 * distance, 6) AS size_flat, round(10 + 20 * c, 6) AS size_deep FROM dc JOIN nr ON dc.id = nr.node""",
-    "p_radial": f"""WITH {_E}, {_NEAR}, a AS (SELECT node AS id, distance, 2 * pi() * (row_number() OVER (PARTITION BY distance ORDER BY node) - 1) / count(*) OVER (PARTITION BY distance) AS t FROM nr)
+    "p_radial": f"""WITH {_E}{_BFS.format(seed=f"'concept:{NETWORK}'")}, a AS (SELECT node AS id, distance, 2 * pi() * (row_number() OVER (PARTITION BY distance ORDER BY node) - 1) / count(*) OVER (PARTITION BY distance) AS t FROM bf)
 SELECT id, round(0.5::DOUBLE * distance * cos(t), 6) + 0.0 AS x, round(0.5::DOUBLE * distance * sin(t), 6) + 0.0 AS y FROM a""",
     "p_timeline": "SELECT CAST(created_at AS DATE) AS start, label AS category, count(*) AS n, max(CAST(coalesce(deleted_at, created_at) AS DATE)) AS last_end FROM nodes WHERE created_at IS NOT NULL GROUP BY 1, 2",
     "p_dashboard": f"""WITH {_E} SELECT 'total' AS part, 'nodes' AS name, count(*) AS n FROM gn UNION ALL SELECT 'total', 'edges', count(*) FROM ge UNION ALL SELECT 'label', label, count(*) FROM gn GROUP BY label

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -29,11 +31,17 @@ def table(spark: SparkSession, directory: str, name: str) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder named by ``spark.checkpoint.dir``; only where it is unset (local tests) make one."""
+    """Use the shared folder named by ``spark.checkpoint.dir``; only a session on one machine (tests) makes its own where it is unset."""
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isDefined():
         return
-    context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir", "") or tempfile.mkdtemp(prefix="stoagraph-"))
+    folder = context.getConf().get("spark.checkpoint.dir", "")
+    if not folder:
+        if not context.master.startswith("local"):
+            raise ValueError("a cluster needs spark.checkpoint.dir, a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="stoagraph-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    context.setCheckpointDir(folder)
 
 
 def cut(df: DataFrame) -> DataFrame:

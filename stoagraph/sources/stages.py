@@ -38,11 +38,11 @@ class StageStore:
         runs = self.runs(stage)
         return self.spark.read.parquet(f"{self.root}/{stage}/run={runs[-1]}") if runs else None
 
-    def save(self, stage: str, df: DataFrame) -> DataFrame:
-        """Write a new run, drop all but the last ``keep``, and read the new one back."""
+    def save(self, stage: str, df: DataFrame, by: list[str] | None = None) -> DataFrame:
+        """Write a new run, drop all but the last ``keep``, and read the new one back; ``by`` names columns to make folders of."""
         runs = self.runs(stage)
         number = (runs[-1] if runs else 0) + 1
-        df.write.mode("overwrite").parquet(f"{self.root}/{stage}/run={number}")
+        df.write.mode("overwrite").partitionBy(*(by or [])).parquet(f"{self.root}/{stage}/run={number}")
         for old in [*runs, number][: -self.keep]:
             fs, path = self._fs(f"{self.root}/{stage}/run={old}")
             fs.delete(path, True)
@@ -91,5 +91,9 @@ def fetched(entries: DataFrame, fetch: Callable[[str], str | None], batch: int =
 
 
 def snapshot(store: StageStore, nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Nodes and edges written as two tables; edges by type, so that a question to one type reads no other."""
-    return store.save("nodes", nodes), store.save("edges", edges.repartition("type"))
+    """Nodes and edges written as two tables; edges in folders by type, so that a question to one type reads no other.
+
+    Edges are ranged over type and source, so the edges of a frequent type are written by many tasks.
+    """
+    ranged = edges.repartitionByRange("type", "src")
+    return store.save("nodes", nodes), store.save("edges", ranged, ["type"]).select(*edges.columns)

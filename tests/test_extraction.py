@@ -50,7 +50,7 @@ def test_entity_patterns(spark):
 def test_patterns_equal_python(spark, sf):
     rows = spark.read.parquet(f"{sf}/article_data.parquet").select("page_id", "full_text").filter("full_text IS NOT NULL")
     texts = {r[0]: r[1] for r in rows.collect()}
-    want = sorted((i, m) for i, t in texts.items() for p in E.PHILOSOPHERS for m in re.findall(p, t) if len(m.split()) <= 4)
+    want = sorted((i, m) for i, t in texts.items() for p in E.RULES["persons"] for m in re.findall(p, t) if len(m.split()) <= 4)
     got = sorted((r["article_id"], r["name"]) for r in E.philosophers(rows, "page_id", F.col("full_text")).collect())
     assert got == want and got
 

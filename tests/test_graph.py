@@ -223,22 +223,22 @@ def test_whole_queries_against_enumeration(spark, sf):
             near[b].add(a)
     seed = f"concept:{NETWORK}"
     far = _bfs(near, seed, len(label))
-    assert {(r["node"], r["distance"]) for r in run("a8_whole")} == set(far.items())
+    assert {(r["node"], r["distance"]) for r in run("a8_distances")} == set(far.items())
     seeds = [r["id"] for r in nodes if r["label"] == "Concept" and NETWORK in r["name"].lower()]
     assert {((r["seed"], r["node"], r["distance"]), r["n_trails"]) for r in run("a1_whole")} == {((s, *k), n) for s in seeds for k, n in _counted(all_edges, s, 2).items()}
     centre = min(label, key=lambda i: (-degree[i], i))
     tree = _bfs(near, centre, len(label))
-    assert {(r["node"], r["distance"], r["parent"]) for r in run("a10_whole")} == {(v, k, min(m for m in near[v] if tree.get(m) == k - 1)) for v, k in tree.items() if k}
+    assert {(r["node"], r["distance"], r["parent"]) for r in run("a10_tree")} == {(v, k, min(m for m in near[v] if tree.get(m) == k - 1)) for v, k in tree.items() if k}
     people = {e for e in all_edges if label[e[0]] == label[e[1]] == "Philosopher"}
     seeds = [r["id"] for r in nodes if r["label"] == "Philosopher" and PERSON.lower() in r["name"].lower()]
-    for name, types, directed in (("q4_whole", ("INFLUENCES", "INFLUENCED_BY"), False), ("q4_whole_directed", ("INFLUENCES",), True)):
+    for name, types, directed in (("q4_influence_chain", ("INFLUENCES", "INFLUENCED_BY"), False), ("q4_directed", ("INFLUENCES",), True)):
         own = {e for e in people if e[2] in types}
         want = {((s, *k), n) for s in seeds for k, n in _counted(own, s, 3, directed).items()}
         assert {((r["seed"], r["node"], r["distance"]), r["n_trails"]) for r in run(name)} == want
-    sizes = {r["id"]: (r["size_flat"], r["size_deep"]) for r in run("p_network_sizes_whole")}
+    sizes = {r["id"]: (r["size_flat"], r["size_deep"]) for r in run("p_network_sizes")}
     assert set(sizes) == {v for v, k in far.items() if k <= 2}
     for v, (flat, deep) in sizes.items():
         share = len(near[v]) / (len(label) - 1)
         assert (flat, deep) == pytest.approx((20 + 30 * share - 5 * far[v], 10 + 20 * share), abs=1e-5)
-    places = {r["id"]: (r["x"], r["y"]) for r in run("p_radial_whole")}
+    places = {r["id"]: (r["x"], r["y"]) for r in run("p_radial")}
     assert set(places) == set(far) and all((x * x + y * y) ** 0.5 == pytest.approx(0.5 * far[v], abs=1e-5) for v, (x, y) in places.items())
