@@ -8,6 +8,7 @@ import time
 
 from stoagraph.operators import graph_queries as Q
 from stoagraph.operators import pipeline
+from stoagraph.operators import stats as S
 from stoagraph.sources import exports as X
 from stoagraph.sources.stages import StageStore
 
@@ -32,8 +33,12 @@ def main(args: list[str] | None = None) -> None:
         nodes, edges = store.latest("nodes"), store.latest("edges")
     if nodes is None:
         p.error("the store holds no graph yet; give --articles")
+    log.info("optional parts: %s", pipeline.available())
     log.info("%d nodes, %d edges", nodes.count(), edges.count())
     if o.analyze:
+        X.write_json(S.graph_counts(nodes, edges), f"{o.analyze}/statistics")
+        X.write_json(S.label_counts(nodes), f"{o.analyze}/labels")
+        X.write_json(S.type_counts(edges), f"{o.analyze}/types")
         X.write_json(Q.largest_schools(nodes, edges, k=None, distinct=False), f"{o.analyze}/schools")
         X.write_json(Q.influence_scores(nodes, edges), f"{o.analyze}/influence")
         X.write_json(Q.concept_pairs(nodes, edges), f"{o.analyze}/concepts")

@@ -36,6 +36,12 @@ def argument_nodes(arguments: DataFrame, most: int = 5) -> DataFrame:
     return one.select("topic", "camp", F.concat(F.col("camp"), F.lit("_arg_"), F.col("i").cast("string")).alias("id"), ellipsis(F.col("a"), 50).alias("label"))
 
 
+def debate_slices(debates: DataFrame, topic: str, periods: str, texts: str, most: int = 10, longest: int = 15) -> DataFrame:
+    """``(topic, part, pos, label)``: the first ``most`` periods and texts of each debate, labels cut at ``longest`` characters."""
+    parts = [(debates.select(F.col(topic).alias("topic"), F.lit(part).alias("part"), F.posexplode(F.slice(c, 1, most)).alias("pos", "v"))) for part, c in (("period", periods), ("text", texts))]
+    return parts[0].unionByName(parts[1]).select("topic", "part", "pos", ellipsis(F.col("v"), longest).alias("label"))
+
+
 def shares(camps: DataFrame) -> DataFrame:
     """``(topic, camp, n, share)``: members of each camp and their share of the topic's."""
     sizes = camps.select("topic", "camp", F.size("members").alias("n"))

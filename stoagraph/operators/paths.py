@@ -31,6 +31,34 @@ def trails(edges: DataFrame, seeds: DataFrame, depth: int, last: DataFrame | Non
     return rows if last is None else rows.join(last.select(F.col("id").alias("node")).distinct(), "node", "left_semi").select("seed", "node", "distance", "types")
 
 
+def trails_between(edges: DataFrame, sources: DataFrame, targets: DataFrame, depth: int) -> DataFrame:
+    """``(source, target, distance, steps)``: every undirected trail of 1 to ``depth`` edges from a source to a target, no edge twice.
+
+    Half of each trail grows from either end and the halves meet in the middle, so a hub at one end is never taken to
+    the full depth.
+    """
+    steps = both_ways(edges.select("src", "dst", "type").distinct())
+    step = steps.select(F.col("node").alias("at"), F.col("other").alias("next"), F.struct("src", "dst", "type").alias("edge"))
+    none = F.array().cast("array<struct<src:string,dst:string,type:string>>")
+
+    def grown(seeds: DataFrame, longest: int) -> list[DataFrame]:
+        front = seeds.select(F.col("id").alias("seed"), F.col("id").alias("at"), none.alias("used")).distinct()
+        out = [front]
+        for _ in range(longest):
+            front = front.join(step, "at").filter(~F.array_contains("used", F.col("edge"))).select("seed", F.col("next").alias("at"), F.concat("used", F.array("edge")).alias("used"))
+            out.append(front)
+        return out
+
+    ahead, back = grown(sources, (depth + 1) // 2), grown(targets, depth // 2)
+    found = None
+    for n in range(1, depth + 1):
+        a = ahead[(n + 1) // 2].select(F.col("seed").alias("source"), "at", F.col("used").alias("first"))
+        b = back[n // 2].select(F.col("seed").alias("target"), "at", F.reverse("used").alias("rest"))
+        met = a.join(b, "at").filter(~F.arrays_overlap("first", "rest")).select("source", "target", F.lit(n).alias("distance"), F.concat("first", "rest").alias("steps"))
+        found = met if found is None else found.unionByName(met)
+    return found
+
+
 def distances(edges: DataFrame, seeds: DataFrame, depth: int | None = None) -> DataFrame:
     """``(seed, node, distance, parent)`` of every node within ``depth`` undirected steps, or of all that can be reached: breadth-first layers.
 

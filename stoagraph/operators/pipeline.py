@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from importlib.util import find_spec
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from stoagraph.operators import answers as A
 from stoagraph.operators import entities as E
 from stoagraph.operators import graph as G
 from stoagraph.operators import graph_queries as Q
@@ -15,6 +17,18 @@ from stoagraph.operators import relations as R
 from stoagraph.sources.stages import StageStore, upsert
 
 
+def available(parts: tuple[str, ...] = ("pyarrow", "onnxruntime", "spacy", "sentence_transformers")) -> dict[str, bool]:
+    """Which optional parts can be imported here; the rules work without any of them."""
+
+    def there(name: str) -> bool:
+        try:
+            return find_spec(name) is not None
+        except ModuleNotFoundError:
+            return False
+
+    return {name: there(name) for name in parts}
+
+
 @dataclass
 class QueryResult:
     """An answer: tables of nodes and relations, and how sure the kind of question makes it."""
@@ -97,12 +111,14 @@ def ask(question: str, nodes: DataFrame, edges: DataFrame) -> QueryResult:
     kind, sure = row["kind"], row["confidence"]
     if kind == "debate":
         found = Q.debate_articles(nodes, edges, *row["concepts"][:2])
-        return QueryResult(kind, found, confidence=sure, sources=found.select("title"))
+        relations = A.debate_relations(nodes, edges, *row["concepts"][:2])
+        return QueryResult(kind, found, relations, confidence=sure, sources=found.select("title"))
     if kind == "influence":
         return QueryResult(kind, Q.influence_chain(nodes, edges, row["philosophers"][-1]), confidence=sure)
     if kind == "network":
         found = Q.concept_network(nodes, edges, row["concepts"][0])
-        return QueryResult(kind, found, confidence=sure, sources=found.filter(F.col("node").startswith("article:")).select("node").distinct().limit(10))
+        texts = found.filter(F.col("node").startswith("article:")).select("node").distinct().orderBy("node").limit(10)
+        return QueryResult(kind, A.network_nodes(found, nodes), found, sure, texts, extra={"groups": A.network_groups(found, nodes)})
     from stoagraph.operators.search import text_search
 
     named = nodes.select("id", F.coalesce("name", "title").alias("text"))

@@ -113,6 +113,25 @@ def centroids(vectors: DataFrame, label: str, vector: str) -> DataFrame:
     return one.groupBy("label", "pos").agg(F.avg(F.col("x").cast("double")).alias("value"))
 
 
+def centroid_distances(vectors: DataFrame, label: str, vector: str) -> DataFrame:
+    """``(a, b, distance, cosine)`` between the mean vectors of every two labels, ``a < b``; labels are few beside vectors."""
+    from stoagraph.session import cut
+
+    means = cut(centroids(vectors, label, vector))
+    x, y = means.alias("x"), means.alias("y")
+    both = x.join(y, (F.col("x.pos") == F.col("y.pos")) & (F.col("x.label") < F.col("y.label")))
+    p, q = F.col("x.value"), F.col("y.value")
+    sums = both.groupBy(F.col("x.label").alias("a"), F.col("y.label").alias("b")).agg(F.sum((p - q) * (p - q)).alias("d"), F.sum(p * q).alias("pq"), F.sum(p * p).alias("pp"), F.sum(q * q).alias("qq"))
+    return sums.select("a", "b", F.sqrt("d").alias("distance"), F.when(F.col("pp") * F.col("qq") > 0, F.col("pq") / F.sqrt(F.col("pp") * F.col("qq"))).alias("cosine"))
+
+
+def axis_spread(vectors: DataFrame, vec_id: str, label: str, vector: str, k: int = 2) -> DataFrame:
+    """``(label, axis, n, mean, deviation)``: where each label's vectors lie on the k main axes and how widely."""
+    placed = principal_axes(vectors, vec_id, vector, k).join(vectors.select(F.col(vec_id).alias("vec_id"), F.col(label).alias("label")), "vec_id")
+    one = placed.select("label", F.posexplode("coordinates").alias("axis", "x"))
+    return one.groupBy("label", "axis").agg(F.count(F.lit(1)).alias("n"), F.avg("x").alias("mean"), F.stddev_pop("x").alias("deviation"))
+
+
 def mean_similarity(vectors: DataFrame, label: str, vector: str) -> DataFrame:
     """``(label, n, similarity)``: mean cosine of all pairs within each label.
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["orphan_queries", "extraction_queries", "graph_queries", "vector_queries", "search_queries", "page_queries", "export_queries", "relational_queries"]
+MODULES = ["orphan_queries", "extraction_queries", "graph_queries", "vector_queries", "search_queries", "answer_queries", "page_queries", "export_queries", "relational_queries"]
 
 
 def queries() -> dict:
