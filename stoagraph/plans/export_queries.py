@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from stoagraph.operators import graph as G
+from stoagraph.plans.graph_queries import _with
 from stoagraph.sources import exports as X
 from stoagraph.sources import stages as M
 from stoagraph.sources import texts as B
@@ -31,7 +32,8 @@ def s13_graphml(spark, d):
 
 
 def s14_gexf(spark, d):
-    return X.gexf(*_small(spark, d)).filter("part = 1")
+    """Of mentions and relations, with all parts."""
+    return X.gexf(*_whole(spark, d))
 
 
 def s12_whole(spark, d):
@@ -44,11 +46,6 @@ def s13_whole(spark, d):
     return X.graphml(*_whole(spark, d))
 
 
-def s14_whole(spark, d):
-    """s14_gexf of mentions and relations, with all parts."""
-    return X.gexf(*_whole(spark, d))
-
-
 def s18_bibliography(spark, d):
     """The articles' bibliographies written as BibTeX, one text per article, and read again."""
     rows = table(spark, d, "article_data").select("page_id", F.posexplode("bibliography").alias("i", "b"))
@@ -111,7 +108,11 @@ UNION ALL SELECT 1, 'MATCH (a {{id: ' || to_json(src) || '}}), (b {{id: ' || to_
     "s13_graphml": f"""WITH {_G} SELECT 1 AS part, '<node id="' || {_xml('id')} || '"><data key="n_label">' || label || '</data>' || coalesce('<data key="n_name">' || {_xml('name')} || '</data>', '')
   || coalesce('<data key="n_title">' || {_xml('title')} || '</data>', '') || coalesce('<data key="n_word_count">' || word_count || '</data>', '') || '</node>' AS value FROM gn
 UNION ALL SELECT 2, '<edge source="' || {_xml('src')} || '" target="' || {_xml('dst')} || '"><data key="e_type">' || type || '</data></edge>' FROM me""",
-    "s14_gexf": f"""WITH {_G} SELECT 1 AS part, '<node id="' || {_xml('id')} || '" label="' || {_xml('coalesce(name, title, id)')} || '"/>' AS value FROM gn""",
+    "s14_gexf": _with(f"""SELECT 0 AS part, array_to_string(['<?xml version="1.0" encoding="UTF-8"?>', '<gexf xmlns="http://gexf.net/1.3" version="1.3">', '<graph defaultedgetype="directed">', '<nodes>'], chr(10)) AS value
+UNION ALL SELECT 1, '<node id="' || {_xml('id')} || '" label="' || {_xml('coalesce(name, title, id)')} || '"/>' FROM gn
+UNION ALL SELECT 2, array_to_string(['</nodes>', '<edges>'], chr(10))
+UNION ALL SELECT 3, '<edge id="' || md5(src || chr(10) || dst || chr(10) || type) || '" source="' || {_xml('src')} || '" target="' || {_xml('dst')} || '" label="' || {_xml('type')} || '"/>' FROM ge
+UNION ALL SELECT 4, array_to_string(['</edges>', '</graph>', '</gexf>'], chr(10))"""),
     "s18_bibliography": r"""SELECT page_id || '-' || (pos - 1) AS key, 'book' AS type, regexp_replace(regexp_replace(b, '[{}"]', '', 'g'), '\s+', ' ', 'g') AS title, 1999 AS year
 FROM (SELECT page_id, unnest(bibliography) AS b, generate_subscripts(bibliography, 1) AS pos FROM article_data) WHERE b IS NOT NULL""",
     "s19_front_matter": """SELECT doc_id, nullif(trim(replace(coalesce(title, '-'), '"', '')), '') AS title, nullif(trim(coalesce(author, '-')), '') AS author, try_strptime(doc_date, '%m.%d.%Y')::DATE AS date_on FROM documents""",

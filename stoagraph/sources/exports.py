@@ -75,7 +75,7 @@ def gexf(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     spark = nodes.sparkSession
     n = nodes.select(F.lit(1).alias("part"), F.concat(F.lit('<node id="'), _xml(F.col("id")), F.lit('" label="'), _xml(F.coalesce("name", "title", "id")), F.lit('"/>')).alias("value"))
     e = edges.select(
-        F.lit(3).alias("part"), F.concat(F.lit('<edge id="'), F.hex(F.xxhash64("src", "dst", F.coalesce("type", F.lit("RELATED_TO")))), F.lit('" source="'), _xml(F.col("src")), F.lit('" target="'), _xml(F.col("dst")), F.lit('" label="'), _xml(F.coalesce("type", F.lit("RELATED_TO"))), F.lit('"/>')).alias("value")
+        F.lit(3).alias("part"), F.concat(F.lit('<edge id="'), F.md5(F.concat_ws("\n", "src", "dst", F.coalesce("type", F.lit("RELATED_TO")))), F.lit('" source="'), _xml(F.col("src")), F.lit('" target="'), _xml(F.col("dst")), F.lit('" label="'), _xml(F.coalesce("type", F.lit("RELATED_TO"))), F.lit('"/>')).alias("value")
     )
     head = ['<?xml version="1.0" encoding="UTF-8"?>', '<gexf xmlns="http://gexf.net/1.3" version="1.3">', '<graph defaultedgetype="directed">', "<nodes>"]
     return _lines(spark, 0, head).unionByName(n).unionByName(_lines(spark, 2, ["</nodes>", "<edges>"])).unionByName(e).unionByName(_lines(spark, 4, ["</edges>", "</graph>", "</gexf>"]))

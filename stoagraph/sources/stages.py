@@ -49,6 +49,36 @@ class StageStore:
         return self.spark.read.parquet(f"{self.root}/{stage}/run={number}")
 
 
+    def deltas(self, stage: str) -> list[int]:
+        """Numbers of the complete deltas that follow the latest run, the oldest first."""
+        fs, path = self._fs(f"{self.root}/{stage}_deltas")
+        if not fs.exists(path):
+            return []
+        found = [s.getPath().getName() for s in fs.listStatus(path)]
+        return sorted(int(n[6:]) for n in found if n.startswith("delta=") and fs.exists(self._fs(f"{self.root}/{stage}_deltas/{n}/_SUCCESS")[1]))
+
+    def append(self, stage: str, number: int, df: DataFrame) -> None:
+        """Write one delta; the same number again replaces it."""
+        df.write.mode("overwrite").parquet(f"{self.root}/{stage}_deltas/delta={number}")
+
+    def current(self, stage: str, keys: list[str], order: list[str]) -> DataFrame | None:
+        """The latest run with all deltas upserted into it."""
+        out, numbers = self.latest(stage), self.deltas(stage)
+        if not numbers:
+            return out
+        new = self.spark.read.parquet(*(f"{self.root}/{stage}_deltas/delta={n}" for n in numbers))
+        return upsert(out, new, keys, order)
+
+    def compact(self, stage: str, keys: list[str], order: list[str]) -> None:
+        """Write the latest run anew with its deltas, then drop them; dying in between only repeats the step."""
+        numbers = self.deltas(stage)
+        if numbers:
+            self.save(stage, self.current(stage, keys, order))
+            for n in numbers:
+                fs, path = self._fs(f"{self.root}/{stage}_deltas/delta={n}")
+                fs.delete(path, True)
+
+
 def remaining(wanted: DataFrame, done: DataFrame | None, key: str) -> DataFrame:
     """Rows whose key has not been done."""
     return wanted if done is None else wanted.join(done.select(key).distinct(), key, "left_anti")

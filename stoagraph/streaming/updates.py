@@ -38,11 +38,17 @@ def first_rows(rows: DataFrame, keys: list[str], at: str, late: str = "1 day") -
     return rows.dropDuplicates(keys)
 
 
-def upsert_stream(rows: DataFrame, store: StageStore, stage: str, keys: list[str], order: list[str], checkpoint: str) -> StreamingQuery:
-    """Every micro-batch upserted into a stage table; the same batch delivered again changes nothing."""
+def upsert_stream(rows: DataFrame, store: StageStore, stage: str, keys: list[str], order: list[str], checkpoint: str, every: int = 20) -> StreamingQuery:
+    """Every micro-batch upserted into a stage table; the same batch delivered again changes nothing.
 
-    def merge(batch: DataFrame, _: int) -> None:
-        store.save(stage, upsert(store.latest(stage), batch, keys, order))
+    A batch is written as a delta of its own rows alone, one row per key; ``StageStore.current`` reads the table with
+    its deltas, and once there are ``every`` of them they are merged into it. ``order`` must tell versions apart.
+    """
+
+    def merge(batch: DataFrame, number: int) -> None:
+        store.append(stage, number, upsert(None, batch, keys, order))
+        if len(store.deltas(stage)) >= every:
+            store.compact(stage, keys, order)
 
     return rows.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

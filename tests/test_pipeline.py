@@ -48,7 +48,14 @@ def test_late_rows_are_dropped_and_upserts_repeat(spark, tmp_path):
     for i, rows in enumerate([[("a", 1, t0), ("b", 1, t0)], [("a", 3, t0), ("c", 1, t0)], [("a", 2, t0)]]):
         spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
         U.upsert_stream(stream, store, "s", ["k"], ["t"], str(tmp_path / "c")).awaitTermination(120)
-    assert {(r["k"], r["t"]) for r in store.latest("s").collect()} == {("a", 3), ("b", 1), ("c", 1)}
+        U.upsert_stream(stream, store, "merged", ["k"], ["t"], str(tmp_path / "c3"), every=2).awaitTermination(120)
+    assert len(store.deltas("s")) == 3 and not store.exists("s")
+    assert len(store.deltas("merged")) == 1 and store.runs("merged") == [1]
+    for stage in ("s", "merged"):
+        assert {(r["k"], r["t"]) for r in store.current(stage, ["k"], ["t"]).collect()} == {("a", 3), ("b", 1), ("c", 1)}
+    store.compact("s", ["k"], ["t"])
+    assert store.deltas("s") == [] and {(r["k"], r["t"]) for r in store.latest("s").collect()} == {("a", 3), ("b", 1), ("c", 1)}
+    assert store.current("nothing", ["k"], ["t"]) is None
     assert U.first_rows(spark.createDataFrame([("a", 1, t0), ("a", 2, t0)], schema), ["k"], "at").count() == 1
     done = U.staged(stream, lambda df: df.selectExpr("upper(k) AS k"), str(tmp_path / "out"), str(tmp_path / "c2"))
     done.awaitTermination(120)

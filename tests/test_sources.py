@@ -145,7 +145,7 @@ def test_whole_exports_hold_the_graph(spark, sf, tmp_path):
         own = links[r["src"], r["dst"], r["type"]]
         assert own.get("e_context") == r["context"] and (float(own["e_confidence"]) if "e_confidence" in own else None) == r["confidence"]
     space = "{http://gexf.net/1.3}"
-    root = ET.fromstring(file("s14_whole").encode())
+    root = ET.fromstring(file("s14_gexf").encode())
     assert {n.get("id") for n in root.iter(f"{space}node")} == {r["id"] for r in nodes}
     assert Counter((e.get("source"), e.get("target"), e.get("label")) for e in root.iter(f"{space}edge")) == want
     rows = entry.queries()["s12_whole"](spark, sf).collect()
