@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stoagraph.operators.graph import both_ways, simple_pairs
+from stoagraph.operators.skew import hot_parts, salted_join
 from stoagraph.session import cut
 
 
@@ -21,11 +22,12 @@ def trails(edges: DataFrame, seeds: DataFrame, depth: int, last: DataFrame | Non
     if inner is not None:
         steps = steps.join(inner.select(F.col("id").alias("other")).distinct(), "other", "left_semi")
     step = steps.select(F.col("node").alias("at"), F.col("other").alias("next"), F.struct("src", "dst", "type").alias("edge"))
+    hubs = hot_parts(step, ["at"])  # a hub's edges are joined in parts
     none = F.array().cast("array<struct<src:string,dst:string,type:string>>")
     front = seeds.select(F.col("id").alias("seed"), F.col("id").alias("at"), none.alias("used")).distinct()
     out = None
     for _ in range(depth):
-        front = front.join(step, "at").filter(~F.array_contains("used", F.col("edge"))).select("seed", F.col("next").alias("at"), F.concat("used", F.array("edge")).alias("used"))
+        front = salted_join(front, step, ["at"], counted="given", hot=hubs).filter(~F.array_contains("used", F.col("edge"))).select("seed", F.col("next").alias("at"), F.concat("used", F.array("edge")).alias("used"))
         out = front if out is None else out.unionByName(front)
     rows = out.select("seed", F.col("at").alias("node"), F.size("used").alias("distance"), F.transform("used", lambda e: e["type"]).alias("types"))
     return rows if last is None else rows.join(last.select(F.col("id").alias("node")).distinct(), "node", "left_semi").select("seed", "node", "distance", "types")
@@ -39,13 +41,14 @@ def trails_between(edges: DataFrame, sources: DataFrame, targets: DataFrame, dep
     """
     steps = both_ways(edges.select("src", "dst", "type").distinct())
     step = steps.select(F.col("node").alias("at"), F.col("other").alias("next"), F.struct("src", "dst", "type").alias("edge"))
+    hubs = hot_parts(step, ["at"])
     none = F.array().cast("array<struct<src:string,dst:string,type:string>>")
 
     def grown(seeds: DataFrame, longest: int) -> list[DataFrame]:
         front = seeds.select(F.col("id").alias("seed"), F.col("id").alias("at"), none.alias("used")).distinct()
         out = [front]
         for _ in range(longest):
-            front = front.join(step, "at").filter(~F.array_contains("used", F.col("edge"))).select("seed", F.col("next").alias("at"), F.concat("used", F.array("edge")).alias("used"))
+            front = salted_join(front, step, ["at"], counted="given", hot=hubs).filter(~F.array_contains("used", F.col("edge"))).select("seed", F.col("next").alias("at"), F.concat("used", F.array("edge")).alias("used"))
             out.append(front)
         return out
 
@@ -67,10 +70,11 @@ def distances(edges: DataFrame, seeds: DataFrame, depth: int | None = None) -> D
     """
     pairs = simple_pairs(edges)
     step = cut(pairs.select(F.col("a").alias("at"), F.col("b").alias("node")).unionByName(pairs.select(F.col("b").alias("at"), F.col("a").alias("node"))))
+    hubs = hot_parts(step, ["at"])
     seen = seeds.select(F.col("id").alias("seed"), F.col("id").alias("node"), F.lit(0).alias("distance"), F.lit(None).cast("string").alias("parent")).distinct()
     front = seen
     for k in count(1) if depth is None else range(1, depth + 1):
-        reached = front.select("seed", F.col("node").alias("at")).join(step, "at").groupBy("seed", "node").agg(F.min("at").alias("parent"))
+        reached = salted_join(front.select("seed", F.col("node").alias("at")), step, ["at"], counted="given", hot=hubs).groupBy("seed", "node").agg(F.min("at").alias("parent"))
         front = cut(reached.join(seen.select("seed", "node"), ["seed", "node"], "left_anti").select("seed", "node", F.lit(k).alias("distance"), "parent"))
         if front.isEmpty():
             break

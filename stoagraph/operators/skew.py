@@ -25,17 +25,18 @@ def hot_parts(rows: DataFrame, keys: list[str], part_rows: int = PART_ROWS) -> D
     return rows.sparkSession.createDataFrame(found, rows.select(*keys, F.lit(1).alias("_parts")).schema)
 
 
-def salted_join(left: DataFrame, right: DataFrame, keys: list[str], part_rows: int = PART_ROWS, counted: str = "both") -> DataFrame:
+def salted_join(left: DataFrame, right: DataFrame, keys: list[str], part_rows: int = PART_ROWS, counted: str = "both", hot: DataFrame | None = None) -> DataFrame:
     """Inner join on equal ``keys``; keys with more than ``part_rows`` rows on a side are joined in a grid of parts.
 
     A row of a hot key goes to one part of its own side, by its digest, and is repeated for the parts of the other
-    side. ``counted`` names the side whose counts decide for both (where counting the other would compute it twice).
+    side. ``counted`` names the side whose counts decide for both (where counting the other would compute it twice), or
+    is ``given`` if ``hot`` holds the parts of the right side, counted before.
     """
-    a = hot_parts(left, keys, part_rows) if counted != "right" else None
-    b = hot_parts(right, keys, part_rows) if counted != "left" else None
+    a = hot_parts(left, keys, part_rows) if counted in ("both", "left") else None
+    b = hot if counted == "given" else hot_parts(right, keys, part_rows) if counted != "left" else None
     if a is None and b is None:
         return left.join(right, keys)
-    if counted != "both":
+    if counted in ("left", "right"):
         a = b = a if b is None else b
     empty = left.sparkSession.createDataFrame([], left.select(*keys, F.lit(1).alias("_parts")).schema)
     grid = (a or empty).withColumnRenamed("_parts", "_pa").join((b or empty).withColumnRenamed("_parts", "_pb"), keys, "full_outer")

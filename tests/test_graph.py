@@ -139,6 +139,8 @@ def test_salted_join_equals_plain_join(spark):
     want = sorted(map(str, left.join(right, ["key", "b"]).collect()))
     for part_rows, counted in ((7, "both"), (7, "right"), (7, "left"), (10**6, "both")):
         assert sorted(map(str, salted_join(left, right, ["key", "b"], part_rows, counted).collect())) == want
+    hubs = hot_parts(right, ["key", "b"], 7)
+    assert hubs is not None and sorted(map(str, salted_join(left, right, ["key", "b"], counted="given", hot=hubs).collect())) == want
     parts = {tuple(r) for r in hot_parts(left, ["key"], 30).collect()}
     assert parts == {("hot", 4)}
 
