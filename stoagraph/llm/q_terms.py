@@ -12,7 +12,7 @@ from stoagraph.session import table
 def p5_terms(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "entities").filter(F.col("category") == "concepts")
     term = T.normal_term(F.col("name"))
-    n_articles = rows.filter(term != "").select("article_id").filter(F.col("article_id").isNotNull()).distinct().count()
+    n_articles = rows.filter(term != "").select("article_id").distinct().agg(F.count("article_id").alias("n")).scalar()
     counts = T.term_counts(rows, term, "article_id", "mention_id")
     return T.mark_terms(counts, n_articles).withColumnRenamed("n_records", "n_articles")
 

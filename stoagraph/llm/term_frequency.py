@@ -62,22 +62,32 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bounds = starts if len(starts) and starts[0] == 0 else np.concatenate(([0], starts))
         mentions = np.add.reduceat(new_mention.astype(np.int64), bounds)
         records = np.add.reduceat(counted.astype(np.int64), bounds)
-        done = []
-        for i, at in enumerate(bounds):
-            end = (bounds[i + 1] if i + 1 < len(bounds) else batch.num_rows) - 1
-            if open_run is not None and not new_term[at]:
-                open_run[1] += int(mentions[i])
-                open_run[2] += int(records[i])
-                open_run[4] = record[int(end)].as_py()
-                if open_run[3] is None:  # nulls come first, so the run had no record yet
-                    hit = np.flatnonzero(counted[at : end + 1])
-                    open_run[3] = record[int(at + hit[0])].as_py() if len(hit) else None
-                continue
+        m, done = len(bounds), []
+
+        def begin(i: int, bounds=bounds, mentions=mentions, records=records, counted=counted, term=term, record=record, n=batch.num_rows) -> list:
+            at, end = int(bounds[i]), int(bounds[i + 1] if i + 1 < len(bounds) else n) - 1
+            hit = np.flatnonzero(counted[at : end + 1])
+            return [term[at].as_py(), int(mentions[i]), int(records[i]), record[at + int(hit[0])].as_py() if len(hit) else None, record[end].as_py()]
+
+        head = begin(0)
+        if open_run is not None and not new_term[0]:
+            open_run[1] += head[1]
+            open_run[2] += head[2]
+            # nulls come first, so a run may have had no record yet
+            open_run[3], open_run[4] = (head[3] if open_run[3] is None else open_run[3]), head[4]
+        else:
             if open_run is not None:
                 done += close(open_run, first_run)
                 first_run = False
-            hit = np.flatnonzero(counted[at : end + 1])
-            open_run = [term[int(at)].as_py(), int(mentions[i]), int(records[i]), record[int(at + hit[0])].as_py() if len(hit) else None, record[int(end)].as_py()]
+            open_run = head
+        if m > 1:
+            done += close(open_run, first_run)
+            first_run = False
+            open_run = begin(m - 1)
+        if m > 2:  # runs that begin and end inside the batch
+            inner = slice(1, m - 1)
+            columns = [term.take(pa.array(bounds[inner])), pa.array(mentions[inner], pa.int64()), pa.array(records[inner], pa.int64()), pa.nulls(m - 2, pa.string())]
+            yield pa.RecordBatch.from_arrays(columns, ["term", "n_mentions", "n_inner", "edge"])
         k = batch.num_rows - 1
         last = (term[k].as_py(), record[k].as_py(), mention[k].as_py())
         if done:
@@ -107,7 +117,7 @@ def term_counts(rows: DataFrame, term: Column, record: str, mention: str) -> Dat
     return merged.groupBy("term").agg(F.sum("m").alias("n_mentions"), (F.sum("r") + F.count("edge")).alias("n_records"))
 
 
-def mark_terms(counts: DataFrame, n_records: int, rare_below: int = 3, common_above: float = 0.10) -> DataFrame:
+def mark_terms(counts: DataFrame, n_records: int | Column, rare_below: int = 3, common_above: float = 0.10) -> DataFrame:
     """Add ``mark``: ``rare`` below ``rare_below`` records, ``common`` above that share of ``n_records``, else null."""
     mark = F.when(F.col("n_records") < rare_below, "rare").when(F.col("n_records") > common_above * n_records, "common")
     return counts.withColumn("mark", mark)
