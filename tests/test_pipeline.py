@@ -1,5 +1,6 @@
 import datetime as dt
 
+import pytest
 from stoagraph.operators import pipeline
 from stoagraph.sources.stages import StageStore
 from stoagraph.streaming import updates as U
@@ -70,6 +71,38 @@ def test_entry_and_registry(spark):
     assert all(callable(q) for q in queries.values())
 
 
+def test_a_missing_library_leaves_the_general_queries(monkeypatch):
+    import __spark_entry__ as entry
+
+    class Broken:
+        def queries(self):
+            raise ModuleNotFoundError("ahocorasick")
+
+        oracle_sql = queries
+
+    monkeypatch.setattr(entry, "llm_registry", Broken())
+    assert "p3_found" in entry.queries() and "p3_found" in entry.oracle_sql() and "p1_found" not in entry.queries()
+
+
+def test_a_cluster_without_a_shared_folder_is_refused():
+    from types import SimpleNamespace as S
+
+    from stoagraph.session import ensure_checkpoint_dir
+
+    used = []
+
+    def session(master, folder):
+        none = S(getCheckpointDir=lambda: S(isDefined=lambda: False))
+        context = S(master=master, _jsc=S(sc=lambda: none), getConf=lambda: S(get=lambda k, d: folder or d), setCheckpointDir=used.append)
+        return S(sparkContext=context)
+
+    with pytest.raises(ValueError):
+        ensure_checkpoint_dir(session("spark://host:7077", ""))
+    ensure_checkpoint_dir(session("spark://host:7077", "/shared"))
+    ensure_checkpoint_dir(session("local[2]", ""))
+    assert used[0] == "/shared" and "stoagraph-" in used[1]
+
+
 class _Dies(StageStore):
     """Fails when relations are to be saved."""
 
