@@ -50,52 +50,78 @@ def nearest(vectors: DataFrame, vec_id: str, vector: str, query: list[float], k:
     return scored.filter(F.col("similarity").isNotNull()).orderBy(F.desc("similarity"), "vec_id").limit(k)
 
 
-def nearest_many(vectors: DataFrame, vec_id: str, vector: str, queries: DataFrame, k: int = 10, block: int = BLOCK) -> DataFrame:
+def _usable(ids: np.ndarray, vectors: pd.Series, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Identifiers and unit rows of the vectors of one dimension that have a length."""
+    ok = vectors.map(len).to_numpy() == width if len(vectors) else np.zeros(0, dtype=bool)
+    if not ok.any():
+        return ids[:0], np.zeros((0, width))
+    x = np.stack(vectors[ok].to_numpy()).astype(np.float64)
+    n = np.linalg.norm(x, axis=1)
+    return ids[ok][n > 0], x[n > 0] / n[n > 0, None]
+
+
+class _Best:
+    """The k nearest vectors so far of every query; ties by identifier."""
+
+    def __init__(self, ids: np.ndarray, matrix: np.ndarray, k: int) -> None:
+        self.ids, self.matrix, self.k = ids, matrix, k
+        self.score, self.found = np.full((len(ids), 0), -2.0), np.zeros((len(ids), 0), dtype=np.int64)
+
+    def add(self, own: np.ndarray, x: np.ndarray) -> None:
+        s = np.round(self.matrix @ x.T, 9)
+        s[self.ids[:, None] == own[None, :]] = -2.0
+        s, i = np.concatenate([self.score, s], axis=1), np.concatenate([self.found, np.broadcast_to(own, s.shape)], axis=1)
+        order = np.lexsort((i, -s), axis=1)[:, : self.k]
+        self.score, self.found = np.take_along_axis(s, order, 1), np.take_along_axis(i, order, 1)
+
+    def rows(self) -> pd.DataFrame:
+        kept = self.score > -2.0
+        return pd.DataFrame({"query_id": self.ids[np.nonzero(kept)[0]], "vec_id": self.found[kept], "similarity": self.score[kept]})
+
+
+def nearest_many(vectors: DataFrame, vec_id: str, vector: str, queries: DataFrame, k: int = 10, block: int = BLOCK, part_rows: int = 20_000) -> DataFrame:
     """``(query_id, vec_id, similarity, rank)``: the k nearest vectors of every query, itself left out; exact.
 
-    Queries are read in blocks of ``block`` and sent to all partitions of the vectors, which keep their own k nearest;
-    only those are shuffled. Vectors that are null, of no length or of another dimension are left out.
+    One block of ``block`` queries at most is sent to all partitions of the vectors. More queries are laid out with
+    the vectors in a grid: a task compares one block of queries with one part of about ``part_rows`` vectors and keeps
+    its own k nearest, so nothing is collected and no task grows with the data. Vectors that are null, of no length or of
+    another dimension than most queries are left out.
     """
-    asked = queries.select(F.col(vec_id).alias("i"), F.col(vector).alias("v")).filter(F.size("v") > 0)
-    n_blocks = max(1, -(-asked.count() // block))
+    asked = queries.select(F.col(vec_id).alias("vec_id"), F.col(vector).alias("vector")).filter(F.size("vector") > 0)
+    rows = vectors.select(F.col(vec_id).alias("vec_id"), F.col(vector).alias("vector")).filter(F.size("vector") > 0)
     kind = dict(vectors.dtypes)[vec_id]
     schema = f"query_id {kind}, vec_id {kind}, similarity double"
-    rows = vectors.select(F.col(vec_id).alias("vec_id"), F.col(vector).alias("vector")).filter(F.size("vector") > 0)
-    out = None
-    for b in range(n_blocks):
-        own = asked.filter(F.pmod(F.xxhash64("i"), F.lit(n_blocks)) == b).collect()
-        if not own:
-            continue
-        width = max(set(len(r["v"]) for r in own), key=[len(r["v"]) for r in own].count)
-        own = [r for r in own if len(r["v"]) == width]
-        ids = np.array([r["i"] for r in own])
-        matrix = np.array([r["v"] for r in own], dtype=np.float64)
-        length = np.linalg.norm(matrix, axis=1)
-        ids, matrix = ids[length > 0], matrix[length > 0] / length[length > 0, None]
-
-        def run(batches: Iterator[pd.DataFrame], ids: np.ndarray = ids, matrix: np.ndarray = matrix, width: int = width) -> Iterator[pd.DataFrame]:
-            best_s, best_i = np.full((len(ids), 0), -2.0), np.zeros((len(ids), 0), dtype=np.int64)
-            for batch in batches:
-                ok = batch["vector"].map(len) == width
-                if not ok.any():
-                    continue
-                own_ids = batch["vec_id"].to_numpy()[ok]
-                x = np.stack(batch["vector"][ok].to_numpy()).astype(np.float64)
-                n = np.linalg.norm(x, axis=1)
-                own_ids, x = own_ids[n > 0], x[n > 0] / n[n > 0, None]
-                s = np.round(matrix @ x.T, 9)
-                s[ids[:, None] == own_ids[None, :]] = -2.0
-                s, i = np.concatenate([best_s, s], axis=1), np.concatenate([best_i, np.broadcast_to(own_ids, s.shape)], axis=1)
-                order = np.lexsort((i, -s), axis=1)[:, :k]
-                best_s, best_i = np.take_along_axis(s, order, 1), np.take_along_axis(i, order, 1)
-            kept = best_s > -2.0
-            where = np.nonzero(kept)
-            yield pd.DataFrame({"query_id": ids[where[0]], "vec_id": best_i[kept], "similarity": best_s[kept]})
-
-        part = rows.mapInPandas(run, schema)
-        out = part if out is None else out.unionByName(part)
-    if out is None:
+    sizes = asked.groupBy(F.size("vector").alias("width")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "width").first()
+    if sizes is None:
         return vectors.sparkSession.createDataFrame([], schema + ", rank int")
+    width, n_queries = sizes["width"], sizes["n"]
+    asked = asked.filter(F.size("vector") == width)
+    blocks = -(-n_queries // block)
+    if blocks == 1:
+        pdf = asked.toPandas()  # one block at most
+        ids, matrix = _usable(pdf["vec_id"].to_numpy(), pdf["vector"], width)
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            best = _Best(ids, matrix, k)
+            for batch in batches:
+                best.add(*_usable(batch["vec_id"].to_numpy(), batch["vector"], width))
+            yield best.rows()
+
+        out = rows.mapInPandas(run, schema)
+    else:
+        parts = max(1, -(-rows.count() // part_rows))
+        cell = lambda own, n_own, other, n_other: (F.pmod(F.xxhash64("vec_id"), F.lit(n_own)).cast("int").alias(own), F.explode(F.sequence(F.lit(0), F.lit(n_other - 1))).alias(other))
+        left = rows.select("vec_id", "vector", *cell("part", parts, "block", blocks)).groupBy("part", "block")
+        right = asked.select("vec_id", "vector", *cell("block", blocks, "part", parts)).groupBy("part", "block")
+
+        def compare(own: pd.DataFrame, against: pd.DataFrame) -> pd.DataFrame:
+            best = _Best(*_usable(against["vec_id"].to_numpy(), against["vector"], width), k)
+            for at in range(0, len(own), 4096):
+                some = own.iloc[at : at + 4096]
+                best.add(*_usable(some["vec_id"].to_numpy(), some["vector"], width))
+            return best.rows()
+
+        out = left.cogroup(right).applyInPandas(compare, schema)
     order = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "vec_id")
     return out.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
