@@ -181,7 +181,7 @@ def given_cost(x: str, y: str, levels_x: dict[str, int] | None = None, levels_y:
     a, b = sorted((x, y), key=len)
     if len(a) >= 3 and osa_within(a, b, 1) <= 1:
         p, q = (levels_x or {}).get(x, 0), (levels_y or {}).get(y, 0)
-        return None if p and q and abs(p - q) <= 2 else 2
+        return None if p and q and abs(p - q) <= 1 else 2
     for short, full in ((x, y), (y, x)):  # a short form with a typo
         if len(short) >= 4 and full in stands_for(short):
             return 3
@@ -353,16 +353,18 @@ def segment_keys(word: str, k: int) -> set[tuple[int, int, str]]:
     return keys
 
 
-def probe_keys(word: str, k: int) -> set[tuple[int, int, str]]:
-    """All keys under which words within ``k`` edits that are no longer can stand in the index: shifted substrings for every length."""
+def probe_keys(word: str, k: int, longer: bool = False) -> set[tuple[int, int, str]]:
+    """All keys under which words within ``k`` edits can stand in the index: shifted substrings for every length, up to
+    the word's own or, with ``longer``, beyond it.
+    """
     keys = set()
-    for size in range(max(1, len(word) - k), len(word) + 1):
-        own = most_edits(size, k)
-        if len(word) - size > own:
+    for size in range(max(1, len(word) - k), len(word) + (k if longer else 0) + 1):
+        allowed = most_edits(min(size, len(word)), k)
+        if abs(len(word) - size) > allowed:
             continue
-        for i, (at, n) in enumerate(segments("x" * size, own)):
+        for i, (at, n) in enumerate(segments("x" * size, most_edits(size, k))):
             if n:
-                keys.update((size, i, word[p : p + n]) for p in range(max(0, at - own), min(len(word) - n, at + own) + 1))
+                keys.update((size, i, word[p : p + n]) for p in range(max(0, at - allowed), min(len(word) - n, at + allowed) + 1))
     return keys
 
 
@@ -381,26 +383,27 @@ def close_words(words: DataFrame, k: int = 2, part_rows: int = 5_000) -> DataFra
     rows = words.select("word", ("cls" if has_class else F.array(F.lit("")).alias("cls"))).repartition(spread, F.xxhash64("word"))
 
     def emit(probing: bool):
-        # a word of class * is sought among all and all are sought among those of class *
-        lone, others = ("?*", "*?") if probing else ("*?", "?*")
-
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for batch in batches:
                 out = []
                 for w, own in zip(batch["word"], batch["cls"], strict=True):
-                    keys = probe_keys(w, k) if probing else segment_keys(w, k)
-                    kinds = [c for c in own if c != "*"] + ([others] if has_class else []) + ([lone] if "*" in own else [])
-                    out += [(c, *key, w) for key in keys for c in kinds]
+                    kinds = [c for c in own if c != "*"] + (["?"] if has_class and not probing else [])
+                    if kinds:
+                        out += [(c, *key, w) for key in (probe_keys(w, k) if probing else segment_keys(w, k)) for c in kinds]
+                    if probing and "*" in own:  # sought among all words, longer ones too
+                        out += [("?", *key, w) for key in probe_keys(w, k, longer=True)]
                 yield pd.DataFrame(out, columns=["cls", "size", "seg", "part", "w"])
 
         return run
 
     schema = "cls string, size int, seg int, part string, w string"
-    index = cut(rows.mapInPandas(emit(False), schema).withColumnRenamed("w", "word"))
-    probes = rows.mapInPandas(emit(True), schema).withColumnRenamed("w", "other")
+    # (keys as numbers: two keys of one number only make a candidate more)
+    key = F.xxhash64("cls", "size", "seg", "part").alias("key")
+    index = cut(rows.mapInPandas(emit(False), schema).select(key, F.col("w").alias("word")))
+    probes = rows.mapInPandas(emit(True), schema).select(key, F.col("w").alias("other"))
     # k edits with transpositions are 2k without: built-in code drops nearly all candidates before they are made distinct
     near = F.levenshtein("word", "other", 2 * k) >= 0
-    met = salted_join(probes, index, ["cls", "size", "seg", "part"], part_rows, "right")
+    met = salted_join(probes, index, ["key"], part_rows, "right")
     met = met.filter((F.col("word") != F.col("other")) & near).select(F.least("word", "other").alias("word"), F.greatest("word", "other").alias("other")).distinct()
 
     @F.pandas_udf(T.BooleanType())
