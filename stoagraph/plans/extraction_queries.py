@@ -78,8 +78,7 @@ def e12_clean(spark: SparkSession, d: str) -> DataFrame:
 
 def e13_extracted(spark: SparkSession, d: str) -> DataFrame:
     rows = _articles(spark, d).withColumn("title", F.col("metadata.title"))
-    found = E.extract(rows, "page_id", "full_text", "title", "internal_links", "sections")
-    return found.groupBy("category").agg(F.countDistinct("article_id").alias("n_pages"), F.count(F.lit(1)).alias("n_names"), F.sum("n").alias("n_mentions"))
+    return E.extract(rows, "page_id", "full_text", "title", "internal_links", "sections").withColumnRenamed("article_id", "page_id")
 
 
 def r1_link_relations(spark: SparkSession, d: str) -> DataFrame:
@@ -168,7 +167,7 @@ FROM (SELECT doc_id, text, unnest(range(CAST(ceil(length(text) / 512.0) AS INT))
     "e13_extracted": f"""WITH src AS (SELECT page_id AS article_id, 'philosophers' AS category, name FROM ({_PEOPLE}) UNION ALL SELECT page_id, 'concepts', name FROM ({_CONCEPTS})
   UNION ALL SELECT page_id, 'arguments', name FROM ({_ARGUMENTS}) UNION ALL SELECT page_id, 'problems', name FROM ({_PROBLEMS}) UNION ALL SELECT page_id, 'concepts', name FROM ({_TITLES})
   UNION ALL SELECT page_id, category, name FROM ({_LINKS}) UNION ALL SELECT page_id, 'arguments', name FROM ({_SECTIONS}))
-SELECT category, count(DISTINCT article_id) AS n_pages, count(*) AS n_names, CAST(sum(n) AS BIGINT) AS n_mentions FROM ({_CLEAN}) GROUP BY category""",
+SELECT article_id AS page_id, category, name, n FROM ({_CLEAN})""",
     "r1_link_relations": f"""SELECT page_id, source, target, coalesce(k, 'RELATED_TO') AS type, CASE WHEN k IS NULL THEN 0.5::DOUBLE ELSE 0.8::DOUBLE END AS confidence, section, count(*) AS n FROM (
   SELECT page_id, source, target, section, {_CLASS} AS k FROM (
     SELECT page_id, title AS source, l.anchor_text AS target, coalesce(l.section, 'Unknown') AS section, coalesce(lower(l.context), '') AS c

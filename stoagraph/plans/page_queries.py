@@ -51,7 +51,7 @@ def x2_authors(spark, d):
 
 def x5_links(spark, d):
     one = _read(spark, d).select("page_id", F.posexplode("links").alias("pos", "l"))
-    return one.select("page_id", "pos", "l.target", "l.anchor_text", F.length("l.context").alias("n_context"), "l.section")
+    return one.select("page_id", "pos", "l.target", "l.anchor_text", "l.context", "l.section")
 
 
 def x8_sections(spark, d):
@@ -73,7 +73,7 @@ def _camps(spark, d):
 
 
 def p_nodes(spark, d):
-    return Y.debate_nodes(Y.camp_rows(_camps(spark, d))).groupBy("topic", "type", "colour").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n"))
+    return Y.debate_nodes(Y.camp_rows(_camps(spark, d)))
 
 
 def p_edges(spark, d):
@@ -136,13 +136,13 @@ SQL = {
     "x1_titles": "SELECT page_id, coalesce(trim(metadata.title), '') AS title FROM article_data",
     "x2_authors": r"SELECT page_id, coalesce(array_to_string(metadata.authors, '|'), '') AS authors, nullif(regexp_extract(metadata.pubdate, 'First published \w+ \d{1,2}, \d{4}'), '') AS pubdate FROM article_data",
     "x5_links": r"""SELECT page_id, CAST(pos - 1 AS INT) AS pos, l.target AS target, trim(coalesce(l.anchor_text, '')) AS anchor_text,
-  CAST(length(trim(regexp_replace(coalesce(l.context, '') || ' ' || coalesce(l.anchor_text, ''), '\s+', ' ', 'g'))) AS INT) AS n_context, trim(coalesce(l.section, '')) AS section
+  trim(regexp_replace(coalesce(l.context, '') || ' ' || coalesce(l.anchor_text, ''), '\s+', ' ', 'g')) AS context, trim(coalesce(l.section, '')) AS section
 FROM (SELECT page_id, unnest(internal_links) AS l, generate_subscripts(internal_links, 1) AS pos FROM article_data)""",
     "x8_sections": "SELECT page_id, array_to_string(list_filter(list_transform(coalesce(sections, []), lambda x: trim(coalesce(x, ''))), lambda x: x <> '' AND NOT starts_with(x, 'Bibliography')), '|') AS sections FROM article_data",
     "x9_bibliography": f"SELECT page_id, {_LIST.format('bibliography')} AS bibliography FROM article_data",
-    "p_nodes": f"""WITH {_CAMPS} SELECT topic, type, colour, CAST(sum(size) AS BIGINT) AS size, count(*) AS n FROM (
-  SELECT topic, 'camp' AS type, CASE pos % 5 WHEN 0 THEN '#ff6b6b' WHEN 1 THEN '#4ecdc4' WHEN 2 THEN '#45b7d1' WHEN 3 THEN '#96ceb4' ELSE '#dfe6e9' END AS colour, 10 * k AS size FROM cm
-  UNION ALL SELECT DISTINCT ON (article_id, name) article_id, 'philosopher', NULL, 5 FROM entities WHERE category = 'philosophers' AND name IS NOT NULL AND article_id IS NOT NULL) GROUP BY 1, 2, 3""",
+    "p_nodes": f"""WITH {_CAMPS} SELECT topic, id, type, CAST(size AS INT) AS size, colour FROM (
+  SELECT topic, camp AS id, 'camp' AS type, CASE pos % 5 WHEN 0 THEN '#ff6b6b' WHEN 1 THEN '#4ecdc4' WHEN 2 THEN '#45b7d1' WHEN 3 THEN '#96ceb4' ELSE '#dfe6e9' END AS colour, 10 * k AS size FROM cm
+  UNION ALL SELECT DISTINCT ON (article_id, name) article_id, name, 'philosopher', NULL, 5 FROM entities WHERE category = 'philosophers' AND name IS NOT NULL AND article_id IS NOT NULL)""",
     "p_edges": "SELECT DISTINCT article_id AS topic, name AS source, substr(name, 1, 1) AS target, 'belongs_to' AS type FROM entities WHERE category = 'philosophers' AND name IS NOT NULL AND article_id IS NOT NULL",
     "p_shares": f"WITH {_CAMPS} SELECT topic, camp, k AS n, round(k / sum(k) OVER (PARTITION BY topic), 6) AS share FROM cm",
     "p_network_sizes": f"""WITH {_E}, {_NEAR}, dc AS (SELECT gn.id, coalesce(deg, 0) / ((SELECT count(*) FROM gn) - 1)::DOUBLE AS c FROM gn LEFT JOIN (SELECT x AS id, count(*) AS deg FROM nb GROUP BY x) USING (id))

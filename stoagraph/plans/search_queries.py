@@ -73,7 +73,7 @@ def i6_fallback(spark, d):
 def q14_routes(spark, d):
     out = I.analyse(_questions(spark, d), "query").withColumn("intent", F.struct("query_type", "concepts", "philosophers"))
     kind = I.route(F.col("intent"))
-    return out.select(kind.alias("kind"), I.confidence(kind).alias("confidence")).groupBy("kind", "confidence").agg(F.count(F.lit(1)).alias("n"))
+    return out.select("query", kind.alias("kind"), I.confidence(kind).alias("confidence"))
 
 
 def _answered(spark, d):
@@ -151,7 +151,7 @@ SELECT query, CASE WHEN k = 0 THEN 'school_comparison' ELSE query_type END AS qu
 SELECT query, CASE k WHEN 0 THEN 'school_comparison' WHEN 1 THEN 'general' ELSE {_FALLBACK} END AS query_type, CASE k WHEN 0 THEN 'free will' WHEN 1 THEN '' ELSE array_to_string(cs, '|') END AS concepts,
   CASE k WHEN 0 THEN 'Ada Lovelace' WHEN 1 THEN '' ELSE array_to_string(ps, '|') END AS philosophers, CASE WHEN k < 2 THEN '' ELSE 'related_to' END AS relationships, CASE WHEN k = 0 THEN 'detailed' ELSE 'overview' END AS depth FROM m""",
     "i6_fallback": f"WITH {_SRC} SELECT query, CASE " + " ".join(f"WHEN regexp_matches(lower(query), '{'|'.join(w)}') THEN '{k}'" for k, w in I.FALLBACK) + " ELSE 'general' END AS query_type FROM src",
-    "q14_routes": f"""WITH {_AN}, r AS (SELECT CASE WHEN query_type = 'debate_comparison' AND len(cs) >= 2 THEN 'debate' WHEN query_type = 'philosopher_influence' AND len(ps) >= 1 THEN 'influence'
+    "q14_routes": f"""WITH {_AN}, r AS (SELECT query, CASE WHEN query_type = 'debate_comparison' AND len(cs) >= 2 THEN 'debate' WHEN query_type = 'philosopher_influence' AND len(ps) >= 1 THEN 'influence'
   WHEN query_type = 'concept_network' AND len(cs) >= 1 THEN 'network' ELSE 'search' END AS kind FROM an)
-SELECT kind, CASE kind WHEN 'debate' THEN 0.8::DOUBLE WHEN 'network' THEN 0.85::DOUBLE WHEN 'influence' THEN 0.9::DOUBLE ELSE 0.7::DOUBLE END AS confidence, count(*) AS n FROM r GROUP BY 1, 2""",
+SELECT query, kind, CASE kind WHEN 'debate' THEN 0.8::DOUBLE WHEN 'network' THEN 0.85::DOUBLE WHEN 'influence' THEN 0.9::DOUBLE ELSE 0.7::DOUBLE END AS confidence FROM r""",
 }
