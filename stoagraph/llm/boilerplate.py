@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stoagraph.llm.gbt import BoostedTrees
+from stoagraph.sources.html import BLOCKS, HEADINGS, Element, parse, squeezed
 
 _ROW = re.compile(r"\s(?:[·|»>/–›•])\s")
 _STOP = re.compile(r"[.!?][\"”’»)]?$")
@@ -40,6 +41,11 @@ NAMES = [
     "section_lines", "section_short", "run_length", "run_place", "first_token", "first_two", "last_token", "last_two", "mean_token", "least_token", "most_token", "ending",
     "unknown", "mean_before", "mean_after", "least_before", "least_after",
 ]
+#: What a page's document tree adds where there is one.
+TREE_NAMES = ["tree_depth", "link_share", "sibling_no", "siblings", "subtree_density", "mean_mark", "least_mark", "most_mark"]
+NODE = "array<struct<depth:int,links:double,place:int,siblings:int,density:double,marks:array<string>>>"
+#: Elements that end a line of text, beside those that are blocks or headings to the reader of records.
+_BREAKS = set("address article aside blockquote br dd dl dt fieldset figcaption figure footer form h5 h6 header hr main nav ol option pre section table td th tr ul body html title button".split())
 
 
 def shape(text: str) -> str:
@@ -62,13 +68,14 @@ def line_keys(line: str) -> list[tuple[str, str]]:
     return keys
 
 
-def sample_labels(lines: list[str], heading: np.ndarray, page: np.ndarray, records: list, sections: list, titles: set[str], least: int = 4) -> np.ndarray:
+def sample_labels(lines: list[str], heading: np.ndarray, page: np.ndarray, records: list, sections: list, titles: set[str], least: int = 4, links: np.ndarray | None = None) -> np.ndarray:
     """1 for furniture, 0 for an own line, NaN where nothing decides; no wording is known, only what recurs and where.
 
     What ends no sentence and recurs, by its shape, on pages of ``least`` records is furniture, so is a title of another
     page and a row of short parts; headings of any page are own. Lines that end a sentence recur among own lines too
     (mottoes, set phrases): they are furniture if a third of those that begin alike stand outside of the page's body,
     which reaches from the line before its first to the line after its last sure own line, and own if they stand inside.
+    Where ``links`` tells the share of each line's text that is a link, lines that are all link are furniture.
     """
     n = len(lines)
     heads = {_COUNTED.sub("", x) for s in sections if s is not None for x in s if x}
@@ -118,13 +125,90 @@ def sample_labels(lines: list[str], heading: np.ndarray, page: np.ndarray, recor
             else:
                 own_here = [i for i in where if inside[i]]
                 label[own_here] = 0.0
+    if links is not None:
+        label[(links > 0.8) & (heading == 0) & ~np.isnan(label)] = 1.0
     return label
 
 
+def page_nodes(html: str) -> tuple[str, list[str], list[tuple]]:
+    """The text of an HTML page as lines, its headings, and the tree's node of every line: the leaves of the document tree.
+
+    A line is the text between two block elements; its node is the innermost block that holds it: depth, share of the
+    text in links, place among and number of the siblings, characters per element of the block's parent, and as marks
+    the tags, classes and identifiers of the block and its ancestors. Scripts, styles and blank lines are left out.
+    """
+    root = parse(html)
+    lines: list[str] = []
+    heads: list[str] = []
+    nodes: list[tuple] = []
+    size: dict[int, tuple[int, int]] = {}
+    for e in reversed(list(root.walk())):  # children come before their parents
+        inside = [size[id(c)] for c in e.children if isinstance(c, Element)]
+        own = 0 if e.tag in ("script", "style") else sum(len(c.strip()) for c in e.children if isinstance(c, str))
+        size[id(e)] = (own + sum(n for n, _ in inside), 1 + sum(n for _, n in inside))
+    block, parts, linked = root, [], 0
+
+    def end() -> None:
+        nonlocal parts, linked
+        text = squeezed("".join(parts))
+        if text:
+            path, up = [], block
+            while up.parent is not None:
+                path.append(up)
+                up = up.parent
+            around = [c for c in block.parent.children if isinstance(c, Element)] if block.parent is not None else [block]
+            place = next(i for i, c in enumerate(around) if c is block)
+            chars, elements = size[id(block.parent or block)]
+            marks = [f"@{e.tag}" for e in path[:4]] + [f"@{a}={w.lower()}" for e in path[:4] for a in ("class", "id") for w in e.attrs.get(a, "").split()]
+            lines.append(text)
+            nodes.append((len(path), linked / len(text), place, len(around), chars / elements, sorted(set(marks))))
+            if block.tag in HEADINGS:
+                heads.append(text)
+        parts, linked = [], 0
+
+    stack: list = [(root, root, False)]
+    while stack:
+        node, own, in_link = stack.pop()
+        if isinstance(node, str):
+            if own is not block:
+                end()
+                block = own
+            parts.append(node)
+            linked += len(squeezed(node)) if in_link else 0
+            continue
+        if node.tag in ("script", "style"):
+            continue
+        breaks = node.tag in BLOCKS or node.tag in HEADINGS or node.tag in _BREAKS
+        if breaks:
+            end()
+        inner = node if breaks and node.tag != "br" else own
+        stack.extend((c, inner, in_link or node.tag == "a") for c in reversed(node.children))
+    end()
+    return "\n".join(lines), heads, nodes
+
+
+def html_pages(pages: DataFrame, page_id: str, html: str) -> DataFrame:
+    """``(page_id, full_text, sections, title, nodes)`` of HTML pages, for ``line_roles`` and ``main_texts`` with ``nodes="nodes"``.
+
+    The title is the first heading; null pages give null texts.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for i, page in zip(batch["page_id"], batch["html"], strict=True):
+                text, heads, nodes = page_nodes(page) if page is not None else (None, None, None)
+                rows.append((i, text, heads, heads[0] if heads else None, nodes))
+            yield pd.DataFrame(rows, columns=["page_id", "full_text", "sections", "title", "nodes"])
+
+    picked = pages.select(F.col(page_id).alias("page_id"), F.col(html).alias("html"))
+    return picked.mapInPandas(run, f"page_id {dict(pages.dtypes)[page_id]}, full_text string, sections array<string>, title string, nodes {NODE}")
+
+
 class Lines:
-    """All lines of a batch of pages, with the features that need no model."""
+    """All lines of a batch of pages, with the features that need no model; ``nodes`` are the lines' nodes in document trees, where there are any."""
 
-    def __init__(self, texts: list[str], sections: list) -> None:
+    def __init__(self, texts: list[str], sections: list, nodes: list | None = None) -> None:
         split = pc.split_pattern(pa.array(texts, pa.large_string()), "\n")
         counts = pc.list_value_length(split).to_numpy(zero_copy_only=False).astype(np.int64)
         self.lines = split.flatten()
@@ -196,6 +280,17 @@ class Lines:
         f["words_before"], f["words_after"] = self.beside(f["words"])
         f["stop_before"], f["stop_after"] = self.beside(stop)
         self.base = f
+        self.marks: list[list[str]] | None = None
+        if nodes is not None:
+            flat = [tuple(x.values()) if isinstance(x, dict) else tuple(x) for page in nodes for x in (page if page is not None else ())]
+            if len(flat) != n:
+                raise ValueError("every line of every page needs its node")
+            columns = list(zip(*flat, strict=True)) if flat else [()] * 6
+            caps = (40, 1, 60, 60, None)
+            for name, values, cap in zip(("tree_depth", "link_share", "sibling_no", "siblings", "subtree_density"), columns, caps, strict=False):
+                v = np.array(values, dtype=np.float32)
+                f[name] = np.log1p(v) if cap is None else np.minimum(v, cap)
+            self.marks = [list(m) for m in columns[5]]
 
     def beside(self, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The value of the line before and of the line after in the same page; -1 at the ends."""
@@ -251,7 +346,12 @@ class Lines:
             f[name] = np.array([odds.get(k, 0.0) for k in own_keys])[own_codes] if n else value
         f["mean_before"], f["mean_after"] = self.beside(f["mean_token"].astype(np.float32))
         f["least_before"], f["least_after"] = self.beside((f["first_two"] + f["last_two"]).astype(np.float32))
-        return np.stack([np.asarray(f[k], dtype=np.float32) for k in NAMES], axis=1) if n else np.zeros((0, len(NAMES)), dtype=np.float32)
+        names = NAMES
+        if self.marks is not None:
+            names = NAMES + TREE_NAMES
+            values = [[odds[m] for m in own if m in odds] or [0.0] for own in self.marks]
+            f["mean_mark"], f["least_mark"], f["most_mark"] = (np.array([g(v) for v in values]) for g in (np.mean, min, max))
+        return np.stack([np.asarray(f[k], dtype=np.float32) for k in names], axis=1) if n else np.zeros((0, len(names)), dtype=np.float32)
 
 
 def token_odds(lines: Lines, label: np.ndarray, least: int = 3) -> dict[str, float]:
@@ -273,6 +373,9 @@ def token_odds(lines: Lines, label: np.ndarray, least: int = 3) -> dict[str, flo
     keys, codes = lines.attributes
     for own_keys, own_codes in zip(keys, codes, strict=True):
         add(own_keys, own_codes, np.arange(len(label)))
+    if lines.marks is not None:
+        known = {m: i for i, m in enumerate(sorted({m for own in lines.marks for m in own}))}
+        add(list(known), np.array([known[m] for own in lines.marks for m in own], dtype=np.int64), np.repeat(np.arange(len(label)), [len(own) for own in lines.marks]))
     return odds
 
 
@@ -283,16 +386,16 @@ class Model:
         self.odds, self.trees, self.n_lines, self.held_out = odds, trees, n_lines, held_out
 
 
-def fit(texts: list[str], sections: list, titles: set[str], trial: bool = False, records: list | None = None) -> Model:
+def fit(texts: list[str], sections: list, titles: set[str], trial: bool = False, records: list | None = None, nodes: list | None = None) -> Model:
     """Fit on sampled pages, whose lines ``sample_labels`` labels; ``records`` tells which pages are fetches of one record.
 
     Odds are taken from the other half of the pages, so that the trees learn what unseen pages look like. ``held_out``
     is the share of labelled lines of every fifth page on which trees fitted without those pages agree (with ``trial``).
     """
-    lines = Lines(texts, sections)
-    label = sample_labels(lines.lines.to_pylist(), lines.heading, lines.page, records or list(range(len(texts))), sections, titles)
+    lines = Lines(texts, sections, nodes)
+    label = sample_labels(lines.lines.to_pylist(), lines.heading, lines.page, records or list(range(len(texts))), sections, titles, links=lines.base.get("link_share"))
     half = lines.page % 2
-    x = np.zeros((len(label), len(NAMES)), dtype=np.float32)
+    x = np.zeros((len(label), len(NAMES) + (len(TREE_NAMES) if nodes is not None else 0)), dtype=np.float32)
     for k in (0, 1):
         own = label.copy()
         own[half == k] = np.nan
@@ -354,31 +457,32 @@ def known_titles(pages: DataFrame, title: str, lines: set[str], more: DataFrame
     return {by[r["d"]] for r in hits.collect()}
 
 
-def training_pages(pages: DataFrame, page_id: str, text: str, sections: str, title: str, sample_pages: int, more_titles: DataFrame | None = None, record: str | None = None) -> tuple[list[str], list, set[str], list]:
-    """The ``sample_pages`` pages with the smallest digests of their identifiers, those of their lines that are the title of any page, and their records."""
+def training_pages(pages: DataFrame, page_id: str, text: str, sections: str, title: str, sample_pages: int, more_titles: DataFrame | None = None, record: str | None = None, nodes: str | None = None) -> tuple[list[str], list, set[str], list, list | None]:
+    """The ``sample_pages`` pages with the smallest digests of their identifiers, those of their lines that are the title of any page, their records and nodes."""
     picked = pages.select(
-        F.xxhash64(page_id).alias("h"), F.col(page_id).alias("i"), F.col(text).alias("t"), F.col(sections).alias("s"), F.coalesce(F.col(record or page_id).cast("string"), F.lit("")).alias("r")
+        F.xxhash64(page_id).alias("h"), F.col(page_id).alias("i"), F.col(text).alias("t"), F.col(sections).alias("s"), F.coalesce(F.col(record or page_id).cast("string"), F.lit("")).alias("r"),
+        (F.col(nodes) if nodes else F.lit(None)).alias("n"),
     ).filter(F.length("t") > 0)
     # digests alone are ranked, so that no texts but those of the sample leave their tasks
     digests = [r["h"] for r in picked.select("h").distinct().orderBy("h").limit(sample_pages).collect()]
     rows = sorted(picked.filter(F.col("h") <= digests[-1]).dropDuplicates(["h"]).collect(), key=lambda r: r["h"]) if digests else []
     lines = {x for r in rows for x in r["t"].split("\n") if x}
-    return [r["t"] for r in rows], [r["s"] for r in rows], known_titles(pages, title, lines, more_titles) if lines else set(), [r["r"] for r in rows]
+    return [r["t"] for r in rows], [r["s"] for r in rows], known_titles(pages, title, lines, more_titles) if lines else set(), [r["r"] for r in rows], [r["n"] for r in rows] if nodes else None
 
 
-def _judged(pages: DataFrame, page_id: str, text: str, sections: str, title: str, sample_pages: int, more_titles: DataFrame | None, record: str | None, whole: bool) -> DataFrame:
-    texts, heads, titles, records = training_pages(pages, page_id, text, sections, title, sample_pages, more_titles, record)
+def _judged(pages: DataFrame, page_id: str, text: str, sections: str, title: str, sample_pages: int, more_titles: DataFrame | None, record: str | None, nodes: str | None, whole: bool) -> DataFrame:
+    texts, heads, titles, records, trees = training_pages(pages, page_id, text, sections, title, sample_pages, more_titles, record, nodes)
     schema = f"page_id {dict(pages.dtypes)[page_id]}, " + ("body string, n_lines int, n_own int" if whole else "line_no int, furniture boolean")
-    picked = pages.select(F.col(page_id).alias("page_id"), F.col(text).alias("text"), F.col(sections).alias("sections")).filter(F.length("text") > 0)
+    picked = pages.select(F.col(page_id).alias("page_id"), F.col(text).alias("text"), F.col(sections).alias("sections"), *([F.col(nodes).alias("nodes")] if nodes else [])).filter(F.length("text") > 0)
     if not texts:
         return pages.sparkSession.createDataFrame([], schema)
-    model = fit(texts, heads, titles, records=records)
+    model = fit(texts, heads, titles, records=records, nodes=trees)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for k in range(0, len(batch), 256):
                 part = batch.iloc[k : k + 256]
-                lines = Lines(part["text"].tolist(), part["sections"].tolist())
+                lines = Lines(part["text"].tolist(), part["sections"].tolist(), part["nodes"].tolist() if nodes else None)
                 out = decode(model.trees.score(lines.features(model.odds)), lines.run, lines.section, lines.blank, lines.heading)
                 ids = part["page_id"].to_numpy()
                 if not whole:
@@ -392,17 +496,18 @@ def _judged(pages: DataFrame, page_id: str, text: str, sections: str, title: str
     return picked.mapInPandas(run, schema)
 
 
-def line_roles(pages: DataFrame, page_id: str, text: str, sections: str, title: str, sample_pages: int = 1000, more_titles: DataFrame | None = None, record: str | None = None) -> DataFrame:
+def line_roles(pages: DataFrame, page_id: str, text: str, sections: str, title: str, sample_pages: int = 1000, more_titles: DataFrame | None = None, record: str | None = None, nodes: str | None = None) -> DataFrame:
     """``(page_id, line_no, furniture)`` for every non-empty line, counted from 1 with empty lines.
 
     The model is fitted on at most ``sample_pages`` pages, whose lines are looked up among the titles of all pages and of
     ``more_titles`` (a column ``title``), ``record`` naming the column that fetches of one record share; every page is then read whole, in one pass without a shuffle.
+    ``nodes`` names a column with the lines' nodes in document trees (see ``html_pages``).
     Null and empty texts give no rows; null ``sections`` mean no headings are known; without any page there is nothing
     to fit and no row. Pages that repeat are judged alike.
     """
-    return _judged(pages, page_id, text, sections, title, sample_pages, more_titles, record, whole=False)
+    return _judged(pages, page_id, text, sections, title, sample_pages, more_titles, record, nodes, whole=False)
 
 
-def main_texts(pages: DataFrame, page_id: str, text: str, sections: str, title: str, sample_pages: int = 1000, more_titles: DataFrame | None = None, record: str | None = None) -> DataFrame:
+def main_texts(pages: DataFrame, page_id: str, text: str, sections: str, title: str, sample_pages: int = 1000, more_titles: DataFrame | None = None, record: str | None = None, nodes: str | None = None) -> DataFrame:
     """``(page_id, body, n_lines, n_own)``: the page's own lines in order, with its empty lines; see ``line_roles``."""
-    return _judged(pages, page_id, text, sections, title, sample_pages, more_titles, record, whole=True)
+    return _judged(pages, page_id, text, sections, title, sample_pages, more_titles, record, nodes, whole=True)

@@ -107,5 +107,44 @@ def test_titles_of_all_pages_label_the_sample(spark):
     rows = [(i, "\n".join(["Own line.", *(f"Title {k}" for k in range(0, 60, 2)), "Entry only"]), None, f"Title {i}") for i in range(40)]
     df = spark.createDataFrame(rows, "page_id int, full_text string, sections array<string>, title string")
     entries = spark.createDataFrame([("Entry only",), ("Elsewhere",), (None,), ("",)], "title string")
-    texts, _, titles, _ = B.training_pages(df, "page_id", "full_text", "sections", "title", 3, entries)
+    texts, _, titles, *_ = B.training_pages(df, "page_id", "full_text", "sections", "title", 3, entries)
     assert len(texts) == 3 and titles == {f"Title {k}" for k in range(0, 40, 2)} | {"Entry only"}
+
+
+def test_lines_and_nodes_of_a_document_tree():
+    html = """<html><body><nav class="menu Top" id=m><ul><li><a href=/a>Home</a></li><li><a>Help</a> now</li></ul></nav>
+    <div id="text"><h2>One &amp; <i>two</i></h2><p>Body <b>text</b><br>second line</p>loose <script>x()</script> end<style>p{}</style></div><p></p></body>"""
+    text, heads, nodes = B.page_nodes(html)
+    assert text.split("\n") == ["Home", "Help now", "One & two", "Body text", "second line", "loose end"] and heads == ["One & two"]
+    links = [round(x[1], 2) for x in nodes]
+    assert links == [1.0, 0.5, 0, 0, 0, 0] and len(nodes) == 6
+    assert nodes[0][5] == ["@class=menu", "@class=top", "@id=m", "@body", "@li", "@nav", "@ul"] or set(nodes[0][5]) == {"@class=menu", "@class=top", "@id=m", "@body", "@li", "@nav", "@ul"}
+    assert nodes[0][2:4] == (0, 2) and nodes[1][2:4] == (1, 2) and nodes[0][0] == nodes[1][0] == 5
+    assert B.page_nodes("") == ("", [], []) and B.page_nodes("<p>") == ("", [], [])
+
+
+def test_trees_use_the_nodes_of_html_pages(spark):
+    """Furniture of unique sentences inside the body, told apart by the classes and links of its nodes alone."""
+    rng = np.random.default_rng(7)
+    word = lambda: "".join(rng.choice(list("bdfgklmnprstvz")) + rng.choice(list("aeiou")) for _ in range(int(rng.integers(2, 5))))
+    line = lambda n: " ".join(word() for _ in range(n)).capitalize() + "."
+    pages, roles = [], []
+    for i in range(160):
+        rows = [("Home | Help | Search", '<div class="menu"><a href=/>Home | Help | Search</a></div>', True), (f"Entry {word()}", None, False)]
+        rows[1] = (rows[1][0], f"<h2>{rows[1][0]}</h2>", False)
+        for _ in range(4):
+            t = line(45)
+            rows.append((t, f"<p class=body>{t}</p>", False))
+            if rng.random() < 0.5:
+                a = line(12)
+                rows.append((a, f'<div class="menu teaser"><a href=/x>{a}</a></div>', True))
+        rows.append(("Back to top", '<div class="menu"><a href=#>Back to top</a></div>', True))
+        pages.append((i, "<body>" + "\n".join(h for _, h, _ in rows) + "</body>", 1))
+        roles.append([r for *_, r in rows])
+    pages += [(900, None, 1), (901, "", 1)]
+    made = B.html_pages(spark.createDataFrame(pages, "page_id int, html string, nodes int"), "page_id", "html")
+    assert made.filter("page_id >= 900 AND full_text IS NULL").count() == 1
+    out = {(r["page_id"], r["line_no"]): r["furniture"] for r in B.line_roles(made, "page_id", "full_text", "sections", "title", sample_pages=100, nodes="nodes").collect()}
+    truth = {(i, k): role for i, page in enumerate(roles) for k, role in enumerate(page, 1)}
+    assert set(out) == set(truth)
+    assert np.mean([out[k] == v for k, v in truth.items()]) > 0.97
