@@ -76,20 +76,20 @@ def a2_shortest_paths(spark, d):
 
 
 def a3_neighbours(spark, d):
-    _, edges = _graph(spark, d)
+    _, edges = _kept(spark, d)
     return edges.groupBy("src").agg(F.countDistinct("dst").alias("n_out"))
 
 
 def a4_label_counts(spark, d):
-    return S.label_counts(_graph(spark, d)[0])
+    return S.label_counts(_kept(spark, d)[0])
 
 
 def a5_density(spark, d):
-    return S.graph_counts(*_graph(spark, d)).withColumn("density", F.round("density", 9))
+    return S.graph_counts(*_kept(spark, d)).withColumn("density", F.round("density", 9))
 
 
 def a6_top_degrees(spark, d):
-    return S.top_degrees(*_graph(spark, d))
+    return S.top_degrees(*_kept(spark, d))
 
 
 def a7_degree_centrality(spark, d):
@@ -116,11 +116,11 @@ def a10_tree(spark, d):
 
 
 def a12_simple_pairs(spark, d):
-    return G.simple_pairs(_graph(spark, d)[1])
+    return G.simple_pairs(_kept(spark, d)[1])
 
 
 def a15_type_counts(spark, d):
-    return S.type_counts(_graph(spark, d)[1])
+    return S.type_counts(_kept(spark, d)[1])
 
 
 def a16_periods(spark, d):
@@ -150,15 +150,15 @@ def q4_directed(spark, d):
 
 
 def q5_schools(spark, d):
-    return Q.largest_schools(*_graph(spark, d))
+    return Q.largest_schools(*_kept(spark, d))
 
 
 def q6_school_pairs(spark, d):
-    return Q.school_pairs(*_graph(spark, d)).groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
+    return Q.school_pairs(*_kept(spark, d)).groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
 
 
 def q7_school_edges(spark, d):
-    return Q.largest_schools(*_graph(spark, d), k=None, distinct=False).select("school", "n")
+    return Q.largest_schools(*_kept(spark, d), k=None, distinct=False).select("school", "n")
 
 
 def q8_school_clusters(spark, d):
@@ -166,11 +166,11 @@ def q8_school_clusters(spark, d):
 
 
 def q9_influence_scores(spark, d):
-    return Q.influence_scores(*_graph(spark, d))
+    return Q.influence_scores(*_kept(spark, d))
 
 
 def q10_concept_pairs(spark, d):
-    return Q.concept_pairs(*_graph(spark, d))
+    return Q.concept_pairs(*_kept(spark, d))
 
 
 def q11_scan(spark, d):

@@ -8,7 +8,7 @@ from stoagraph.operators import graph_queries as Q
 from stoagraph.operators import layout as Y
 from stoagraph.operators import paths as P
 from stoagraph.operators import stats as S
-from stoagraph.plans.graph_queries import _BFS, _E, NETWORK, _graph, _kept
+from stoagraph.plans.graph_queries import _BFS, _E, NETWORK, _kept
 from stoagraph.sources import html as H
 from stoagraph.session import table
 
@@ -93,7 +93,7 @@ def p_network_sizes(spark, d):
 
 def p_heatmap(spark, d):
     names = ["consciousness", "causation", "free will", "metaphysics", "justice", "personal identity", "truth", "practical reason"]
-    nodes, edges = _graph(spark, d)
+    nodes, edges = _kept(spark, d)
     own = edges.filter(F.col("src").isin([f"concept:{n}" for n in names]) & F.col("dst").isin([f"concept:{n}" for n in names]))
     return Y.heatmap(Q.concept_pairs(nodes, own, 10_000), names)
 
@@ -111,7 +111,7 @@ def p_timeline(spark, d):
 
 
 def p_dashboard(spark, d):
-    return Y.dashboard(*_graph(spark, d))
+    return Y.dashboard(*_kept(spark, d))
 
 
 QUERIES = {k: v for k, v in list(globals().items()) if (k[0] in "sx" and k[1:2].isdigit()) or (k.startswith("p_") and callable(v))}
