@@ -50,17 +50,17 @@ def best_configuration(lengths: np.ndarray, prices: np.ndarray, capacity: int, m
     """
     limit = capacity // lengths
     limit = limit if most is None else np.minimum(limit, most)
-    best = np.zeros(capacity + 1)
+    best, sums = np.zeros(capacity + 1), np.empty(capacity + 1)
     bundles: list[tuple[int, int, np.ndarray]] = []
     for i in np.flatnonzero(limit > 0).tolist():
-        rest, size = int(limit[i]), 1
+        rest, size, length, price = int(limit[i]), 1, int(lengths[i]), float(prices[i])
         while rest:
             size = min(size, rest)
-            w = int(lengths[i]) * size
-            worth = best[: capacity + 1 - w] + prices[i] * size
-            better = worth > best[w:]
-            np.copyto(best[w:], worth, where=better)
-            bundles.append((i, size, better))
+            w = length * size
+            # sums are made of the values before this bundle, so it is taken once at most
+            worth, held = np.add(best[: capacity + 1 - w], price * size, out=sums[w:]), best[w:]
+            bundles.append((i, size, worth > held))
+            np.maximum(worth, held, out=held)
             rest, size = rest - size, 2 * size
     config = np.zeros(len(lengths), dtype=np.int64)
     c = capacity
