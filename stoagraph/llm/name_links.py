@@ -38,6 +38,8 @@ NICKNAMES = {
 TITLES = set("prof professor dr sir rev reverend mr mrs ms lord lady dame st saint fr father".split())
 PARTICLES = set("de van von der den del di da la le du of ter zu zum al ibn bin".split())
 SUFFIXES = {"i": "1", "ii": "2", "iii": "3", "iv": "4", "sr": "sr", "jr": "jr", "senior": "sr", "junior": "jr", "elder": "sr", "younger": "jr"}
+# Letters that stand for one sound in different romanisations, in the order of their replacement.
+SOUNDS = [("sch", "sh"), ("ph", "f"), ("ck", "k"), ("ch", "\x00"), ("c", "k"), ("\x00", "ch"), ("qu", "kv"), ("w", "v"), ("x", "ks"), ("ou", "u"), ("ae", "a"), ("oe", "o"), ("ue", "u"), ("ei", "ai"), ("ey", "ai"), ("ay", "ai"), ("y", "i")]
 _DIGIT_LETTERS = str.maketrans("013456", "oleasg")
 
 
@@ -51,6 +53,14 @@ _SHORT: dict[str, set[str]] = {}
 for _full, _all in NICKNAMES.items():
     for _s in _all.split():
         _SHORT.setdefault(fold(_s), set()).add(fold(_full))
+@lru_cache(100_000)
+def sound(word: str) -> str:
+    """A last name in one romanisation: Tiwastutuw and Tivastutouv are one."""
+    for a, b in SOUNDS:
+        word = word.replace(a, b)
+    return word
+
+
 _PET_ENDINGS = ("y", "ie", "i", "ey", "e", "s", "sy")
 _OTHER_NAME_ENDINGS = ("a", "e", "ina", "ine", "ette", "elle", "ella", "le", "la", "ia")
 
@@ -235,7 +245,7 @@ def _readings(n: Name) -> list[tuple[str, tuple[str, ...]]]:
 def reading_cost(less: Name, more: Name, edits: int = 2) -> int | None:
     """Least cost of reading ``less`` as a spelling of ``more``; None if they can't be the same person.
 
-    Their suffixes must agree; the last names may differ by ``edits`` typos (one below eight letters); the given names
+    Their suffixes must agree; the last names may differ by ``edits`` typos (one below eight letters) or in how they are romanised; the given names
     of ``less`` must all be found among those of ``more``, beginning with the first.
     """
     if less.suffix != more.suffix:
@@ -246,7 +256,9 @@ def reading_cost(less: Name, more: Name, edits: int = 2) -> int | None:
             most = edits if min(len(last_a), len(last_b)) >= 8 else 1 if min(len(last_a), len(last_b)) >= 5 else 0
             d = osa_within(last_a, last_b, most)
             if d > most:
-                continue
+                if min(len(last_a), len(last_b)) < 5 or sound(last_a) != sound(last_b):
+                    continue
+                d = 1  # another romanisation
             if not given_a and last_b != more.words[-1]:  # a bare last name, against a name turned round
                 continue
             g = _sequence_cost(given_a, given_b, less.levels, more.levels)
@@ -260,6 +272,10 @@ def reading_cost(less: Name, more: Name, edits: int = 2) -> int | None:
     return best
 
 
+#: Mark of last names by sound, which are met exactly and not by close words.
+SOUND = "\x01"
+
+
 def given_tags(given: tuple[str, ...]) -> tuple[set[str], set[str], set[str]]:
     """Tags by which names of one last name meet: as the one that says less, as the one that says more, and the initials it is looked up by.
 
@@ -319,6 +335,8 @@ def _tagged(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for last, given in set(_readings(own)):
                 less, more, initials = given_tags(given)
                 rows.append((form, last, sorted(less), sorted(more), sorted(initials)))
+                if len(last) >= 5:  # met exactly, by sound
+                    rows.append((form, f"{SOUND}{sound(last)}", sorted(less), sorted(more), []))
         yield pd.DataFrame(rows, columns=["form", "word", "less", "more", "initials"])
 
 
@@ -446,7 +464,7 @@ def linked_names(rows: DataFrame, name: str, k: int = 2, part_rows: int = 5_000)
     forms = cut(with_levels(forms, given_levels(forms)).drop("words"))
     tagged = cut(forms.select("form", "name", "levels").mapInPandas(_tagged, "form string, word string, less array<string>, more array<string>, initials array<string>"))
     lone = F.array_contains("less", "*")
-    classes = tagged.withColumn("c", F.explode(F.when(lone, F.array(F.lit("*"))).otherwise(F.col("initials")))).groupBy("word").agg(F.collect_set("c").alias("cls"))
+    classes = tagged.filter(~F.col("word").startswith(SOUND)).withColumn("c", F.explode(F.when(lone, F.array(F.lit("*"))).otherwise(F.col("initials")))).groupBy("word").agg(F.collect_set("c").alias("cls"))
     near = cut(close_words(classes, k, part_rows))
     both = near.unionByName(near.select(F.col("other").alias("word"), F.col("word").alias("other")))
     less = tagged.select("form", "word", F.explode("less").alias("tag"))
