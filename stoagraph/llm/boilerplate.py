@@ -73,8 +73,8 @@ def sample_labels(lines: list[str], heading: np.ndarray, page: np.ndarray, recor
 
     What ends no sentence and recurs, by its shape, on pages of ``least`` records is furniture, so is a title of another
     page and a row of short parts; headings of any page are own. Lines that end a sentence recur among own lines too
-    (mottoes, set phrases): they are furniture if a third of those that begin alike stand outside of the page's body,
-    which reaches from the line before its first to the line after its last sure own line, and own if they stand inside.
+    (mottoes, set phrases): they are furniture if most of those that begin alike stand outside of the page's body,
+    which reaches from the line before its first to the line after its last sure own line, own if fewer than a third do.
     Where ``links`` tells the share of each line's text that is a link, lines that are all link are furniture.
     """
     n = len(lines)
