@@ -14,6 +14,7 @@ from stoagraph.operators import entities as E
 from stoagraph.operators import graph as G
 from stoagraph.operators import graph_queries as Q
 from stoagraph.operators import relations as R
+from stoagraph.operators import vectors as V
 from stoagraph.sources.stages import StageStore, upsert
 
 
@@ -119,9 +120,20 @@ def ask(question: str, nodes: DataFrame, edges: DataFrame) -> QueryResult:
         found = Q.concept_network(nodes, edges, row["concepts"][0])
         texts = found.filter(F.col("node").startswith("article:")).select("node").distinct().orderBy("node").limit(10)
         return QueryResult(kind, A.network_nodes(found, nodes), found, sure, texts, extra={"groups": A.network_groups(found, nodes)})
-    from stoagraph.operators.search import text_search
+    hits = semantic_hits(nodes, question)
+    return QueryResult(kind, hits, confidence=sure, sources=hits.select("title").limit(5))
 
-    named = nodes.select("id", F.coalesce("name", "title").alias("text"))
-    words = [w for w in question.split() if len(w) > 3] or [question]
-    hits = text_search(named, max(words, key=len), {"text": 1}, "id", 20)
-    return QueryResult(kind, hits, confidence=sure, sources=hits.limit(5))
+
+def semantic_hits(nodes: DataFrame, question: str, k: int = 20, size: int = 512) -> DataFrame:
+    """``(id, similarity, title, url, authors)``: the k articles nearest to a whole question by title and first sections.
+
+    Vectors are hashed word counts where no model is at hand; articles that share no word with the question, and all
+    for a question without words, are left out.
+    """
+    own = nodes.filter(F.col("label") == "Article").withColumn("article", F.expr("substring(id, 9)"))
+    texts = V.article_text(own, "article", "title", "sections")
+    asked = V.hashed_vectors(nodes.sparkSession.createDataFrame([("q", question)], "q string, text string"), "q", "text", size).first()
+    query = asked["vector"] if asked else [0.0] * size
+    hits = V.nearest(V.hashed_vectors(texts, "article_id", "text", size), "text_id", "vector", query, k).filter(F.col("similarity") > 0)
+    made = A.hits_with_articles(hits.withColumnRenamed("vec_id", "article"), "article", nodes)
+    return made.select(F.col("article").alias("id"), "similarity", "title", "url", "authors").orderBy(F.desc("similarity"), "id")

@@ -102,3 +102,12 @@ def test_analyses_with_answers(spark):
 
 def test_available_parts():
     assert pipeline.available(("json", "no_such_part", "no.such.part")) == {"json": True, "no_such_part": False, "no.such.part": False}
+
+
+def test_semantic_hits(spark):
+    schema = "id string, label string, name string, title string, url string, authors array<string>, sections array<string>"
+    rows = [("article:a", "Article", None, "Freedom of action", "u", ["A"], ["Will", None]), ("article:b", "Article", None, "Stones", "v", None, None), ("article:c", "Article", None, None, None, None, ["Action"]), ("concept:f", "Concept", "freedom", None, None, None, None)]
+    nodes = spark.createDataFrame(rows, schema)
+    hits = [(r["id"], r["title"], r["url"]) for r in pipeline.semantic_hits(nodes, "What is freedom of action?", size=4096).collect()]
+    assert hits[0] == ("a", "Freedom of action", "u") and ("c", "", "") in hits and "b" not in {h[0] for h in hits}
+    assert pipeline.semantic_hits(nodes, "?!").count() == 0 == pipeline.semantic_hits(nodes.limit(0), "freedom").count()
