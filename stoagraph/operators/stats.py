@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from stoagraph.operators.brandes import HANDED, SCORED, parts_followed, scored
 from stoagraph.operators.graph import simple_pairs
+from stoagraph.session import cut
 
 
 def graph_counts(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -51,43 +53,20 @@ def degree_centrality(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.select("id").join(ends, "id", "left").select("id", share.alias("centrality"))
 
 
-def betweenness(groups: DataFrame) -> DataFrame:
-    """``(graph, id, betweenness)`` of small graphs given as pairs ``(graph, a, b)``: Brandes, normalised.
+def betweenness(groups: DataFrame, work: int = 10_000_000) -> DataFrame:
+    """``(graph, id, betweenness)`` of graphs given as pairs ``(graph, a, b)``: exact, normalised.
 
-    Each graph is one task, meant for result graphs of some dozens of nodes.
+    A task takes whole graphs apart into blocks, where trees and cut vertices are counted in one walk. Brandes' method
+    follows the paths inside blocks; a block that needs more than ``work`` steps is dealt out to tasks by its sources.
     """
-    import pandas as pd
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        near: dict[str, set[str]] = {}
-        for a, b in zip(pdf["a"], pdf["b"], strict=True):
-            if a != b:
-                near.setdefault(a, set()).add(b)
-                near.setdefault(b, set()).add(a)
-        score = dict.fromkeys(near, 0.0)
-        for s in near:
-            ways, depth, order, before = {s: 1}, {s: 0}, [], {}
-            front = [s]
-            while front:
-                order += front
-                after: dict[str, None] = {}
-                for v in front:
-                    for w in sorted(near[v]):
-                        if w not in depth:
-                            depth[w] = depth[v] + 1
-                            after[w] = None
-                        if depth[w] == depth[v] + 1:
-                            ways[w] = ways.get(w, 0) + ways[v]
-                            before.setdefault(w, []).append(v)
-                front = list(after)
-            share = dict.fromkeys(order, 0.0)
-            for w in reversed(order):
-                for v in before.get(w, ()):
-                    share[v] += ways[v] / ways[w] * (1 + share[w])
-                if w != s:
-                    score[w] += share[w]
-        n = len(near)
-        scale = 1 / ((n - 1) * (n - 2)) if n > 2 else 1.0
-        return pd.DataFrame({"graph": pdf["graph"].iloc[0], "id": list(score), "betweenness": [v * scale for v in score.values()]})
-
-    return groups.groupBy("graph").applyInPandas(run, "graph string, id string, betweenness double")
+    ordered = groups.select("graph", "a", "b").repartition("graph").sortWithinPartitions("graph")
+    made = cut(ordered.mapInArrow(scored(work), HANDED))
+    tasks = int(groups.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = made.filter("weights IS NOT NULL").drop("scores").repartition(tasks).mapInArrow(parts_followed, SCORED)
+
+    def rows(df: DataFrame) -> DataFrame:
+        return df.select("graph", F.explode(F.arrays_zip("ids", "scores")).alias("v")).select("graph", F.col("v.ids").alias("id"), F.col("v.scores").alias("betweenness"))
+
+    begun = rows(made.filter("NOT whole AND weights IS NULL").select("graph", "ids", "scores"))
+    summed = begun.unionByName(rows(parts)).groupBy("graph", "id").agg(F.sum("betweenness").alias("betweenness"))
+    return rows(made.filter("whole")).unionByName(summed)

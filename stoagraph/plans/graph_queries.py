@@ -104,7 +104,7 @@ def a8_distances(spark, d):
 
 def a9_betweenness(spark, d):
     """Of the small graph of names that each article's relations make."""
-    pairs = table(spark, d, "relationships").select(F.col("article_id").alias("graph"), F.col("source").alias("a"), F.col("target").alias("b")).dropna().distinct()
+    pairs = table(spark, d, "relationships").select(F.col("article_id").alias("graph"), F.col("source").alias("a"), F.col("target").alias("b")).dropna()
     return S.betweenness(pairs).withColumn("betweenness", F.round("betweenness", 9))
 
 

@@ -1,7 +1,9 @@
 import itertools
 import random
+import threading
 from collections import defaultdict, deque
 
+import numpy as np
 import pytest
 
 from stoagraph.functions.vectors import cosine
@@ -10,6 +12,7 @@ from stoagraph.operators import graph_queries as Q
 from stoagraph.operators import layout as Y
 from stoagraph.operators import paths as P
 from stoagraph.operators import stats as S
+from stoagraph.operators.brandes import followed, neighbours, taken_apart
 from stoagraph.operators.skew import hot_parts, lookup_join, salted_join
 
 
@@ -125,6 +128,68 @@ def test_betweenness(spark, small):
     assert all(abs(got["g", v] - want[v] / ((n - 1) * (n - 2))) < 1e-9 for v in nodes)
 
 
+def test_betweenness_of_large_graphs(spark):
+    """Trees of 20,001 and 8,000 vertices beside a small graph: one walk over each, not one from every vertex."""
+    star = [("star", "centre", f"leaf{i}") for i in range(20_000)]
+    chain = [("chain", f"v{i}", f"v{i + 1}") for i in range(7_999)]
+    df = spark.createDataFrame([*star, *chain, ("h", "x", "y"), ("h", "y", "z"), ("h", "z", "z"), ("loop", "x", "x")], "graph string, a string, b string")
+    late = threading.Timer(90, spark.sparkContext.cancelAllJobs)
+    late.start()
+    try:
+        got = {(r["graph"], r["id"]): r["betweenness"] for r in S.betweenness(df).collect()}
+    finally:
+        late.cancel()
+    assert len(got) == 20_001 + 8_000 + 3
+    assert abs(got["star", "centre"] - 1) < 1e-12 and got["star", "leaf7"] == 0 and got["h", "y"] == 1
+    assert all(abs(got["chain", f"v{i}"] - 2 * i * (7_999 - i) / (7_999 * 7_998)) < 1e-12 for i in range(8_000))
+
+
+@pytest.mark.parametrize("work", [10_000_000, 40])
+def test_betweenness_of_blocks(spark, work):
+    """Blocks, cut vertices, trees and several components; with little work a task, blocks are dealt out by their sources."""
+    rng, rows = random.Random(5), []
+    for g in range(30):
+        n = rng.randint(3, 25)
+        rows += [(f"g{g}", f"v{rng.randint(0, n)}", f"v{rng.randint(0, n)}") for _ in range(int(n * rng.choice([0.7, 1.1, 2])))]
+    got = {(r["graph"], r["id"]): r["betweenness"] for r in S.betweenness(spark.createDataFrame(rows, "graph string, a string, b string"), work).collect()}
+    want = {}
+    for g in {g for g, *_ in rows}:
+        near = defaultdict(set)
+        for h, a, b in rows:
+            if h == g and a != b:
+                near[a].add(b)
+                near[b].add(a)
+        far, ways = {s: _bfs(near, s, 99) for s in near}, {}
+        for s in near:
+            ways[s] = {s: 1}
+            for v in sorted(far[s], key=far[s].get)[1:]:
+                ways[s][v] = sum(ways[s][w] for w in near[v] if far[s][w] == far[s][v] - 1)
+        n = len(near)
+        for v in near:
+            through = sum(ways[s][v] * ways[v][t] / ways[s][t] for s in near for t in far[s] if s != t and v not in (s, t) and v in far[s] and far[s][v] + far[v][t] == far[s][t])
+            want[g, v] = through / ((n - 1) * (n - 2)) if n > 2 else 0.0
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+
+
+def test_betweenness_with_more_ways_than_floats_count():
+    """A ring of 2,200 diamonds is one block; between its far ends there are 2 to the power of 1,100 ways on either side."""
+    near = defaultdict(set)
+    for i in range(2_200):
+        for x in (3 * i + 1, 3 * i + 2):
+            for y in (3 * i, 3 * (i + 1) % 6_600):
+                near[x].add(y)
+                near[y].add(x)
+    _, ((vertices, weights, edges),) = taken_apart([near[i] for i in range(6_600)])
+    place = {v: i for i, v in enumerate(vertices)}
+    edges = np.array([(place[a], place[b]) for a, b in edges])
+    starts, ends = neighbours(edges, 6_600)
+    n = len(weights)
+    got = followed(starts, ends, np.array(weights, float), np.zeros(n, int), np.full(n, n), np.array([place[0]]))
+    # from a joint, the joints before the opposite one pass all vertices behind them, three to a diamond
+    for i in range(1, 1_100):
+        assert abs(got[place[3 * i]] - (3 * (1_100 - i) - 0.5)) < 1e-6
+
+
 def test_lookup_join_with_hot_and_null_keys(spark):
     rows = spark.createDataFrame([(i, "hot" if i % 2 else f"k{i % 7}" if i % 3 else None) for i in range(300)], "i int, key string")
     lookup = spark.createDataFrame([("hot", 1), ("k1", 2), ("k2", 3)], "key string, v int")
